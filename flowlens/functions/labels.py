@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, functions as F
 
-DASHES = "[\u0096‐-―�]"
+# Characters that stand for a dash in label texts, the last one being
+# what a wrongly decoded dash turns into.
+DASHES = "\u0096\u2010\u2011\u2012\u2013\u2014\u2015\ufffd"
 
 
 def standard_label(column: Column) -> Column:
@@ -36,23 +36,20 @@ def normal_when_blank(column: Column) -> Column:
 
 def match_key(column: Column) -> Column:
     """Label reduced to what two spellings of the same class share."""
-    return F.regexp_replace(standard_label(column), DASHES, "-")
+    return F.translate(standard_label(column), DASHES, "-" * len(DASHES))
 
 
 def match_key_text(label: str) -> str:
     """``match_key`` for a constant."""
-    return re.sub(DASHES, "-", label.lower().strip(" "))
+    return label.lower().strip(" ").translate(str.maketrans(DASHES, "-" * len(DASHES)))
 
 
 def class_lookup(column: Column, classes: dict[str, int], default: int) -> Column:
     """Class id of a label; unknown and null labels get ``default``.
 
-    The label lists are constants of a few dozen entries, so the lookup stays a
-    projection inside the scan stage: one membership test per class id.
+    The label lists are constants of a few dozen entries, so a literal map in the scan
+    stage does it: no join, and the label is normalised once per row.
     """
-    by_id: dict[int, set[str]] = {}
-    for label, class_id in classes.items():
-        by_id.setdefault(class_id, set()).add(match_key_text(label))
-    key = match_key(column)
-    tests = [F.when(key.isin(sorted(labels)), F.lit(class_id)) for class_id, labels in sorted(by_id.items())]
-    return F.coalesce(*tests, F.lit(default)).cast("int")
+    ids = {match_key_text(label): class_id for label, class_id in classes.items()}
+    table = F.create_map(*[F.lit(v) for entry in ids.items() for v in entry])
+    return F.coalesce(F.try_element_at(table, match_key(column)), F.lit(default)).cast("int")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.sql import DataFrame, Window, functions as F
 
+from flowlens.operators.lookup import small_copy
 from flowlens.operators.ordering import range_splits, running_totals
 
 MAX_CLASSES = 1_000
@@ -25,14 +26,14 @@ def confusion(predictions: DataFrame, label: str = "label", prediction: str = "p
 def confusion_normalized(predictions: DataFrame, label: str = "label", prediction: str = "prediction",
                          max_classes: int = MAX_CLASSES) -> DataFrame:
     """Full matrix over the union of true and predicted classes; each row sums to 1 or is 0."""
-    counts = confusion(predictions, label, prediction)
+    counts = small_copy(confusion(predictions, label, prediction), max_classes**2)
+    if counts is None:
+        raise ValueError(f"more than {max_classes} classes")
     classes = counts.select(F.explode(F.array("label", "prediction")).alias("c")).agg(
         F.array_sort(F.collect_set("c")).alias("classes"))
-    checked = classes.select(F.when(F.size("classes") <= max_classes, F.col("classes")).otherwise(
-        F.raise_error(F.lit(f"more than {max_classes} classes"))).alias("classes"))
-    cells = checked.select(F.explode("classes").alias("label"), "classes").select(
+    cells = classes.select(F.explode("classes").alias("label"), "classes").select(
         "label", F.explode("classes").alias("prediction"))
-    filled = cells.join(counts, ["label", "prediction"], "left").withColumn(
+    filled = cells.join(F.broadcast(counts), ["label", "prediction"], "left").withColumn(
         "count", F.coalesce("count", F.lit(0)))
     row_total = F.sum("count").over(Window.partitionBy("label"))
     return filled.withColumn("share", F.coalesce(F.try_divide(F.col("count"), row_total), F.lit(0.0)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens.functions.hashing import hash32, percent_bucket, row_key
 from flowlens.operators.lookup import join_lookup
@@ -24,6 +24,11 @@ def hash_sample(df: DataFrame, key: list[str], fraction: float, seed: int | None
     return df.where(hash32(row_key(key), seed) < int(fraction * 2**32))
 
 
+def _same_class(label: str, table: DataFrame) -> tuple[DataFrame, Column]:
+    """The class table under another name, and the null-safe match with ``label``."""
+    return table.withColumnRenamed(label, "_class"), F.col(label).eqNullSafe(F.col("_class"))
+
+
 def mark_stratified(df: DataFrame, label: str, key: list[str], fraction: float = 0.8,
                     seed: int | None = None, bits: int = 16, output: str = "is_train") -> DataFrame:
     """Mark exactly floor(fraction * n) rows of each class, lowest hashes first.
@@ -44,10 +49,8 @@ def mark_stratified(df: DataFrame, label: str, key: list[str], fraction: float =
     cut_slice = histogram.where((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_n") < F.col("_quota"))
                                 ).select(F.col(label), F.col("_slice").alias("_cut"),
                                          (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_need"))
-    nullable_label = F.col(label).eqNullSafe(F.col("_label"))
-
     def with_class(frame, table):
-        return join_lookup(frame, table.withColumnRenamed(label, "_label"), nullable_label)
+        return join_lookup(frame, *_same_class(label, table))
 
     in_cut = with_class(marked.select(label, "_key", "_hash"), cut_slice).where(slice_of == F.col("_cut"))
     copies = in_cut.groupBy(label, "_hash", "_key").agg(
@@ -69,8 +72,9 @@ def stratified_split(df: DataFrame, label: str, key: list[str], fraction: float
 
 
 def missing_classes(train: DataFrame, test: DataFrame, label: str = "label") -> DataFrame:
-    """Classes of ``test`` that ``train`` lacks."""
-    return test.select(label).distinct().join(train.select(label).distinct(), label, "left_anti")
+    """Classes of ``test`` that ``train`` lacks; null counts as a class."""
+    present, match = _same_class(label, train.select(label).distinct())
+    return join_lookup(test.select(label).distinct(), present, match, "left_anti")
 
 
 def rebalance_missing(train: DataFrame, test: DataFrame, key: list[str], label: str = "label",
@@ -80,9 +84,9 @@ def rebalance_missing(train: DataFrame, test: DataFrame, key: list[str], label:
     Whether a row moves follows from its class and key, so both results come from
     one marked frame and no row is compared with another.
     """
-    lacking = missing_classes(train, test, label).withColumn("_lacking", F.lit(True))
+    lacking, match = _same_class(label, missing_classes(train, test, label).withColumn("_lacking", F.lit(True)))
     chosen = percent_bucket(row_key(key), seed) < int(round(fraction * 100))
     moves = F.coalesce(F.col("_lacking"), F.lit(False)) & chosen
-    marked = join_lookup(test, lacking, label).withColumn("_moves", moves)
+    marked = join_lookup(test, lacking, match).withColumn("_moves", moves)
     moved = marked.where("_moves").select(*test.columns)
     return train.unionByName(moved), marked.where("not _moves").select(*test.columns)

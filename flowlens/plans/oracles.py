@@ -244,19 +244,19 @@ select {KEY}, round(coalesce({FINITE}, (select a from means)), 6) as flow_rate,
     "impute_drop": _with(FLOWS, f"""
 select {KEY}, sparse_col, service, label from flows
 where flow_rate is not null and not isnan(flow_rate) and sparse_col is not null and service is not null"""),
-    "deduplicate": _with(FLOWS, f"select {KEY}, bytes, proto, service, label from (select distinct * from flows)"),
+    "deduplicate": _with(FLOWS, """
+select distinct pkts, flow_rate, jitter, const_col, sparse_col, proto, service, label from flows"""),
     "duplicate_report": _with(FLOWS, """
 , picked as (select l_partkey, pkts, flow_rate, jitter, const_col, sparse_col, proto, service, label from flows),
 doubled as (select * from picked union all select * from picked),
 n as (select (select count(*) from doubled) as t, (select count(*) from (select distinct * from doubled)) as d)
 select t as total_rows, d as distinct_rows, t - d as removed_rows, round((t - d) / t, 6) as removed_ratio from n"""),
     "missing_profile": _with(FLOWS, "\nunion all\n".join(
-        ["select * from (values (1)) limit 0"][:0] + [
-            f"select '{c}' as column_name, count(*) filter ({test}) as missing, count(*) as total_rows, "
-            f"round(count(*) filter ({test}) / count(*), 6) as missing_ratio from flows"
-            for c, test in [(c, f"{c} is null") for c in
-                            ("l_orderkey", "l_partkey", "l_suppkey", "pkts", "proto", "service")]
-            + [(c, f"{c} is null or isnan({c})") for c in ("flow_rate", "bytes", "jitter", "const_col", "sparse_col")]])),
+        [f"select '{c}' as column_name, count(*) filter ({test}) as missing, count(*) as total_rows, "
+         f"round(count(*) filter ({test}) / count(*), 6) as missing_ratio from flows"
+         for c, test in [(c, f"{c} is null") for c in
+                         ("l_orderkey", "l_partkey", "l_suppkey", "pkts", "proto", "service")]
+         + [(c, f"{c} is null or isnan({c})") for c in ("flow_rate", "bytes", "jitter", "const_col", "sparse_col")]])),
     "drop_sparse_columns": _with(FLOWS, f"select {KEY}, bytes, jitter, const_col, proto, label from flows"),
     "drop_low_variance": _with(FLOWS, f"select {KEY}, bytes, proto, label from flows"),
     "clean_names": _with(FLOWS, """

@@ -135,7 +135,7 @@ def delete_old_alerts(spark: SparkSession, path: str, days: int = 30, now: datet
     per_folder = candidates.groupBy(*PARTITIONS).agg(
         F.count_if(old).alias("old"), F.count(F.lit(1)).alias("rows")).where("old > 0")
     gone, mixed = 0, False
-    for row in per_folder.toLocalIterator():
+    for row in per_folder.collect():  # one row per folder to remove or rewrite
         gone += row["old"]
         if row["old"] == row["rows"]:
             delete(spark, f"{path}/session_id={row['session_id']}/batch_id={row['batch_id']}"
