@@ -7,7 +7,7 @@ also stated on it, so whole days are skipped before any file is opened.
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -274,7 +274,3 @@ def without_session(alerts: DataFrame, session_id: str) -> DataFrame:
 def retained_alerts(alerts: DataFrame, days: float = 30, now=None) -> DataFrame:
     """Alerts that a clean-up keeps: those not older than ``days``."""
     return alerts.where(_every(_from(alerts, _hours_before(_moment(alerts, now), days * 24))))
-
-
-def since_time(days: float, now: datetime | None = None) -> datetime:
-    return (now or datetime.now(timezone.utc)) - timedelta(days=days)

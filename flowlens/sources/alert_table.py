@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from flowlens.operators import sessions as S
 from flowlens.operators.alerts import alert_filter, recent_alerts
-from flowlens.schemas import ALERT_SEVERITIES, EXPORT_COLUMNS, SESSION_EVENT_SCHEMA
+from flowlens.schemas import ALERT_SCHEMA, ALERT_SEVERITIES, EXPORT_COLUMNS, SESSION_EVENT_SCHEMA
 from flowlens.sources.storage import delete, exists
 
 ALERT_COLUMNS = ["is_attack", "attack_type", "severity", "binary_prediction", "multiclass_prediction",
@@ -72,11 +73,19 @@ def table_schema(columns: T.StructType) -> T.StructType:
 
 
 def read_alerts(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """The alert table. Pass ``schema`` when batches may differ in optional columns."""
+    """The alert table; empty if nothing was stored yet. Pass ``schema`` when batches may
+    differ in their optional columns."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema or ALERT_SCHEMA)
     reader = spark.read.option("basePath", path)
     if schema is not None:
         return reader.schema(table_schema(schema)).parquet(path)
-    found = reader.parquet(path)
+    try:
+        found = reader.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return spark.createDataFrame([], ALERT_SCHEMA)  # only batches without an attack so far
     return found.withColumn("session_id", F.col("session_id").cast("string")).withColumn(
         "batch_id", F.col("batch_id").cast("bigint"))
 
