@@ -27,7 +27,7 @@ HEADLINE = [
     "hash_split", "stratified_split", "rebalance_missing", "flows_to_json", "parse_flow_json",
     "confusion_normalized", "classification_report", "auc_roc", "auc_pr",
     "train_lr", "train_rf_binary", "train_gbt_binary", "train_rf_multiclass",
-    "preprocess_flows", "stream_alerts", "stream_timeline", "batch_detect",
+    "preprocess", "stream_alerts", "stream_timeline", "batch_detect",
 ]
 
 

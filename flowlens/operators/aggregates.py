@@ -50,6 +50,17 @@ def dataset_metadata(df: DataFrame, weights: DataFrame, features: list[str], lab
     )
 
 
+def harmonized_metadata(merged: DataFrame, class_names: dict[int, str]) -> DataFrame:
+    """One row per unified class of a harmonised table: name, rows, weight, rows by source."""
+    by_source = merged.groupBy("unified_label", "dataset_source").agg(
+        F.count(F.lit(1)).alias("n"), F.max("multiclass_weight").alias("weight"))
+    names = F.create_map(*[F.lit(v) for entry in class_names.items() for v in entry])
+    return by_source.groupBy("unified_label").agg(
+        F.sum("n").alias("class_rows"), F.max("weight").alias("weight"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("dataset_source", "n")))).alias("rows_by_source"),
+    ).withColumn("class_name", F.coalesce(F.try_element_at(names, F.col("unified_label")), F.lit("Unknown")))
+
+
 def exact_percentiles(df: DataFrame, column: str, fractions: list[float]) -> list[float | None]:
     """Interpolated percentiles without gathering the column in one buffer.
 

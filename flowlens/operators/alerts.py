@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from flowlens.functions.moments import moment
 from flowlens.operators.ordering import seek_page
 
 TIME, DAY = "processed_at", "alert_date"
@@ -24,10 +25,7 @@ BIN_ORIGIN = datetime(2000, 1, 1, tzinfo=timezone.utc)
 
 
 def _moment(df: DataFrame, value) -> Column:
-    if value is None:
-        value = F.current_timestamp()
-    column = value if isinstance(value, Column) else F.lit(value)
-    return column.cast(df.schema[TIME].dataType)
+    return moment(value, df.schema[TIME].dataType)
 
 
 def _hours_before(moment: Column, hours: float) -> Column:
@@ -204,8 +202,7 @@ def _series(alerts: DataFrame, period: str, now, measures: list[Column], **bound
     """Measures per bucket counted back from ``now``; empty buckets hold zeros and the
     last one is open-ended."""
     minutes, steps = SERIES.get(period, SERIES["24h"])
-    moment = _moment(alerts, now)
-    first = _hours_before(moment, minutes * steps / 60)
+    first = _hours_before(_moment(alerts, now), minutes * steps / 60)
     elapsed = F.unix_micros(F.col(TIME).cast("timestamp")) - F.unix_micros(first.cast("timestamp"))
     slot = F.least(F.floor(elapsed / F.lit(minutes * 60 * 1_000_000)), F.lit(steps).cast("bigint"))
     counted = (relative_range(alerts, period, now, **bounds).withColumn("_slot", slot).where("_slot >= 0")

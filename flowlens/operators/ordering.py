@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from flowlens.functions.moments import literal
+
 SHALLOW_ROWS = 10_000
 
 
@@ -65,7 +67,7 @@ def _between(df: DataFrame, keys: list[str], low, high) -> Column:
     whole tuple they can be pushed to the scan.
     """
     def bound(row):
-        return [F.lit(row[k]).cast(df.schema[k].dataType) for k in keys]
+        return [literal(row[k], df.schema[k].dataType) for k in keys]
 
     def tuple_of(columns):
         return F.struct(*[c.alias(k) for k, c in zip(keys, columns)])

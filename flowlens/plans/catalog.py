@@ -20,9 +20,8 @@ from flowlens.operators import (
     sessions as se,
     splits as sp,
 )
-from flowlens.plans import fixtures as fx
-from flowlens.plans.preprocess import Recipe, preprocess
-from flowlens.schemas import UNSW_FEATURES, csv_schema
+from flowlens.plans import fixtures as fx, preprocess as pp
+from flowlens.schemas import CLASS_NAMES, UNSW_FEATURES, csv_schema
 from flowlens.sources import alert_table as at, flows as fl, storage as st, streams as ss
 from flowlens.streaming import detect as de, messages as me
 
@@ -424,6 +423,16 @@ def harmonize(spark, sf):
                    "multiclass_weight")
 
 
+@query
+def harmonized_metadata(spark, sf):
+    merged = la.harmonize(fx.flow_pair(spark, sf))
+    found = agg.harmonized_metadata(merged, CLASS_NAMES["cic_unified"])
+    return rounded(found.select(
+        "unified_label", "class_name", "class_rows", "weight",
+        *[F.coalesce(F.try_element_at("rows_by_source", F.lit(n)), F.lit(0)).alias(f"rows_{n}")
+          for n in ("cicids2017", "cicids2018")]), "weight")
+
+
 @query
 def counts_by_source(spark, sf):
     return agg.counts_by_source(la.union_harmonized(fx.flow_pair(spark, sf)))
@@ -726,20 +735,33 @@ def model_comparison(spark, sf):
 
 # Pipelines and streams ---------------------------------------------------
 
-FLOW_RECIPE = Recipe("flows", drop=("l_orderkey", "l_partkey", "l_suppkey"), categories=("proto", "service"))
+FLOW_RECIPE = pp.Recipe("flows", drop=("l_orderkey", "l_partkey", "l_suppkey"), categories=("proto", "service"))
+MEAN_RECIPE = pp.Recipe("flows_mean", drop=FLOW_RECIPE.drop, categories=FLOW_RECIPE.categories,
+                        replace_categories=True, exact_normal="BENIGN", weight_on="binary_label",
+                        imputation="mean", sparse_threshold=None)
 
 
-@query
-def preprocess_flows(spark, sf):
-    """The whole preprocessing of flows that all occur twice; vectors as plain columns."""
-    prepared = preprocess(doubled_flows(spark, sf), FLOW_RECIPE)
+def _prepared_columns(prepared: pp.Prepared, *others: str) -> DataFrame:
+    """The prepared table with its scaled vector as plain columns."""
     z = vector_to_array("scaled_features")
     return prepared.table.select(
-        *prepared.features, "label", "binary_label", "proto_indexed", "service_indexed",
+        *[F.round(c, 6).alias(c) for c in prepared.features], "label", "binary_label", *others,
         F.round("sample_weight", 6).alias("sample_weight"),
         *[F.round(z[i], 6).alias(f"z_{name}") for i, name in enumerate(prepared.features)])
 
 
+@query
+def preprocess(spark, sf):
+    """The whole preprocessing of flows that all occur twice."""
+    return _prepared_columns(pp.preprocess(doubled_flows(spark, sf), FLOW_RECIPE), "proto_indexed", "service_indexed")
+
+
+@query
+def preprocess_mean(spark, sf):
+    """The variant that fills with means, indexes in place and weights attack against normal."""
+    return _prepared_columns(pp.preprocess(doubled_flows(spark, sf), MEAN_RECIPE))
+
+
 def _replay(spark, messages: DataFrame) -> DataFrame:
     """Messages written as JSON lines and read again as a stream."""
     folder = st.scratch_path(spark, "messages")

@@ -297,6 +297,16 @@ from rows_ left join weights using (label)"""),
           when label = 'DDoS' then 2 else 7 end)::int as unified_label from flows),
 counts as (select unified_label, count(*) as n from merged group by 1)
 select merged.*, round((select max(n) from counts) / n, 6) as multiclass_weight from merged join counts using (unified_label)"""),
+    "harmonized_metadata": _with(FLOWS, """
+, merged as (
+  select case when proto = 'F' then 'a' else 'b' end as source,
+    (case when label = 'BENIGN' then 0 when label = ' Bot' then 6 when proto <> 'F' and label in ('DDoS', 'PortScan') then 8
+          when label = 'DDoS' then 2 else 7 end)::int as unified_label from flows),
+counts as (select unified_label, count(*) as n, count(*) filter (source = 'a') as a, count(*) filter (source = 'b') as b
+  from merged group by 1)
+select unified_label, case unified_label when 0 then 'Benign' when 2 then 'DDoS' when 6 then 'Botnet' when 7 then 'PortScan'
+    else 'Other' end as class_name, n as class_rows, round((select max(n) from counts) / n, 6) as weight,
+  a as rows_cicids2017, b as rows_cicids2018 from counts"""),
     "counts_by_source": _with(FLOWS, """
 select case when proto = 'F' then 'cicids2017' else 'cicids2018' end as dataset_source, count(*) as count
 from flows group by 1"""),
@@ -414,7 +424,7 @@ select round(sum(width * height), 6) as auc_pr from segments"""),
     "prediction_distribution": _with(PREDICTIONS, """
 select prediction, count(*) as count, count(*) filter (prediction = label) as agreeing from predictions group by 1"""),
     # Pipelines and streams
-    "preprocess_flows": _with(FLOWS + "," + _index("proto") + "," + _index("service"), f"""
+    "preprocess": _with(FLOWS + "," + _index("proto") + "," + _index("service"), f"""
 , labelled as (
   select pkts, flow_rate, bytes, jitter, const_col, sparse_col, proto, service, trim(lower(label), ' ') as label from flows),
 clean as (
@@ -430,6 +440,26 @@ select pkts, flow_rate, bytes, jitter, const_col, label, (case when label = 'ben
   round((pkts - ap) / sp, 6) as z_pkts, round((flow_rate - ar) / sr, 6) as z_flow_rate,
   round((bytes - ab) / sb, 6) as z_bytes, round((jitter - aj) / sj, 6) as z_jitter, 0.0::double as z_const_col
 from clean cross join m join counts using (label) left join proto_rank p using (proto) left join service_rank s using (service)"""),
+    "preprocess_mean": _with(FLOWS + "," + _index("proto") + "," + _index("service"), """
+, clean as (
+  select distinct pkts::double as pkts, flow_rate, bytes, jitter, const_col, sparse_col,
+    coalesce(p.i, (select count(*) from proto_rank))::double as proto,
+    coalesce(s.i, (select count(*) from service_rank))::double as service, label
+  from flows left join proto_rank p using (proto) left join service_rank s using (service)),
+means as (select avg(flow_rate) filter (isfinite(flow_rate)) as mr, avg(sparse_col) as ms from clean),
+filled as (
+  select pkts, case when isfinite(flow_rate) then flow_rate else mr end as flow_rate, bytes, jitter, const_col,
+    coalesce(sparse_col, ms) as sparse_col, proto, service, label, (case when label = 'BENIGN' then 0 else 1 end)::int as y
+  from clean cross join means),
+counts as (select y, count(*) as n from filled group by 1),
+""" + "m as (select " + ", ".join(f"avg({c}) as a_{c}, stddev_samp({c}) as s_{c}" for c in
+                                  ("pkts", "flow_rate", "bytes", "jitter", "sparse_col", "proto", "service"))
+        + " from filled)\nselect " + ", ".join(f"round({c}, 6) as {c}" for c in (
+            "pkts", "flow_rate", "bytes", "jitter", "const_col", "sparse_col", "proto", "service"))
+        + ", label, y as binary_label, round((select max(n) from counts) / n, 6) as sample_weight, "
+        + ", ".join(f"round(({c} - a_{c}) / s_{c}, 6) as z_{c}" for c in
+                    ("pkts", "flow_rate", "bytes", "jitter", "sparse_col", "proto", "service"))
+        + ", 0.0::double as z_const_col from filled cross join m join counts using (y)"),
     "stream_alerts": _with(ALERTS, """
 select event_id, attack_type, severity, source_ip, 'replay' as session_id, processed_at::date as alert_date
 from alerts where is_attack"""),

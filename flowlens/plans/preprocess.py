@@ -2,30 +2,46 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
-from flowlens.functions.labels import binary_label
-from flowlens.operators import cleaning, columns, features, labeling
+from flowlens.functions.labels import binary_label, exact_binary_label
+from flowlens.operators import aggregates, cleaning, columns, features, labeling
 from flowlens.sources.flows import write_metadata, write_processed
 from flowlens.sources.storage import materialize
 
 
 @dataclass(frozen=True)
 class Recipe:
-    """What differs between datasets. ``drop`` and ``categories`` use cleaned names."""
+    """What differs between datasets and variants. All column names are cleaned ones.
+
+    drop                identifier columns to leave out
+    categories          text columns to index; with ``replace_categories`` the index
+                        takes the column's place and is a feature
+    label               the class column weights and metadata refer to
+    normal_values       labels of normal traffic, in any case
+    exact_normal        instead: the one label of normal traffic, to the letter; labels
+                        are then kept as they are
+    weight_on           column whose classes are weighted, by default ``label``
+    imputation          what missing and non-finite numbers become: zero or mean
+    sparse_threshold    drop columns missing in more than this share; None keeps all
+    """
 
     name: str
     drop: tuple = ()
     categories: tuple = ()
+    replace_categories: bool = False
     label: str = "label"
     normal_values: tuple = ("benign",)
-    weight_scheme: str = "inverse"
+    exact_normal: str | None = None
+    weight_on: str | None = None
     imputation: str = "zero"
-    sparse_threshold: float = 0.5
+    sparse_threshold: float | None = 0.5
+
 
+_MEAN = {"imputation": "mean", "sparse_threshold": None, "weight_on": "binary_label"}
 
 RECIPES = {
     "cicids2017": Recipe("cicids2017"),
@@ -34,6 +50,12 @@ RECIPES = {
                    categories=("proto", "service", "state"), label="label_text",
                    normal_values=("normal", "benign")),
 }
+# Variants that fill with the mean and weight attack against normal.
+RECIPES |= {
+    "cicids2017_mean": replace(RECIPES["cicids2017"], name="cicids2017_mean", exact_normal="BENIGN", **_MEAN),
+    "cicids2018_mean": replace(RECIPES["cicids2018"], name="cicids2018_mean", exact_normal="Benign", **_MEAN),
+    "unsw_mean": replace(RECIPES["unsw"], name="unsw_mean", replace_categories=True, **_MEAN),
+}
 
 
 @dataclass
@@ -49,13 +71,15 @@ class Prepared:
 def name_and_index(raw: DataFrame, recipe: Recipe) -> DataFrame:
     """Cleaned names, identifiers dropped, categories indexed by their raw frequency."""
     df = columns.drop_identifiers(columns.clean_names_batch(raw), list(recipe.drop))
-    return features.index_categories(df, list(recipe.categories))
+    return features.index_categories(df, list(recipe.categories), replace=recipe.replace_categories)
 
 
 def clean_flows(named: DataFrame, recipe: Recipe) -> DataFrame:
     """Label text, then duplicates out, then non-finite values to null. No job runs."""
     if "attack_cat" in named.columns:
         labelled = labeling.add_label_text(labeling.standardize_label(named, "attack_cat"))
+    elif recipe.exact_normal is not None:
+        labelled = named
     else:
         labelled = labeling.standardize_label(named, "label")
     return cleaning.mask_numeric(cleaning.deduplicate(labelled), policy="null")
@@ -63,27 +87,30 @@ def clean_flows(named: DataFrame, recipe: Recipe) -> DataFrame:
 
 def add_labels(df: DataFrame, recipe: Recipe) -> DataFrame:
     """``binary_label`` always; a numeric ``label`` where the data has one beside its category."""
-    if recipe.label == "label_text":
-        if "label" in df.columns:
-            return df.withColumn("label", F.col("label").cast("int")).withColumn("binary_label", F.col("label"))
-        return df.withColumn("binary_label", binary_label(F.col("label_text"), recipe.normal_values)).withColumn(
-            "label", F.col("binary_label"))
-    return df.withColumn("binary_label", binary_label(F.col(recipe.label), recipe.normal_values))
+    if recipe.label == "label_text" and "label" in df.columns:
+        return df.withColumn("label", F.col("label").cast("int")).withColumn("binary_label", F.col("label"))
+    source = F.col(recipe.label)
+    if recipe.exact_normal is not None:
+        return df.withColumn("binary_label", exact_binary_label(source, recipe.exact_normal))
+    labelled = df.withColumn("binary_label", binary_label(source, recipe.normal_values))
+    return labelled.withColumn("label", F.col("binary_label")) if recipe.label == "label_text" else labelled
 
 
 def preprocess(raw: DataFrame, dataset: str | Recipe) -> Prepared:
     """Clean, de-duplicate, impute, label, weight and scale.
 
     The de-duplicated rows are stored once in the shared folder. Every later pass
-    (missing profile, class counts, scaler) reads its own columns from that copy
-    instead of repeating the scan and the full-row shuffle.
+    (missing profile or means, class counts, scaler) reads its own columns from that
+    copy instead of repeating the scan and the full-row shuffle.
     """
     recipe = RECIPES[dataset] if isinstance(dataset, str) else dataset
-    clean = materialize(clean_flows(name_and_index(raw, recipe), recipe), f"clean-{recipe.name}")
-    kept = cleaning.drop_sparse_columns(clean, recipe.sparse_threshold)
-    filled = add_labels(cleaning.mask_numeric(kept, policy=recipe.imputation), recipe)
-    weights = labeling.class_weights(filled, recipe.label)
-    weighted = labeling.attach_weights(filled, weights, recipe.label)
+    df = materialize(clean_flows(name_and_index(raw, recipe), recipe), f"clean-{recipe.name}")
+    if recipe.sparse_threshold is not None:
+        df = cleaning.drop_sparse_columns(df, recipe.sparse_threshold)
+    filled = add_labels(cleaning.mask_numeric(df, policy=recipe.imputation), recipe)
+    weight_on = recipe.weight_on or recipe.label
+    weights = labeling.class_weights(filled, weight_on)
+    weighted = labeling.attach_weights(filled, weights, weight_on)
     names = columns.feature_columns(weighted)
     scaler = features.fit_scaler(filled, names)
     table = columns.final_projection(scaler.transform(weighted), names, [
@@ -94,10 +121,9 @@ def preprocess(raw: DataFrame, dataset: str | Recipe) -> Prepared:
 
 def write_prepared(prepared: Prepared, folder: str, name: str, partitions: int | None = None) -> None:
     """Table, class description and scaler under ``folder``."""
-    from flowlens.operators.aggregates import dataset_metadata
-
     base = f"{folder.rstrip('/')}/{name}"
     write_processed(prepared.table, f"{base}_preprocessed.parquet", partitions)
-    label = prepared.weights.columns[0]
-    write_metadata(dataset_metadata(prepared.table, prepared.weights, prepared.features, label), f"{base}_metadata")
+    weighted_column = prepared.weights.columns[0]
+    write_metadata(aggregates.dataset_metadata(prepared.table, prepared.weights, prepared.features, weighted_column),
+                   f"{base}_metadata")
     prepared.scaler.write().overwrite().save(f"{base}_scaler")

@@ -1,27 +1,34 @@
 """The stored alert table and the session log beside it.
 
-Layout: ``session_id=S/batch_id=B/alert_date=D``. A batch folder is overwritten as a
-whole, so replaying a batch changes nothing; a session is one folder to delete; the
-date lets time filters skip folders.
+Layout: ``alert_date=D/session_id=S/batch_id=B``.
+
+* Reading a period opens and even lists the folders of its days only.
+* A micro-batch owns its folders: writing it again first removes what an earlier
+  attempt left, on whatever day, so replays add nothing.
+* Writers stage their files apart from each other, so sessions can write at once.
+* Whole days and whole sessions are deleted as folders; only the day that holds a
+  cutoff is rewritten.
 """
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from flowlens.functions.moments import in_utc, moment
 from flowlens.operators import sessions as S
-from flowlens.operators.alerts import alert_filter, recent_alerts
+from flowlens.operators.alerts import recent_alerts
 from flowlens.schemas import ALERT_SCHEMA, ALERT_SEVERITIES, EXPORT_COLUMNS, SESSION_EVENT_SCHEMA
-from flowlens.sources.storage import delete, exists
+from flowlens.sources.storage import delete, delete_matching, exists, matching
 
 ALERT_COLUMNS = ["is_attack", "attack_type", "severity", "binary_prediction", "multiclass_prediction",
                  "prediction_score", "processed_at", "kafka_timestamp"]
 CONTEXT_COLUMNS = ["event_id", "proto", "service", "state", "source_ip", "destination_ip",
                    "Source_IP", "Destination_IP"]
-PARTITIONS = ["session_id", "batch_id", "alert_date"]
+PARTITIONS = ["alert_date", "session_id", "batch_id"]
 DIRECT_BATCH = -1
 
 
@@ -39,15 +46,32 @@ def alert_rows(scored: DataFrame, severities=ALERT_SEVERITIES) -> DataFrame:
         F.raise_error(F.lit("alert without a time or with an unknown severity"))))
 
 
-def _stamped(alerts: DataFrame, clock) -> DataFrame:
-    return alerts.withColumn("inserted_at", F.current_timestamp() if clock is None else clock).withColumn(
-        "alert_date", F.to_date("processed_at"))
+def _safe_id(session_id: str) -> str:
+    """Session ids become folder names and glob patterns, so they must be plain."""
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", session_id):
+        raise ValueError(f"not a usable session id: {session_id!r}")
+    return session_id
+
+
+def _located(alerts: DataFrame, session_id: str, batch_id: int, clock) -> DataFrame:
+    return (alerts.withColumn("inserted_at", F.current_timestamp() if clock is None else clock)
+            .withColumn("alert_date", F.to_date("processed_at"))
+            .withColumn("session_id", F.lit(_safe_id(session_id)))
+            .withColumn("batch_id", F.lit(batch_id).cast("bigint")))
 
 
-def write_alert_batch(scored: DataFrame, path: str, session_id: str, batch_id: int, clock=None) -> None:
+def _replace_partitions(rows: DataFrame, path: str) -> None:
+    """Replace exactly the partitions that ``rows`` fill. The files are staged in a folder
+    of this job's own and moved when all tasks are done."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
+
+
+def write_alert_batch(scored: DataFrame, path: str, session_id: str, batch_id: int, clock=None,
+                      severities=ALERT_SEVERITIES) -> None:
     """Write the alerts of one micro-batch; writing the same batch again replaces it."""
-    target = f"{path}/session_id={session_id}/batch_id={batch_id}"
-    _stamped(alert_rows(scored), clock).write.mode("overwrite").partitionBy("alert_date").parquet(target)
+    rows = _located(alert_rows(scored, severities), session_id, batch_id, clock)
+    delete_matching(scored.sparkSession, f"{path}/alert_date=*/session_id={session_id}/batch_id={batch_id}")
+    _replace_partitions(rows, path)
 
 
 def write_alert_table(alerts: DataFrame, path: str, batch_id: int = 0) -> None:
@@ -55,39 +79,48 @@ def write_alert_table(alerts: DataFrame, path: str, batch_id: int = 0) -> None:
     each session and day into few files and splits those that hold too much for one task."""
     rows = alerts.withColumn("batch_id", F.lit(batch_id).cast("bigint")).withColumn(
         "alert_date", F.to_date("processed_at"))
-    rows.hint("rebalance", "session_id", "alert_date").write.mode("append").partitionBy(*PARTITIONS).parquet(path)
+    _replace_partitions(rows.hint("rebalance", "alert_date", "session_id"), path)
 
 
 def append_alerts(alerts: DataFrame, path: str, session_id: str, clock=None) -> None:
     """Insert ready-made alerts outside any stream. An empty frame adds no rows."""
-    target = f"{path}/session_id={session_id}/batch_id={DIRECT_BATCH}"
-    rows = alerts.drop("session_id", "batch_id", "alert_date", "inserted_at")
-    _stamped(rows, clock).write.mode("append").partitionBy("alert_date").parquet(target)
+    rows = alerts.drop(*PARTITIONS, "inserted_at")
+    _located(rows, session_id, DIRECT_BATCH, clock).write.mode("append").partitionBy(*PARTITIONS).parquet(path)
+
+
+def _day(value: datetime) -> str:
+    return in_utc(value).strftime("%Y-%m-%d")
 
 
-def table_schema(columns: T.StructType) -> T.StructType:
-    """Columns as stored, with the partition columns in their own types."""
-    kept = [f for f in columns.fields if f.name not in PARTITIONS]
-    return T.StructType(kept + [T.StructField("session_id", T.StringType()), T.StructField("batch_id", T.LongType()),
-                                T.StructField("alert_date", T.DateType())])
+def _stored_schema(spark: SparkSession, days: list[str]) -> T.StructType | None:
+    """Columns of the newest day; deletions can leave day folders without a file."""
+    for folders in (days[-1:], days):
+        try:
+            return spark.read.parquet(*folders).schema if folders else None
+        except AnalysisException as error:
+            if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+    return None
 
 
-def read_alerts(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """The alert table; empty if nothing was stored yet. Pass ``schema`` when batches may
-    differ in their optional columns."""
-    if not exists(spark, path):
+def read_alerts(spark: SparkSession, path: str, since: datetime | None = None, until: datetime | None = None,
+                schema: T.StructType | None = None) -> DataFrame:
+    """The alert table, or the days from ``since`` to ``until`` of it; empty if there are none.
+
+    The bounds only choose the day folders to list. Pass ``schema`` (the stored columns)
+    when batches may differ in their optional columns.
+    """
+    days = [p for p in matching(spark, f"{path}/alert_date=*")
+            if (since is None or p.rsplit("=", 1)[1] >= _day(since))
+            and (until is None or p.rsplit("=", 1)[1] <= _day(until))]
+    schema = schema or _stored_schema(spark, days)
+    if not days or schema is None:
         return spark.createDataFrame([], schema or ALERT_SCHEMA)
-    reader = spark.read.option("basePath", path)
-    if schema is not None:
-        return reader.schema(table_schema(schema)).parquet(path)
-    try:
-        found = reader.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
-            raise
-        return spark.createDataFrame([], ALERT_SCHEMA)  # only batches without an attack so far
-    return found.withColumn("session_id", F.col("session_id").cast("string")).withColumn(
-        "batch_id", F.col("batch_id").cast("bigint"))
+    kept = [f for f in schema.fields if f.name not in PARTITIONS]
+    # Partition types are stated: session ids such as 00123456 or 1234e567 must stay text.
+    parts = [T.StructField("alert_date", T.DateType()), T.StructField("session_id", T.StringType()),
+             T.StructField("batch_id", T.LongType())]
+    return spark.read.option("basePath", path).schema(T.StructType(kept + parts)).parquet(*days)
 
 
 def export_alerts(alerts: DataFrame, limit: int = 1000, severity: str | None = None,
@@ -113,18 +146,21 @@ def clear_session_alerts(spark: SparkSession, path: str, session_id: str) -> int
     """Delete a session's alerts and return how many there were. Other sessions' files stay as they are."""
     if not session_id:
         return 0
-    folder = f"{path}/session_id={session_id}"
-    if not exists(spark, folder):
-        return 0
-    gone = alert_filter(read_alerts(spark, path), session_id=session_id).count()
-    delete(spark, folder)
+    folders = f"{path}/alert_date=*/session_id={_safe_id(session_id)}"
+    gone = _stored_rows(spark, path, matching(spark, folders))
+    delete_matching(spark, folders)
     return gone
 
 
-def delete_all_alerts(spark: SparkSession, path: str) -> int:
-    if not exists(spark, path):
+def _stored_rows(spark: SparkSession, path: str, folders: list[str]) -> int:
+    """Rows under some folders of the table, from the Parquet footers."""
+    if not folders:
         return 0
-    gone = read_alerts(spark, path).count()
+    return spark.read.option("basePath", path).schema(T.StructType()).parquet(*folders).count()
+
+
+def delete_all_alerts(spark: SparkSession, path: str) -> int:
+    gone = _stored_rows(spark, path, matching(spark, f"{path}/alert_date=*"))
     delete(spark, path)
     return gone
 
@@ -132,29 +168,27 @@ def delete_all_alerts(spark: SparkSession, path: str) -> int:
 def delete_old_alerts(spark: SparkSession, path: str, days: int = 30, now: datetime | None = None) -> int:
     """Delete alerts older than ``days`` and return how many there were.
 
-    Later days are pruned. A folder with nothing left to keep is removed; one that
-    holds the cutoff is rewritten without its old rows. Running it again finishes an
-    interrupted run.
+    Days before the cutoff go as folders, later days are not looked at, and on the
+    cutoff's own day only the batches that lie on both sides of it are rewritten.
+    Running it again finishes an interrupted run.
     """
-    cutoff = (now or datetime.now(timezone.utc)) - timedelta(days=days)
-    table = read_alerts(spark, path)
-    limit = F.lit(cutoff).cast(table.schema["processed_at"].dataType)
-    candidates = table.where(F.col("alert_date") <= F.lit(cutoff.date()))
-    old = F.col("processed_at") < limit
-    per_folder = candidates.groupBy(*PARTITIONS).agg(
-        F.count_if(old).alias("old"), F.count(F.lit(1)).alias("rows")).where("old > 0")
-    gone, mixed = 0, False
-    for row in per_folder.collect():  # one row per folder to remove or rewrite
-        gone += row["old"]
-        if row["old"] == row["rows"]:
-            delete(spark, f"{path}/session_id={row['session_id']}/batch_id={row['batch_id']}"
-                          f"/alert_date={row['alert_date']}")
-        else:
-            mixed = True
-    if mixed:
-        day = read_alerts(spark, path).where(F.col("alert_date") == F.lit(cutoff.date()))
-        day.where(~old).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            *PARTITIONS).parquet(path)
+    cutoff = in_utc(now or datetime.now(timezone.utc)) - timedelta(days=days)
+    expired = [p for p in matching(spark, f"{path}/alert_date=*") if p.rsplit("=", 1)[1] < _day(cutoff)]
+    gone = _stored_rows(spark, path, expired)
+    for folder in expired:
+        delete(spark, folder)
+
+    day = read_alerts(spark, path, cutoff, cutoff)
+    old = F.col("processed_at") < moment(cutoff, day.schema["processed_at"].dataType)
+    batches = day.groupBy(*PARTITIONS).agg(
+        F.count_if(old).alias("old"), F.count(F.lit(1)).alias("rows")).where("old > 0").persist()
+    gone += batches.agg(F.coalesce(F.sum("old"), F.lit(0))).first()[0]
+    mixed = batches.where("old < rows").select(*PARTITIONS)
+    emptied = batches.where("old = rows").select(*PARTITIONS).collect()  # one row per folder to delete
+    _replace_partitions(day.where(~old).join(mixed, PARTITIONS, "left_semi"), path)
+    for row in emptied:
+        delete(spark, "/".join([path, *(f"{c}={row[c]}" for c in PARTITIONS)]))
+    batches.unpersist()
     return gone
 
 

@@ -27,6 +27,19 @@ def delete(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path) and fs.delete(hadoop_path, True)
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths matching a glob pattern, sorted."""
+    hadoop_path, fs = _resolve(spark, pattern)
+    return sorted(status.getPath().toString() for status in fs.globStatus(hadoop_path) or [])
+
+
+def delete_matching(spark: SparkSession, pattern: str) -> int:
+    found = matching(spark, pattern)
+    for path in found:
+        delete(spark, path)
+    return len(found)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``.
 

@@ -11,7 +11,7 @@ from flowlens.operators.alerts import BIN_ORIGIN
 from flowlens.operators.cleaning import mask_numeric
 from flowlens.operators.columns import clean_names_stream, stream_name
 from flowlens.operators.scoring import Detector, score_and_enrich
-from flowlens.schemas import CIC_FEATURES, UNSW_FEATURES, stream_schema
+from flowlens.schemas import ALERT_SEVERITIES, CIC_FEATURES, UNSW_FEATURES, stream_schema
 from flowlens.sources import alert_table
 from flowlens.sources.storage import scratch_path
 from flowlens.streaming.messages import parse_flow_json
@@ -51,10 +51,11 @@ def detect(messages: DataFrame, source: str, detector: Detector, delay: str | No
 
 # Sinks -------------------------------------------------------------------
 
-def alert_sink(path: str, session_id: str, clock: Column | None = None) -> BatchSink:
-    """Store the alerts of each micro-batch in the alert table."""
+def alert_sink(path: str, session_id: str, clock: Column | None = None, severities=ALERT_SEVERITIES) -> BatchSink:
+    """Store the alerts of each micro-batch in the alert table. A severity policy with levels
+    of its own names them in ``severities``."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        alert_table.write_alert_batch(batch, path, session_id, batch_id, clock)
+        alert_table.write_alert_batch(batch, path, session_id, batch_id, clock, severities)
     return write
 
 

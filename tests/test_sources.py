@@ -208,6 +208,18 @@ def test_preprocess_without_a_binary_column(spark):
     assert sorted(rows(preprocess(raw, "unsw").table, "dur", "label", "binary_label")) == [(1.0, 0, 0), (2.0, 1, 1)]
 
 
+def test_preprocess_with_means(spark):
+    raw = spark.createDataFrame([
+        (1, 1.0, "tcp", "Normal", 0), (2, float("inf"), "udp", "Worms", 1), (3, 3.0, "udp", "Worms", 1),
+        (4, None, None, "Worms", 1)], "id int, dur double, proto string, attack_cat string, label int")
+    prepared = preprocess(raw, "unsw_mean")
+    assert prepared.features == ["dur", "proto"]
+    assert rows(prepared.table.orderBy("proto", "dur"), "dur", "proto", "binary_label", "sample_weight") == [
+        (2.0, 0.0, 1, 1.0), (3.0, 0.0, 1, 1.0), (1.0, 1.0, 0, 3.0), (2.0, 2.0, 1, 1.0)]
+    cic = spark.createDataFrame([(1.0, "BENIGN"), (2.0, "benign")], "`Flow Duration` double, Label string")
+    assert sorted(rows(preprocess(cic, "cicids2017_mean").table, "label", "binary_label")) == [("BENIGN", 0), ("benign", 1)]
+
+
 def test_recipes_name_known_datasets():
-    assert set(RECIPES) == set(la.LABEL_SPACES)
-    assert all(isinstance(r, Recipe) for r in RECIPES.values())
+    assert {name.removesuffix("_mean") for name in RECIPES} == set(la.LABEL_SPACES)
+    assert all(isinstance(r, Recipe) and r.name == name for name, r in RECIPES.items())

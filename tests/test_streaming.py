@@ -197,11 +197,51 @@ def test_append_and_export(spark, folder):
         at.write_export(export, folder + "/x", "xml")
 
 
+@pytest.mark.parametrize("name", ["00123456", "1234e567", "2024-01-01", "a.b_c-d"])
+def test_session_ids_stay_text(spark, folder, name):
+    at.write_alert_batch(scored(spark, 2, datetime(2024, 1, 1)), folder, name, 0)
+    assert {r["session_id"] for r in at.read_alerts(spark, folder).collect()} == {name}
+    assert at.clear_session_alerts(spark, folder, name) == 2
+
+
+@pytest.mark.parametrize("name", ["a/b", "*", "", "..", "a=b"])
+def test_unusable_session_ids(spark, folder, name):
+    with pytest.raises(ValueError):
+        at.write_alert_batch(scored(spark, 1, datetime(2024, 1, 1)), folder, name, 0)
+
+
+def test_reading_a_period_lists_its_days_only(spark, folder):
+    for day in (1, 2, 3):
+        at.write_alert_batch(scored(spark, day, datetime(2024, 1, day, 12)), folder, "s", day)
+    some = at.read_alerts(spark, folder, since=datetime(2024, 1, 2, 18), until=datetime(2024, 1, 2, 23))
+    assert some.count() == 2 and all("2024-01-02" in f for f in some.inputFiles())
+    assert at.read_alerts(spark, folder, since=datetime(2024, 1, 2)).count() == 5
+    assert at.read_alerts(spark, folder, since=datetime(2024, 2, 1)).count() == 0
+
+
+def test_two_sessions_write_at_once(spark, folder):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def write(n):
+        at.write_alert_batch(scored(spark, 20, datetime(2024, 1, 1)), folder, f"s{n % 3}", n)
+
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(write, range(12)))
+    assert at.read_alerts(spark, folder).count() == 240
+
+
+def test_levels_of_another_policy(spark, folder):
+    critical = scored(spark, 2, datetime(2024, 1, 1)).withColumn("severity", F.lit("CRITICAL"))
+    de.alert_sink(folder, "s", severities=["CRITICAL", "HIGH"])(critical, 0)
+    assert at.read_alerts(spark, folder).count() == 2
+
+
 def test_clearing_one_session_leaves_the_other_alone(spark, folder):
     at.write_alert_batch(scored(spark, 5, datetime(2024, 1, 1)), folder, "a", 0)
     at.write_alert_batch(scored(spark, 3, datetime(2024, 1, 1)), folder, "b", 0)
+    at.write_alert_batch(scored(spark, 2, datetime(2024, 1, 2)), folder, "a", 1)
     before = {p: t for p, t in files(folder).items() if "session_id=b" in str(p)}
-    assert at.clear_session_alerts(spark, folder, "a") == 5
+    assert at.clear_session_alerts(spark, folder, "a") == 7
     assert at.clear_session_alerts(spark, folder, "a") == 0 and at.clear_session_alerts(spark, folder, "") == 0
     assert files(folder) == before and at.read_alerts(spark, folder).count() == 3
 
@@ -212,10 +252,13 @@ def test_old_alerts_are_deleted_to_the_minute(spark, folder):
     moments = [cutoff - timedelta(days=2), cutoff - timedelta(minutes=1), cutoff, cutoff + timedelta(minutes=1), now]
     for i, moment in enumerate(moments):
         at.write_alert_batch(scored(spark, 2, moment), folder, "s", i)
+    at.write_alert_batch(scored(spark, 4, cutoff - timedelta(days=9)), folder, "t", 9)
     mixed = scored(spark, 2, moments[1]).unionByName(scored(spark, 3, moments[3]))
     at.write_alert_batch(mixed, folder, "t", 0)
-    untouched = {p: t for p, t in files(folder).items() if "alert_date=2024-02-01" in str(p)}
-    assert at.delete_old_alerts(spark, folder, 30, now) == 6
+    assert sum("session_id=s/batch_id=3" in str(p) for p in files(folder)) > 0
+    untouched = {p: t for p, t in files(folder).items()
+                 if "alert_date=2024-02-01" in str(p) or "session_id=s/batch_id=3" in str(p)}
+    assert at.delete_old_alerts(spark, folder, 30, now) == 10
     left = at.read_alerts(spark, folder)
     assert left.count() == 9 and left.where(F.col("processed_at") < F.lit(cutoff)).count() == 0
     assert untouched.items() <= files(folder).items()
