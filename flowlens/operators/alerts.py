@@ -72,9 +72,14 @@ def alert_filter(alerts: DataFrame, severity: str | None = None, attack_type: st
 
 
 def alert_time_range(alerts: DataFrame, start, end=None, **session) -> DataFrame:
-    """Alerts from ``start`` to ``end`` (default now), both included, newest first."""
+    """Alerts from ``start`` to ``end`` (default now), both included, newest first.
+
+    All alerts of a micro-batch share one time. Ordering equal times by a hash of the
+    row lets the sort spread them over tasks.
+    """
     bounds = _from(alerts, _moment(alerts, start)) + _until(alerts, _moment(alerts, end))
-    return alert_filter(alerts, **session).where(_every(bounds)).orderBy(F.desc(TIME))
+    spread = F.xxhash64(*[F.col(c) for c in alerts.columns])
+    return alert_filter(alerts, **session).where(_every(bounds)).orderBy(F.desc(TIME), spread)
 
 
 def alert_search(alerts: DataFrame, text: str | None = None, severity: str | None = None,

@@ -28,7 +28,7 @@ def confusion_normalized(predictions: DataFrame, label: str = "label", predictio
     """Full matrix over the union of true and predicted classes; each row sums to 1 or is 0."""
     counts = small_copy(confusion(predictions, label, prediction), max_classes**2)
     if counts is None:
-        raise ValueError(f"more than {max_classes} classes")
+        raise ValueError(f"more than {max_classes} classes: use confusion(), which lists the occurring pairs only")
     classes = counts.select(F.explode(F.array("label", "prediction")).alias("c")).agg(
         F.array_sort(F.collect_set("c")).alias("classes"))
     cells = classes.select(F.explode("classes").alias("label"), "classes").select(

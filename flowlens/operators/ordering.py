@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from flowlens.functions.moments import literal
 
 SHALLOW_ROWS = 10_000
+MAX_RANGES = 10_000  # bounds the per-range rows that reach the driver
 
 
 def range_count(df: DataFrame) -> int:
     """Four ranges per shuffle partition, so that hashing the ranges to tasks evens out."""
-    return 4 * max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return min(4 * max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), MAX_RANGES)
 
 
 def range_splits(df: DataFrame, key: str, ranges: int | None = None) -> list[float]:

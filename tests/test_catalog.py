@@ -35,12 +35,12 @@ def test_matches_sql(spark, connection, name):
 @pytest.mark.parametrize("name", ["train_lr", "train_rf_binary", "train_gbt_binary"])
 def test_binary_models_separate_the_classes(spark, name):
     metrics = entry.queries()[name](spark, SF).first()
-    assert 0.5 < metrics["auc_roc"] <= 1.0
+    assert 0.7 < metrics["auc_roc"] <= 1.0
     assert 0.0 < metrics["accuracy"] <= 1.0
 
 
 def test_multiclass_model_beats_guessing(spark):
-    assert entry.queries()["train_rf_multiclass"](spark, SF).first()["accuracy"] > 0.1
+    assert entry.queries()["train_rf_multiclass"](spark, SF).first()["accuracy"] > 0.25
 
 
 def test_model_tables(spark):
