@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from flowlens.functions.numeric import quoted
 from flowlens.operators.ordering import range_splits, running_totals
@@ -65,29 +65,25 @@ def exact_percentiles(df: DataFrame, column: str, fractions: list[float]) -> lis
     """Interpolated percentiles without gathering the column in one buffer.
 
     Equal values are counted first, then running totals over value ranges tell which
-    values sit at the wanted positions.
+    values sit at the wanted positions. Null and NaN are left out.
     """
     values = df.select(quoted(column).cast("double").alias("value")).where(
         F.col("value").isNotNull() & ~F.isnan("value"))
-    counted = values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    placed = running_totals(counted, "value", ["n"], range_splits(values, "value"))
-    total = values.count()
+    return _percentiles(values, values.count(), fractions)
+
+
+def _percentiles(values: DataFrame, total: int, fractions: list[float]) -> list[float | None]:
     if total == 0:
         return [None] * len(fractions)
-    wanted = {}
-    for i, fraction in enumerate(fractions):
-        position = fraction * (total - 1)
-        low = int(position)
-        wanted[f"low{i}"], wanted[f"high{i}"] = low, min(low + 1, total - 1)
-    inside = [F.max(F.when((F.col("n_before") <= k) & (F.col("n_before") + F.col("n") > k), F.col("value"))).alias(a)
-              for a, k in wanted.items()]
-    row = placed.agg(*inside).first()
-    found = []
-    for i, fraction in enumerate(fractions):
-        position = fraction * (total - 1)
-        weight = position - int(position)
-        found.append(row[f"low{i}"] + (row[f"high{i}"] - row[f"low{i}"]) * weight)
-    return found
+    counted = values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    placed = running_totals(counted, "value", ["n"], range_splits(values, "value"))
+    positions = [fraction * (total - 1) for fraction in fractions]
+    wanted = sorted({p for position in positions for p in (int(position), min(int(position) + 1, total - 1))})
+    at = placed.agg(*[
+        F.max(F.when((F.col("n_before") <= p) & (F.col("n_before") + F.col("n") > p), F.col("value"))) for p in wanted
+    ]).first()
+    value = dict(zip(wanted, at))
+    return [value[int(p)] + (value[min(int(p) + 1, total - 1)] - value[int(p)]) * (p - int(p)) for p in positions]
 
 
 def column_summary(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
@@ -95,19 +91,18 @@ def column_summary(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
 
     ``exact=False`` takes the quartiles from Spark's quantile sketch in the same pass.
     """
-    c = quoted(column).cast("double")
-    quartiles = [0.25, 0.5, 0.75]
+    values = df.select(quoted(column).cast("double").alias("value"))
+    c, quartiles, names = F.col("value"), [0.25, 0.5, 0.75], ["q25", "q50", "q75"]
     stats = [F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("stddev"),
-             F.min(c).alias("min")]
-    names = ["q25", "q50", "q75"]
-    if exact:
-        values = exact_percentiles(df, column, quartiles)
-        row = df.agg(*stats, F.max(c).alias("max"))
-        return row.select("count", "mean", "stddev", "min",
-                          *[F.lit(v).cast("double").alias(n) for n, v in zip(names, values)], "max")
-    sketch = F.percentile_approx(c, quartiles, 10_000)
-    return df.agg(*stats, sketch.alias("_q"), F.max(c).alias("max")).select(
-        "count", "mean", "stddev", "min", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)], "max")
+             F.min(c).alias("min"), F.max(c).alias("max")]
+    order = ["count", "mean", "stddev", "min", *names, "max"]
+    if not exact:
+        sketch = values.agg(*stats, F.percentile_approx(c, quartiles, 10_000).alias("_q"))
+        return sketch.select("*", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]).select(*order)
+    row = values.agg(*stats, F.count_if(~F.isnan(c)).alias("_n")).first().asDict()
+    row |= zip(names, _percentiles(values.where(c.isNotNull() & ~F.isnan(c)), row["_n"], quartiles))
+    schema = T.StructType([T.StructField(n, T.LongType() if n == "count" else T.DoubleType()) for n in order])
+    return df.sparkSession.createDataFrame([tuple(row[n] for n in order)], schema)
 
 
 def prediction_distribution(predictions: DataFrame, prediction: str = "prediction",

@@ -74,7 +74,9 @@ def class_weights(df: DataFrame, label: str = "label", scheme: str = "inverse",
 
 def attach_weights(df: DataFrame, weights: DataFrame, label: str = "label", output: str = "sample_weight",
                    default: float | None = 1.0) -> DataFrame:
-    """Weight of each row's class. Classes without a weight get ``default``, or null."""
+    """Weight of each row's class, in place of an earlier one. Classes without a weight get
+    ``default``, or null."""
+    df = df.drop(output)
     table = weights.select(F.col(label), F.col("weight").alias(output))
     joined = join_lookup(df, table, label)
     value = F.col(output) if default is None else F.coalesce(F.col(output), F.lit(default))

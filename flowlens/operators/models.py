@@ -70,18 +70,19 @@ def evaluate(model: PipelineModel, test: DataFrame, label: str, prefix: str = ""
     scored = model.transform(test)
     kept = [F.col(label).cast("double").alias("label"), F.col(prefix + "prediction").alias("prediction")]
     if not binary:
-        return multiclass_metrics(scored.select(*kept))
+        return _one_row(test.sparkSession, multiclass_metrics(scored.select(*kept)).first().asDict())
     scored = positive_score(scored, prefix).select(*kept, "score").persist()
     try:
         row = {**multiclass_metrics(scored).first().asDict(), **binary_areas(scored).first().asDict()}
     finally:
         scored.unpersist()
-    schema = T.StructType([T.StructField(m, T.DoubleType()) for m in METRICS])
-    return df_of_rows(test.sparkSession, [tuple(row[m] for m in METRICS)], schema)
+    return _one_row(test.sparkSession, row)
 
 
-def df_of_rows(spark: SparkSession, rows: list, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+def _one_row(spark: SparkSession, metrics: dict[str, float]) -> DataFrame:
+    names = [m for m in METRICS if m in metrics]
+    schema = T.StructType([T.StructField(m, T.DoubleType()) for m in names])
+    return spark.createDataFrame([tuple(metrics[m] for m in names)], schema)
 
 
 def compare_weighted(train_df: DataFrame, test: DataFrame, features, label: str = "binary_label",
@@ -127,5 +128,5 @@ def feature_importance(spark: SparkSession, model: PipelineModel, names: list[st
         names = vectors[0].getInputCols() if vectors else [f"feature_{i}" for i in range(weights.size)]
     rows = [(name, float(weight)) for name, weight in zip(names, weights.toArray())]
     schema = T.StructType([T.StructField("feature", T.StringType()), T.StructField("importance", T.DoubleType())])
-    ranked = df_of_rows(spark, rows, schema).orderBy(F.desc("importance"), "feature")
+    ranked = spark.createDataFrame(rows, schema).orderBy(F.desc("importance"), "feature")
     return ranked if k is None else ranked.limit(k)

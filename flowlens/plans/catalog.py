@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from flowlens.functions.detection import attack_type
 from flowlens.operators import (
     aggregates as agg,
     alerts as al,
@@ -20,7 +21,7 @@ from flowlens.operators import (
     sessions as se,
     splits as sp,
 )
-from flowlens.plans import fixtures as fx, preprocess as pp
+from flowlens.plans import fixtures as fx, preprocess as pp, training as tr
 from flowlens.schemas import CLASS_NAMES, UNSW_FEATURES, csv_schema
 from flowlens.sources import alert_table as at, flows as fl, storage as st, streams as ss
 from flowlens.streaming import detect as de, messages as me
@@ -735,6 +736,16 @@ def model_comparison(spark, sf):
     return mo.model_comparison(mo.results_table(spark, rows, train.count(), test.count()))
 
 
+@query
+def train_suite(spark, sf):
+    """The models UNSW flows are served with, trained, saved and evaluated."""
+    category = attack_type(F.col("unified_label"), CLASS_NAMES["unsw"])
+    train, test = (rows.withColumn("attack_cat", category) for rows in _unsw_rows(spark, sf))
+    train, test = tr.unsw_training_rows(train.where("attack_cat <> 'Generic'"), test, ["vec_id"])
+    return tr.train_suite(train, test, UNSW_FEATURES, "unsw", st.scratch_path(spark, "models"), {
+        "unsw_rf_binary": SMALL_FOREST, "unsw_gbt_binary": SMALL_BOOST, "unsw_multiclass": SMALL_FOREST})
+
+
 # Pipelines and streams ---------------------------------------------------
 
 FLOW_RECIPE = pp.Recipe("flows", drop=("l_orderkey", "l_partkey", "l_suppkey"), categories=("proto", "service"))

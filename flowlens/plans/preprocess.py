@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowlens.functions.labels import binary_label, exact_binary_label
 from flowlens.operators import aggregates, cleaning, columns, features, labeling
-from flowlens.sources.flows import write_metadata, write_processed
+from flowlens.schemas import CLASS_NAMES
+from flowlens.sources.flows import read_dataset, read_processed, verify_written, write_metadata, write_processed
 from flowlens.sources.storage import materialize
 
 
@@ -127,3 +128,25 @@ def write_prepared(prepared: Prepared, folder: str, name: str, partitions: int |
     write_metadata(aggregates.dataset_metadata(prepared.table, prepared.weights, prepared.features, weighted_column),
                    f"{base}_metadata")
     prepared.scaler.write().overwrite().save(f"{base}_scaler")
+
+
+def preprocess_folder(spark: SparkSession, source: str, target: str, recipe: str) -> Prepared:
+    """Read a published dataset from CSV, preprocess it and store the result."""
+    prepared = preprocess(read_dataset(spark, source, recipe.removesuffix("_mean")), recipe)
+    write_prepared(prepared, target, recipe)
+    return prepared
+
+
+def harmonize_processed(spark: SparkSession, folder: str, target: str, files: int = 50) -> DataFrame:
+    """Unite the processed CIC tables of both years, store table and description, verify the rows."""
+    tables = {name: read_processed(spark, f"{folder.rstrip('/')}/{name}_preprocessed.parquet")
+              for name in ("cicids2017", "cicids2018")}
+    merged = labeling.harmonize(tables)
+    path = f"{target.rstrip('/')}/cicids_merged_harmonized"
+    write_processed(merged, path, files)
+    stored = read_processed(spark, path)
+    write_metadata(aggregates.harmonized_metadata(stored, CLASS_NAMES["cic_unified"]), f"{path}_metadata")
+    expected = sum(t.count() for t in tables.values())  # from the Parquet footers
+    if not verify_written(spark, path, expected).first()["verified"]:
+        raise RuntimeError(f"{path} does not hold {expected} rows")
+    return stored

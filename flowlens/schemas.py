@@ -170,6 +170,26 @@ IDENTIFIER_COLUMNS = {
 
 CIC_2018_DROP = ["Flow ID", "Src IP", "Src Port", "Dst IP"]
 
+# File names of the published datasets; the raw UNSW files have no header.
+CSV_FILES = {
+    "cicids2017": [
+        "Monday-WorkingHours.pcap_ISCX.csv",
+        "Tuesday-WorkingHours.pcap_ISCX.csv",
+        "Wednesday-workingHours.pcap_ISCX.csv",
+        "Thursday-WorkingHours-Morning-WebAttacks.pcap_ISCX.csv",
+        "Thursday-WorkingHours-Afternoon-Infilteration.pcap_ISCX.csv",
+        "Friday-WorkingHours-Morning.pcap_ISCX.csv",
+        "Friday-WorkingHours-Afternoon-PortScan.pcap_ISCX.csv",
+        "Friday-WorkingHours-Afternoon-DDos.pcap_ISCX.csv",
+    ],
+    "cicids2018": [
+        "02-14-2018.csv", "02-15-2018.csv", "02-16-2018.csv", "02-20-2018.csv", "02-21-2018.csv",
+        "02-22-2018.csv", "02-23-2018.csv", "02-28-2018.csv", "03-01-2018.csv", "03-02-2018.csv",
+    ],
+    "unsw": ["UNSW_NB15_training-set.csv", "UNSW_NB15_testing-set.csv"],
+    "unsw_raw": ["UNSW-NB15_1.csv", "UNSW-NB15_2.csv", "UNSW-NB15_3.csv", "UNSW-NB15_4.csv"],
+}
+
 NON_FEATURE_COLUMNS = [
     "label", "attack_cat", "label_text", "sample_weight", "binary_label", "unified_label",
     "multiclass_weight", "dataset_source", "features", "scaled_features", "id", "timestamp",
@@ -191,7 +211,7 @@ MODEL_PRESETS = {
                           "minInfoGain": 0.001, "seed": 42},
     "rf_multiclass_cic_improved": {"numTrees": 50, "maxDepth": 12, "maxBins": 64, "minInstancesPerNode": 5,
                                    "featureSubsetStrategy": "sqrt", "seed": 42},
-    "rf_multiclass_unsw": {"numTrees": 100, "maxDepth": 15, "maxBins": 64, "minInstancesPerNode": 5,
+    "rf_multiclass_unsw": {"numTrees": 100, "maxDepth": 15, "maxBins": 64, "minInstancesPerNode": 3,
                            "featureSubsetStrategy": "sqrt", "seed": 42},
     "rf_multiclass_unsw_fixed": {"numTrees": 50, "maxDepth": 12, "maxBins": 32, "minInstancesPerNode": 5,
                                  "featureSubsetStrategy": "sqrt", "seed": 42},

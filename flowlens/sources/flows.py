@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import logging
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from flowlens.functions.numeric import quoted
 from flowlens.functions.hashing import row_key
-from flowlens.sources.storage import exists
+from flowlens.schemas import CIC_2018_DROP, CSV_FILES, csv_schema
+from flowlens.sources.storage import matching
 
 log = logging.getLogger(__name__)
 
 
 def _present(spark: SparkSession, paths) -> list[str]:
     paths = [paths] if isinstance(paths, str) else list(paths)
-    found = [p for p in paths if exists(spark, p)]
+    found = [p for p in paths if matching(spark, p)]
     for path in sorted(set(paths) - set(found)):
         log.warning("no such file, skipped: %s", path)
     if not found:
@@ -33,15 +35,17 @@ def read_flow_csv(spark: SparkSession, paths, schema: T.StructType, header: bool
                   drop=()) -> DataFrame:
     """Read many CSV files with explicit types; missing files are skipped with a warning.
 
-    Without a header the columns are taken by position and their number must match.
-    With one they are taken by name: files that share a header form one scan, and
-    scans with other headers are united by name, absent columns being null. ``drop``
-    names columns to leave out.
+    A path is a file, or a folder or pattern whose files share one header. Without a
+    header the columns are taken by position and their number must match. With one they
+    are taken by name: paths that share a header form one scan, and scans with other
+    headers are united by name, absent columns being null. ``drop`` names columns to
+    leave out.
     """
     found = _present(spark, paths)
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in found:
-        by_header.setdefault(_header(spark, path, header), []).append(path)
+    with ThreadPoolExecutor(8) as pool:  # reading first lines is all waiting
+        for path, names in zip(found, pool.map(lambda p: _header(spark, p, header), found)):
+            by_header.setdefault(names, []).append(path)
     types = {f.name.strip().lower(): f for f in schema.fields}
     scans = []
     for names, group in by_header.items():
@@ -60,6 +64,26 @@ def read_flow_csv(spark: SparkSession, paths, schema: T.StructType, header: bool
     return union_flows(scans, drop=drop, on_mismatch="null")
 
 
+def read_dataset(spark: SparkSession, folder: str, dataset: str) -> DataFrame:
+    """A published dataset from the CSV files found in ``folder``.
+
+    For UNSW the raw files join the train and test sets only if their columns agree,
+    and are skipped with a warning otherwise.
+    """
+    def found(kind):
+        paths = [f"{folder.rstrip('/')}/{name}" for name in CSV_FILES[kind]]
+        return [p for p in paths if matching(spark, p)], paths
+
+    if dataset != "unsw":
+        drop = CIC_2018_DROP if dataset == "cicids2018" else ()
+        return read_flow_csv(spark, found(dataset)[1], csv_schema(dataset), drop=drop)
+    frames = [read_flow_csv(spark, found(kind)[0], csv_schema(kind), header=kind == "unsw")
+              for kind in ("unsw", "unsw_raw") if found(kind)[0]]
+    if not frames:
+        raise FileNotFoundError(f"no UNSW files in {folder}")
+    return union_flows(frames, on_mismatch="skip")
+
+
 def union_flows(frames: list[DataFrame], drop=(), on_mismatch: str = "raise") -> DataFrame:
     """All rows of the frames, matched by column name.
 

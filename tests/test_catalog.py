@@ -52,6 +52,14 @@ def test_model_tables(spark):
     assert {r["model"] for r in comparison.collect()} == {"rf", "gbt"}
 
 
+def test_suite_reports_every_model(spark):
+    results = entry.queries()["train_suite"](spark, SF).collect()
+    values = {(r["model"], r["metric"]): r["value"] for r in results}
+    assert len(results) == 6 + 6 + 4
+    assert values["unsw_gbt_binary", "auc_roc"] > 0.7 and values["unsw_multiclass", "accuracy"] > 0.25
+    assert {(r["train_rows"] + r["test_rows"]) for r in results} != {0}
+
+
 def test_stream_and_batch_detection_agree(spark):
     stream = {tuple(r) for r in entry.queries()["stream_detect"](spark, SF).collect()}
     batch = {tuple(r) for r in entry.queries()["batch_detect"](spark, SF).collect()}

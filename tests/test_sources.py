@@ -7,7 +7,7 @@ from pyspark.sql import functions as F, types as T
 
 from flowlens import schemas
 from flowlens.operators import labeling as la
-from flowlens.plans.preprocess import RECIPES, Recipe, preprocess, write_prepared
+from flowlens.plans.preprocess import RECIPES, Recipe, harmonize_processed, preprocess, preprocess_folder, write_prepared
 from flowlens.sources import flows as fl
 from flowlens.sources import models as sm
 from flowlens.sources import storage as st
@@ -220,6 +220,36 @@ def test_preprocess_with_means(spark):
     assert sorted(rows(preprocess(cic, "cicids2017_mean").table, "label", "binary_label")) == [("BENIGN", 0), ("benign", 1)]
 
 
+def test_published_files_to_a_harmonised_table(spark, folder):
+    for name in ("cicids2017", "cicids2018"):
+        (Path(folder) / name).mkdir()
+    head = "Destination Port,Flow Duration,Flow Bytes/s, Label"
+    write(folder, "cicids2017/Monday-WorkingHours.pcap_ISCX.csv", head + "\n80,1,2.5,BENIGN\n80,1,2.5,BENIGN\n22,3,NaN,SSH-Patator\n")
+    write(folder, "cicids2017/Friday-WorkingHours-Morning.pcap_ISCX.csv", head + "\n443,5,1.5,Bot\n")
+    write(folder, "cicids2018/02-14-2018.csv", "Destination Port,Timestamp,Flow Duration,Flow Bytes/s,Label\n80,now,7,Infinity,Benign\n")
+    write(folder, "cicids2018/02-20-2018.csv", "Flow ID,Src IP,Src Port,Dst IP,Destination Port,Timestamp,Flow Duration,Flow Bytes/s,Label\n"
+          "f,10.0.0.1,5,10.0.0.2,21,now,9,4,DDOS attack-LOIC-UDP\n")
+    for name in ("cicids2017", "cicids2018"):
+        preprocess_folder(spark, f"{folder}/{name}", f"{folder}/out", name)
+    merged = harmonize_processed(spark, f"{folder}/out", f"{folder}/out")
+    assert sorted(rows(merged, "label", "unified_label", "binary_label", "dataset_source", "multiclass_weight")) == [
+        ("benign", 0, 0, "cicids2017", 1.0), ("benign", 0, 0, "cicids2018", 1.0), ("bot", 6, 1, "cicids2017", 2.0),
+        ("ddos attack-loic-udp", 2, 1, "cicids2018", 2.0), ("ssh-patator", 3, 1, "cicids2017", 2.0)]
+    described = {r["class_name"]: r["class_rows"] for r in spark.read.json(
+        f"{folder}/out/cicids_merged_harmonized_metadata").collect()}
+    assert described == {"Benign": 2, "Botnet": 1, "DDoS": 1, "Brute_Force": 1}
+
+
+def test_raw_unsw_files_are_skipped_when_columns_differ(spark, folder, caplog):
+    names = ["id", *schemas.UNSW_FEATURES, "proto", "service", "state", "attack_cat", "label"]
+    write(folder, "UNSW_NB15_training-set.csv", ",".join(names) + "\n" + ",".join(["1"] * len(names)) + "\n")
+    write(folder, "UNSW-NB15_1.csv", ",".join(["1"] * 49) + "\n")
+    assert fl.read_dataset(spark, folder, "unsw").count() == 1
+    assert "skipped" in caplog.text
+    with pytest.raises(FileNotFoundError):
+        fl.read_dataset(spark, folder + "/none", "unsw")
+
+
 def test_recipes_name_known_datasets():
     assert {name.removesuffix("_mean") for name in RECIPES} == set(la.LABEL_SPACES)
     assert all(isinstance(r, Recipe) and r.name == name for name, r in RECIPES.items())
