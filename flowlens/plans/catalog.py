@@ -677,7 +677,7 @@ def training_rows(spark, sf):
     the position of the largest of the first ten dimensions; class 0 is normal traffic."""
     first = F.slice("embedding", 1, 10)
     rows = fx.table(spark, sf, "embeddings").select(
-        "vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("vector"),
+        "vec_id", "embedding", array_to_vector(F.col("embedding").cast("array<double>")).alias("vector"),
         (F.array_position(first, F.array_max(first)) - 1).cast("double").alias("unified_label"))
     rows = rows.withColumn("binary_label", F.when(F.col("unified_label") == 0, 0.0).otherwise(1.0))
     weighted = la.attach_weights(rows, la.class_weights(rows, "binary_label", "sqrt2"), "binary_label")
@@ -827,9 +827,8 @@ def _unsw_rows(spark, sf):
     train, test = training_rows(spark, sf)
 
     def named(rows):
-        v = vector_to_array("vector")
         return rows.select("*", F.col("vec_id").cast("double").alias("id"),
-                           *[v[i].alias(name) for i, name in enumerate(UNSW_FEATURES)])
+                           *[F.col("embedding")[i].cast("double").alias(name) for i, name in enumerate(UNSW_FEATURES)])
     return named(train), named(test)
 
 

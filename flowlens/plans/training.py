@@ -72,21 +72,23 @@ def train_suite(train: DataFrame, test: DataFrame, features, suite: str, folder:
                 overrides: dict[str, dict] | None = None) -> DataFrame:
     """Fit, evaluate and (with ``folder``) save every model of a suite.
 
-    Returns the metrics in long form. ``overrides`` holds parameters by model name. The
-    training rows are kept while the models read them.
+    Returns the metrics in long form. ``overrides`` holds parameters by model name. Both
+    sides are kept, with the columns the models need, while the models read them.
     """
     vector = [features] if isinstance(features, str) else list(features)
     fits = SUITES[suite]
-    needed = sorted({*vector, *(f.label for f in fits), *(f.weight for f in fits)})
-    kept = train.select(*needed).persist()
+    labels = {f.label for f in fits}
+    kept = train.select(*sorted({*vector, *labels, *(f.weight for f in fits)})).persist()
+    held_out = test.select(*sorted({*vector, *labels})).persist()
     try:
-        sizes, results = (kept.count(), test.count()), {}
+        sizes, results = (kept.count(), held_out.count()), {}
         for fit in fits:
             params = (overrides or {}).get(fit.name, {})
             model = models.train(kept, fit.kind, features, fit.label, fit.weight, fit.prefix, fit.preset, **params)
             if folder is not None:
                 save_model(model, folder, fit.name)
-            results[fit.name] = models.evaluate(model, test, fit.label, fit.prefix, fit.binary)
+            results[fit.name] = models.evaluate(model, held_out, fit.label, fit.prefix, fit.binary)
         return models.results_table(train.sparkSession, results, *sizes)
     finally:
         kept.unpersist()
+        held_out.unpersist()
