@@ -97,9 +97,15 @@ def alert_search(alerts: DataFrame, text: str | None = None, severity: str | Non
 
 
 def relative_range(alerts: DataFrame, period: str = "24h", now=None, start=None, end=None) -> DataFrame:
-    """Alerts of the last ``1h``, ``6h``, ``24h``, ``7d`` or ``30d``, or ``custom`` from start to end."""
+    """Alerts of the last ``1h``, ``6h``, ``24h``, ``7d`` or ``30d``, or ``custom`` from start to end.
+
+    A custom range without a start is everything, one without an end is open.
+    """
     if period == "custom":
-        return alerts.where(_every(_from(alerts, _moment(alerts, start)) + _until(alerts, _moment(alerts, end))))
+        if start is None:
+            return alerts
+        upper = [] if end is None else _until(alerts, _moment(alerts, end))
+        return alerts.where(_every(_from(alerts, _moment(alerts, start)) + upper))
     hours = RANGE_HOURS.get(period, RANGE_HOURS["24h"])
     return alerts.where(_every(_from(alerts, _hours_before(_moment(alerts, now), hours))))
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from flowlens.functions import labels as L
-from flowlens.operators.columns import schema_diff, tag_source
+from flowlens.operators.columns import tag_source
 from flowlens.operators.lookup import join_lookup
 from flowlens.schemas import UNIFIED_LABELS_2017, UNIFIED_LABELS_2018, UNSW_LABELS
 
@@ -99,8 +99,3 @@ def harmonize(datasets: dict[str, DataFrame], column: str = "label") -> DataFram
     """``union_harmonized`` with ``multiclass_weight`` per unified class."""
     merged = union_harmonized(datasets, column)
     return attach_weights(merged, class_weights(merged, "unified_label"), "unified_label", "multiclass_weight")
-
-
-__all__ = ["LABEL_SPACES", "standardize_label", "add_binary_label", "add_label_text", "normalize_attack_cat",
-           "map_labels", "prepare_unsw_labels", "class_weights", "attach_weights", "align_columns",
-           "union_harmonized", "harmonize", "schema_diff"]

@@ -123,6 +123,13 @@ def alert_metrics(spark, sf):
     return rounded(al.alert_metrics(fx.alerts(spark, sf), "7d", NOW), "avg_confidence")
 
 
+@query
+def alert_metrics_custom(spark, sf):
+    """Metrics of a range with both ends given."""
+    found = al.alert_metrics(fx.alerts(spark, sf), "custom", start=datetime(2024, 1, 10), end=datetime(2024, 1, 20))
+    return rounded(found, "avg_confidence")
+
+
 @query
 def top_attacks(spark, sf):
     return rounded(al.top_attacks(fx.alerts(spark, sf), "30d", 10, NOW), "bar")

@@ -163,6 +163,10 @@ from alerts where session_id = 'sess3' and processed_at >= {NOW} - INTERVAL 30 D
 select count(*) as total_alerts, count(*) filter (severity = 'HIGH') as high_severity,
   count(distinct attack_type) as attack_types, round(avg(coalesce(prediction_score, 0)), 6) as avg_confidence
 from alerts where processed_at >= {NOW} - INTERVAL 7 DAY"""),
+    "alert_metrics_custom": _with(ALERTS, """
+select count(*) as total_alerts, count(*) filter (severity = 'HIGH') as high_severity,
+  count(distinct attack_type) as attack_types, round(avg(coalesce(prediction_score, 0)), 6) as avg_confidence
+from alerts where processed_at between TIMESTAMP '2024-01-10' and TIMESTAMP '2024-01-20'"""),
     "top_attacks": _with(ALERTS, f"""
 , best as (select attack_type, count(*) as count, {LEVELS} from alerts
   where processed_at >= {NOW} - INTERVAL 30 DAY group by 1 order by 2 desc, 1 limit 10)

@@ -137,7 +137,7 @@ def preprocess_folder(spark: SparkSession, source: str, target: str, recipe: str
     return prepared
 
 
-def harmonize_processed(spark: SparkSession, folder: str, target: str, files: int = 50) -> DataFrame:
+def harmonize_processed(spark: SparkSession, folder: str, target: str, files: int | None = None) -> DataFrame:
     """Unite the processed CIC tables of both years, store table and description, verify the rows."""
     tables = {name: read_processed(spark, f"{folder.rstrip('/')}/{name}_preprocessed.parquet")
               for name in ("cicids2017", "cicids2018")}

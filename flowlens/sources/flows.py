@@ -113,8 +113,12 @@ def read_processed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_processed(df: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Overwrite a Parquet table. ``partitions`` caps the number of files."""
-    (df if partitions is None else df.coalesce(partitions)).write.mode("overwrite").parquet(path)
+    """Overwrite a Parquet table, by default with as many files as there are tasks.
+
+    ``partitions`` sets the number of files through a shuffle; merging partitions without
+    one would make that number the parallelism of everything before the write.
+    """
+    (df if partitions is None else df.repartition(partitions)).write.mode("overwrite").parquet(path)
 
 
 def write_metadata(metadata: DataFrame, path: str) -> None:

@@ -47,6 +47,8 @@ def test_ranges_include_their_bounds(alerts):
     assert ids(al.relative_range(alerts, "24h", NOW)) == [1, 2, 3, 6]
     assert ids(al.relative_range(alerts, "1h", NOW)) == [1, 2, 6]
     assert ids(al.relative_range(alerts, "custom", start=ago(days=3), end=ago(hours=24))) == [3, 4, 5]
+    assert ids(al.relative_range(alerts, "custom", start=ago(hours=1))) == [1, 2, 6]
+    assert ids(al.relative_range(alerts, "custom", end=ago(hours=1))) == [1, 2, 3, 4, 5, 6]
     assert ids(al.relative_range(alerts, "unknown", NOW)) == [1, 2, 3, 6]
 
 
