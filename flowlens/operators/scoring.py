@@ -19,16 +19,18 @@ class Detector:
     """What a detection run needs: two optional models and how to read their output.
 
     ``cascade`` keeps the second stage for rows the first calls an attack; otherwise
-    both stages answer independently. ``class_space`` must be the one the multiclass
-    model was trained in.
+    both stages answer independently. ``class_space`` (a key of ``CLASS_NAMES``, or the names
+    by id) must be the one the multiclass model was trained in. ``split`` is explained at
+    ``score_cascade``.
     """
 
     binary: PipelineModel | None = None
     multiclass: PipelineModel | None = None
     cascade: bool = True
-    class_space: str = "unsw"
+    class_space: str | dict[int, str] = "unsw"
     policy: str | dict = "default"
     threshold: float | None = None
+    split: bool = False
 
 
 def _drop_model_columns(df: DataFrame, prefix: str) -> DataFrame:
@@ -87,12 +89,14 @@ def score_parallel(df: DataFrame, binary: PipelineModel | None, multiclass: Pipe
     return score_multiclass(score_binary(df, binary, threshold), multiclass)
 
 
-def enrich(df: DataFrame, class_space: str = "unsw", policy="default", clock: Column | None = None) -> DataFrame:
+def enrich(df: DataFrame, class_space: str | dict[int, str] = "unsw", policy="default",
+           clock: Column | None = None) -> DataFrame:
     """Add attack_type, is_attack, severity and processed_at to scored rows.
 
     ``clock`` replaces the current time, for replays that must repeat exactly.
     """
-    kind = D.attack_type(F.col("multiclass_prediction"), CLASS_NAMES[class_space])
+    names = CLASS_NAMES[class_space] if isinstance(class_space, str) else class_space
+    kind = D.attack_type(F.col("multiclass_prediction"), names)
     flag = D.is_attack(F.col("binary_prediction"))
     return (
         df.withColumn("attack_type", kind)
@@ -104,8 +108,10 @@ def enrich(df: DataFrame, class_space: str = "unsw", policy="default", clock: Co
 
 
 def score_and_enrich(df: DataFrame, detector: Detector, clock: Column | None = None) -> DataFrame:
-    score = score_cascade if detector.cascade else score_parallel
-    scored = score(df, detector.binary, detector.multiclass, detector.threshold)
+    if detector.cascade:
+        scored = score_cascade(df, detector.binary, detector.multiclass, detector.threshold, detector.split)
+    else:
+        scored = score_parallel(df, detector.binary, detector.multiclass, detector.threshold)
     return enrich(scored, detector.class_space, detector.policy, clock)
 
 

@@ -19,6 +19,11 @@ def random_split(df: DataFrame, weights=(0.8, 0.2), seed: int = 42) -> list[Data
     return df.randomSplit(list(weights), seed)
 
 
+def random_sample(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
+    """Spark's own sample; its outcome changes with the partitioning of the input."""
+    return df.sample(fraction=fraction, seed=seed)
+
+
 def hash_sample(df: DataFrame, key: list[str], fraction: float, seed: int | None = None) -> DataFrame:
     """About ``fraction`` of the rows, the same ones on every run."""
     return df.where(hash32(row_key(key), seed) < int(fraction * 2**32))

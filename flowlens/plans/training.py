@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame
 
 from flowlens.operators import cleaning, labeling, models, splits
 from flowlens.operators.scoring import BINARY, MULTI
-from flowlens.schemas import UNSW_FEATURES
-from flowlens.sources.models import save_model
+from flowlens.schemas import CLASS_NAMES, UNSW_FEATURES
+from flowlens.sources.flows import write_metadata
+from flowlens.sources.models import save_classes, save_model
 
 
 @dataclass(frozen=True)
 class Fit:
-    """One model of a suite; ``name`` is what a served detector looks for."""
+    """One model of a suite; ``name`` is what a served detector looks for. ``classes`` names
+    the label space of a multiclass model."""
 
     name: str
     kind: str
@@ -22,6 +24,7 @@ class Fit:
     label: str
     weight: str
     prefix: str
+    classes: str | None = None
 
     @property
     def binary(self) -> bool:
@@ -32,13 +35,15 @@ SUITES = {
     "cic": [
         Fit("rf_binary", "rf", "rf_binary_cic", "binary_label", "sample_weight", BINARY),
         Fit("gbt_binary", "gbt", "gbt_binary_cic", "binary_label", "sample_weight", BINARY),
-        Fit("rf_multiclass", "rf", "rf_multiclass_cic", "unified_label", "multiclass_weight", MULTI),
-        Fit("rf_multiclass_improved", "rf", "rf_multiclass_cic_improved", "unified_label", "improved_weight", MULTI),
+        Fit("rf_multiclass", "rf", "rf_multiclass_cic", "unified_label", "multiclass_weight", MULTI,
+            "cic_unified"),
+        Fit("rf_multiclass_improved", "rf", "rf_multiclass_cic_improved", "unified_label", "improved_weight", MULTI,
+            "cic_unified"),
     ],
     "unsw": [
         Fit("unsw_rf_binary", "rf", "rf_binary_unsw", "binary_label", "binary_weight", BINARY),
         Fit("unsw_gbt_binary", "gbt", "gbt_binary_unsw", "binary_label", "binary_weight", BINARY),
-        Fit("unsw_multiclass", "rf", "rf_multiclass_unsw_fixed", "multiclass_label", "multiclass_weight", MULTI),
+        Fit("unsw_multiclass", "rf", "rf_multiclass_unsw_fixed", "multiclass_label", "multiclass_weight", MULTI, "unsw"),
     ],
 }
 
@@ -70,7 +75,8 @@ def unsw_training_rows(train: DataFrame, test: DataFrame, key: list[str], rebala
 
 def train_suite(train: DataFrame, test: DataFrame, features, suite: str, folder: str | None = None,
                 overrides: dict[str, dict] | None = None) -> DataFrame:
-    """Fit, evaluate and (with ``folder``) save every model of a suite.
+    """Fit and evaluate every model of a suite; with ``folder``, save the models, the class
+    names of the multiclass ones and the metrics.
 
     Returns the metrics in long form. ``overrides`` holds parameters by model name. Both
     sides are kept, with the columns the models need, while the models read them.
@@ -78,6 +84,7 @@ def train_suite(train: DataFrame, test: DataFrame, features, suite: str, folder:
     vector = [features] if isinstance(features, str) else list(features)
     fits = SUITES[suite]
     labels = {f.label for f in fits}
+    spark = train.sparkSession
     kept = train.select(*sorted({*vector, *labels, *(f.weight for f in fits)})).persist()
     held_out = test.select(*sorted({*vector, *labels})).persist()
     try:
@@ -87,8 +94,13 @@ def train_suite(train: DataFrame, test: DataFrame, features, suite: str, folder:
             model = models.train(kept, fit.kind, features, fit.label, fit.weight, fit.prefix, fit.preset, **params)
             if folder is not None:
                 save_model(model, folder, fit.name)
+                if fit.classes is not None:
+                    save_classes(spark, folder, fit.name, CLASS_NAMES[fit.classes])
             results[fit.name] = models.evaluate(model, held_out, fit.label, fit.prefix, fit.binary)
-        return models.results_table(train.sparkSession, results, *sizes)
+        table = models.results_table(spark, results, *sizes)
+        if folder is not None:
+            write_metadata(table, f"{folder.rstrip('/')}/{suite}_training_results")
+        return table
     finally:
         kept.unpersist()
         held_out.unpersist()

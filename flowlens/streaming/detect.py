@@ -153,15 +153,18 @@ def run_detection(spark: SparkSession, messages: DataFrame, source: str, detecto
     """Run detection until the source is drained (``every=None``) or the query is stopped.
 
     The session is registered before the first batch and ended afterwards, also when
-    the query fails.
+    the query fails or the run is interrupted.
     """
     if session_log:
         alert_table.register_session(spark, session_log, session_id, {"data_source": source})
     checkpoint = checkpoint or scratch_path(spark, f"detect-{session_id}")
+    query = None
     try:
         query = start_sinks(detect(messages, source, detector, clock=clock), sinks, checkpoint, every)
         query.awaitTermination()
         return query
     finally:
+        if query is not None and query.isActive:
+            query.stop()
         if session_log:
             alert_table.end_session(spark, session_log, session_id)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F, types as T
 
 from flowlens import schemas
 from flowlens.operators import labeling as la
+from flowlens.operators import scoring as sc
+from flowlens.plans import training as tr
 from flowlens.plans.preprocess import RECIPES, Recipe, harmonize_processed, preprocess, preprocess_folder, write_prepared
 from flowlens.sources import flows as fl
 from flowlens.sources import models as sm
@@ -170,6 +172,31 @@ def test_model_preference(spark, folder):
     assert sm.PREFERENCE["unsw"]["binary"] == ["unsw_gbt_binary", "unsw_rf_binary"]
 
 
+def test_trained_suite_serves(spark, folder):
+    features = ["dur", "rate"]
+    data = [(i, float(i % 10), float(i % 7), ["Normal", "DoS", "Worms"][(i % 10 > 4) + (i % 10 > 7)]) for i in range(300)]
+    everything = spark.createDataFrame(data, "id int, dur double, rate double, attack_cat string")
+    train, test = everything.where("id < 200 and attack_cat <> 'Worms'"), everything.where("id >= 200")
+    train, test = tr.unsw_training_rows(train, test, ["id"], features=features)
+    assert train.where("attack_cat = 'Worms'").count() > 0
+    small = {"numTrees": 5, "maxDepth": 4}
+    results = tr.train_suite(train, test, features, "unsw", folder, {
+        "unsw_rf_binary": small, "unsw_gbt_binary": {"maxIter": 2, "maxDepth": 3}, "unsw_multiclass": small})
+    accuracy = {r["model"]: r["value"] for r in results.where("metric = 'accuracy'").collect()}
+    assert set(accuracy) == {"unsw_rf_binary", "unsw_gbt_binary", "unsw_multiclass"} and min(accuracy.values()) > 0.9
+    assert spark.read.json(f"{folder}/unsw_training_results").count() == results.count()
+
+    detector = sm.load_detector(spark, folder, "unsw")
+    assert detector.class_space == schemas.CLASS_NAMES["unsw"]
+    found = sc.score_and_enrich(test, detector)
+    assert found.where("is_attack and attack_type = attack_cat").count() >= 0.9 * test.where("attack_cat <> 'Normal'").count()
+    assert sm.load_detector(spark, folder, "unsw", class_space="cic_legacy").class_space == "cic_legacy"
+    split = sc.score_and_enrich(test, sc.Detector(
+        detector.binary, detector.multiclass, split=True))
+    columns = ["id", "attack_type", "severity"]
+    assert sorted(rows(split, *columns)) == sorted(rows(found, *columns))
+
+
 # Preprocessing -----------------------------------------------------------
 
 def test_preprocess_cic(spark, folder):
