@@ -182,7 +182,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix, each as often as it is taken; all columns of ``docs``."""
     taken = mix(docs, **how).where("copies > 0").select(
-        F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("__text").alias("__t"), "copies").distinct()
+        F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("__text").alias("__t"),
+        F.col("copies").alias("__copies")).distinct()
     found = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s"))
                       & (F.xxhash64("text") == F.col("__t")))
-    return found.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return found.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

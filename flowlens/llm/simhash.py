@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
 
 def _link(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges between fingerprints of one key that differ in at most ``bits`` bits; keys are sorted and whole."""
+    fp = fp.view(np.uint64)  # bits of negative numbers are not counted as they lie
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.array([], int)
     sizes = np.diff(np.append(starts, len(key)))
     left, right = [], []

@@ -44,7 +44,7 @@ def word_features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np
     hashed = codes * np.uint32(0x85EBCA6B)
     for n in range(2, max(NGRAMS) + 1):
         hashed = hashed * np.uint32(0x01000193)
-        hashed[: len(codes) - n + 1] += codes[n - 1:] * np.uint32(0x85EBCA6B)
+        hashed[: max(0, len(codes) - n + 1)] += codes[n - 1:] * np.uint32(0x85EBCA6B)
         if n in NGRAMS:
             mixed = (hashed ^ (hashed >> np.uint32(15))) * np.uint32(0x9E3779B1)
             yield (mixed >> np.uint32(32 - BITS)).astype(np.int32), left >= n, starts
