@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowlens.llm.shared import SPACES, fold_case, hash128
+from flowlens.llm.shared import SPACES, fold_case, hash128, materialize
 
 
 def line_key(line: Column) -> Column:
@@ -42,14 +42,15 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -
              .select("__id", "__text", "__at", line_key(F.col("__line")).alias("__key"))
              .where(long_line)
              .select("__id", "__text", "__at", *hash128("__key")))
+    lines = materialize(lines, "lines")  # texts are split and hashed once, not for every use below
     # Rows come first, because they need one small shuffle; documents are then counted
     # exactly, but only for the few keys that have enough rows.
     frequent = lines.groupBy("__h1", "__h2").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_docs)
-    marked = lines.join(frequent.select("__h1", "__h2"), ["__h1", "__h2"])
-    shared = (marked.select("__h1", "__h2", "__id").distinct().groupBy("__h1", "__h2")
-              .agg(F.count("*").alias("__docs"), F.max("__id").alias("__last"))
+    holders = lines.join(frequent.select("__h1", "__h2"), ["__h1", "__h2"]).select("__h1", "__h2", "__id").distinct()
+    shared = (holders.groupBy("__h1", "__h2").agg(F.count("*").alias("__docs"), F.max("__id").alias("__last"))
               .where(F.col("__docs") >= min_docs).select("__h1", "__h2", "__last"))
-    dropped = (marked.join(shared, ["__h1", "__h2"]).where(F.col("__id") != F.col("__last"))
+    # Joined with the lines anew: a very common line's rows can then be split among tasks.
+    dropped = (lines.join(shared, ["__h1", "__h2"]).where(F.col("__id") != F.col("__last"))
                .groupBy("__id", "__text").agg(F.collect_set("__at").alias("__drop")))
     others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     joined = (docs.select(*others, "text", *row)
