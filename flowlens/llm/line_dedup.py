@@ -46,10 +46,13 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -
     # Rows come first, because they need one small shuffle; documents are then counted
     # exactly, but only for the few keys that have enough rows.
     frequent = lines.groupBy("__h1", "__h2").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_docs)
+    # Both small sides are written, so that their joins stand right on exchanges, where adaptive
+    # execution can split a very common line's rows among tasks.
+    frequent = materialize(frequent, "frequent-lines")
     holders = lines.join(frequent.select("__h1", "__h2"), ["__h1", "__h2"]).select("__h1", "__h2", "__id").distinct()
     shared = (holders.groupBy("__h1", "__h2").agg(F.count("*").alias("__docs"), F.max("__id").alias("__last"))
               .where(F.col("__docs") >= min_docs).select("__h1", "__h2", "__last"))
-    # Joined with the lines anew: a very common line's rows can then be split among tasks.
+    shared = materialize(shared, "shared-lines")
     dropped = (lines.join(shared, ["__h1", "__h2"]).where(F.col("__id") != F.col("__last"))
                .groupBy("__id", "__text").agg(F.collect_set("__at").alias("__drop")))
     others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
