@@ -23,7 +23,7 @@ from flowlens.llm.shared import scratch_path
 
 END = 0
 #: Spellings with known ids that a task keeps; the table is emptied when it is full.
-WORDS_KEPT = 600_000
+WORDS_KEPT = 800_000
 SEGMENT = "part int, segment long, doc_ids array<long>, lengths array<long>, n_tokens long, blocks binary"
 
 
@@ -52,10 +52,28 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.tokenizer, self.known = _tokenizer(path), {}
+        # In a vocabulary of this kind a space is written as the letter G with a dot above.
+        words = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(words.values()) + 1, bool)
+        self.begins[[n for w, n in words.items() if w.startswith("\u0120")]] = True
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of new pieces. Those that begin with their only space are encoded many at a time."""
+        spaced = [p for p in pieces if p[0] == " "]
+        for at in range(0, len(spaced), 1_000):
+            some = spaced[at:at + 1_000]
+            ids = self._ids(["".join(some)])[0]
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) != len(some):
+                raise ValueError("the vocabulary doesn't begin a token at every single space")
+            data, cuts = ids.tobytes(), [*(starts * 4).tolist(), len(ids) * 4]
+            self.known.update(zip(some, [data[a:b] for a, b in zip(cuts, cuts[1:])]))
+        first = [p for p in pieces if p[0] != " "]
+        self.known.update(zip(first, [a.tobytes() for a in self._ids(first)]))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, with END after them."""
         pieces = [t.split(" ") for t in texts]
@@ -64,8 +82,7 @@ class Encoder:
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
         known = self.known
-        new = list({p for some in pieces for p in some} - known.keys())
-        known.update(zip(new, [a.tobytes() for a in self._ids(new)]))
+        self._learn(list({p for some in pieces for p in some} - known.keys()))
         whole = iter(self._ids([t for t, ok in zip(texts, plain) if not ok]))
         end = np.array([END], np.uint32)
         return [np.concatenate([np.frombuffer(b"".join(map(known.__getitem__, p)), np.uint32) if ok else next(whole), end])
@@ -77,9 +94,15 @@ class Encoder:
         return "" not in pieces and list(map(str.strip, pieces)) == pieces
 
 
+@lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """One a Python worker, which runs several tasks: later tasks know the words of earlier ones."""
+    return Encoder(path)
+
+
 def _write(vocabulary: str, segment_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(vocabulary), TaskContext.get().partitionId()
+        encoder, part = _encoder(vocabulary), TaskContext.get().partitionId()
         schema = pa.schema([("part", pa.int32()), ("segment", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
                             ("lengths", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("blocks", pa.binary())])
         number, docs, ids, held = 0, [], [], 0
