@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import logging
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -11,57 +12,94 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from flowlens.functions.numeric import quoted
 from flowlens.functions.hashing import row_key
 from flowlens.schemas import CIC_2018_DROP, CSV_FILES, csv_schema
-from flowlens.sources.storage import matching
+from flowlens.sources.storage import files_of, matching
 
 log = logging.getLogger(__name__)
 
 
 def _present(spark: SparkSession, paths) -> list[str]:
+    """All data files of the paths that exist."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    found = [p for p in paths if matching(spark, p)]
-    for path in sorted(set(paths) - set(found)):
-        log.warning("no such file, skipped: %s", path)
+    found = []
+    for path in dict.fromkeys(paths):
+        files = files_of(spark, path)
+        if not files:
+            log.warning("no such file, skipped: %s", path)
+        found += files
     if not found:
         raise FileNotFoundError(f"none of the {len(paths)} input files exist")
-    return found
+    return list(dict.fromkeys(found))
 
 
-def _header(spark: SparkSession, path: str, header: bool) -> tuple[str, ...]:
-    """Column names of one file, from its first line."""
-    return tuple(spark.read.option("header", header).csv(path).columns)
+def _header(spark: SparkSession, path: str) -> tuple[str, ...] | None:
+    """Column names of one file, from its first line; None for an empty file.
+
+    A repeated name becomes ``name.1``, ``name.2`` in order, a missing one ``_c`` and its position.
+    """
+    line = spark.read.text(path).first()
+    if line is None:
+        return None
+    names, seen = [], {}
+    for n, name in enumerate(next(csv.reader([line[0].removeprefix("\ufeff")]))):
+        name = name.strip() or f"_c{n}"
+        again = seen.get(name.lower(), 0)
+        seen[name.lower()] = again + 1
+        names.append(f"{name}.{again}" if again else name)
+    return tuple(names)
+
+
+def _typed(df: DataFrame, unknown: list[str]) -> DataFrame:
+    """Columns outside the schema as doubles if all their values are numbers; one aggregate finds out."""
+    unknown = [c for c in unknown if c in df.columns]
+    if not unknown:
+        return df
+
+    def number(name):
+        return F.expr(f"try_cast(trim(`{name.replace('`', '``')}`) as double)")
+
+    checks = [F.struct(F.count(quoted(c)).alias("n"), F.count(number(c)).alias("numbers")).alias(f"_{i}")
+              for i, c in enumerate(unknown)]
+    counted = df.agg(*checks).first()
+    numeric = {c for c, r in zip(unknown, counted) if r["n"] and r["n"] == r["numbers"]}
+    return df.select(*[number(c).alias(c) if c in numeric else quoted(c) for c in df.columns])
 
 
 def read_flow_csv(spark: SparkSession, paths, schema: T.StructType, header: bool = True,
                   drop=()) -> DataFrame:
     """Read many CSV files with explicit types; missing files are skipped with a warning.
 
-    A path is a file, or a folder or pattern whose files share one header. Without a
-    header the columns are taken by position and their number must match. With one they
-    are taken by name: paths that share a header form one scan, and scans with other
-    headers are united by name, absent columns being null. ``drop`` names columns to
-    leave out.
+    A path is a file, a folder or a pattern. Without a header the columns are taken by
+    position and their number must match. With one they are taken by name, file by file:
+    files that share a header form one scan, and scans with other headers are united by
+    name, absent columns being null. Repeated names become ``name.1``, ``name.2``. Columns
+    outside ``schema`` are kept, as doubles if all their values are numbers. ``drop`` names
+    columns to leave out.
     """
     found = _present(spark, paths)
     by_header: dict[tuple[str, ...], list[str]] = {}
     with ThreadPoolExecutor(8) as pool:  # reading first lines is all waiting
-        for path, names in zip(found, pool.map(lambda p: _header(spark, p, header), found)):
-            by_header.setdefault(names, []).append(path)
+        for path, names in zip(found, pool.map(lambda p: _header(spark, p), found)):
+            if names is not None:
+                by_header.setdefault(names if header else (str(len(names)),), []).append(path)
+    if not by_header:
+        return spark.createDataFrame([], schema).drop(*drop)
     types = {f.name.strip().lower(): f for f in schema.fields}
-    scans = []
+    scans, unknown = [], {}
     for names, group in by_header.items():
         if header:
             fields = []
             for name in names:
-                known = types.get(name.strip().lower())
-                fields.append(T.StructField(known.name if known else name.strip(),
-                                            known.dataType if known else T.StringType(), True))
+                known = types.get(name.lower())
+                if known is None:  # other files may spell it in other letters
+                    known = T.StructField(unknown.setdefault(name.lower(), name), T.StringType(), True)
+                fields.append(T.StructField(known.name, known.dataType, True))
             file_schema = T.StructType(fields)
         else:
-            if len(names) != len(schema.fields):
-                raise ValueError(f"{group[0]} has {len(names)} columns, expected {len(schema.fields)}")
+            if names != (str(len(schema.fields)),):
+                raise ValueError(f"{group[0]} has {names[0]} columns, expected {len(schema.fields)}")
             file_schema = schema
         scans.append(spark.read.schema(file_schema).option("header", header).csv(group))
-    return union_flows(scans, drop=drop, on_mismatch="null")
+    return _typed(union_flows(scans, drop=drop, on_mismatch="null"), list(unknown.values()))
 
 
 def read_dataset(spark: SparkSession, folder: str, dataset: str) -> DataFrame:

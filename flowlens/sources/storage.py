@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,21 +40,32 @@ def delete_matching(spark: SparkSession, pattern: str) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``.
-
-    Only a local master, as in tests, gets one of its own when none is set: executors
-    of a cluster could not read it.
-    """
+    """Folder named by ``spark.checkpoint.dir``, else one in the warehouse, which executors share too."""
     sc = spark.sparkContext
     folder = sc.getConf().get(CHECKPOINT_KEY) or sc.getCheckpointDir()
     if folder is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="flowlens-")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def files_of(spark: SparkSession, pattern: str) -> list[str]:
+    """Data files at a path or pattern, folders searched to the bottom, sorted; names that begin with
+    ``_`` or ``.`` are no data."""
+    hadoop_path, fs = _resolve(spark, pattern)
+    found, todo = [], list(fs.globStatus(hadoop_path) or [])
+    while todo:
+        status = todo.pop()
+        path = status.getPath()
+        if path.getName().startswith(("_", ".")):
+            continue
+        if status.isDirectory():
+            todo.extend(fs.listStatus(path))
+        else:
+            found.append(path.toString())
+    return sorted(found)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path of its own under the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

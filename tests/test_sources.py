@@ -139,11 +139,26 @@ def test_shuffled_head_does_not_depend_on_partitions(spark):
     assert fl.shuffled_head(df, ["id"]).count() == 500
 
 
+def test_abbreviated_and_repeated_headers_stay_features(spark, folder):
+    from flowlens.operators.columns import feature_columns
+    from flowlens.schemas import csv_schema
+
+    (Path(folder) / "day.csv").write_text(
+        "Fwd Header Length,Flow Duration,Tot Fwd Pkts,Fwd Header Length,Note,Label\n1,2,3,4,a,Benign\n5,,Infinity,8,,Bot\n")
+    (Path(folder) / "more.csv").write_text("tot fwd pkts,Flow Duration,Label\n7,9,Benign\n")
+    (Path(folder) / "empty.csv").write_text("")
+    found = fl.read_flow_csv(spark, folder, csv_schema("cicids2018"))
+    names = ["Fwd Header Length", "Flow Duration", "Tot Fwd Pkts", "Fwd Header Length.1"]
+    assert set(names) <= set(feature_columns(found)) and "Note" not in feature_columns(found)
+    assert sorted(rows(found, *[f"`{n}`" for n in names[1:3]]), key=str) == sorted(
+        [(2.0, 3.0), (None, float("inf")), (9.0, 7.0)], key=str)
+
+
 def test_kafka_options():
-    options = ss.kafka_source_options("host:1", "flows")
+    options = ss.kafka_source_options("host:1", "flows", max_per_trigger=50)
     assert options["maxOffsetsPerTrigger"] == "50" and options["startingOffsets"] == "latest"
     assert options["failOnDataLoss"] == "false" and options["subscribe"] == "flows"
-    assert "maxOffsetsPerTrigger" not in ss.kafka_source_options("host:1", "flows", "earliest", None)
+    assert "maxOffsetsPerTrigger" not in ss.kafka_source_options("host:1", "flows", "earliest")
 
 
 # Storage -----------------------------------------------------------------
