@@ -14,8 +14,8 @@ def read_flow_stream_files(spark: SparkSession, folder: str, max_files: int | No
 
 
 def kafka_source_options(servers: str, topic: str, starting: str = "latest",
-                         max_per_trigger: int | None = 50) -> dict[str, str]:
-    """Options of the Kafka source. ``max_per_trigger=None`` lifts the intake limit."""
+                         max_per_trigger: int | None = None) -> dict[str, str]:
+    """Options of the Kafka source. ``max_per_trigger`` limits the intake."""
     options = {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
@@ -30,7 +30,7 @@ def kafka_source_options(servers: str, topic: str, starting: str = "latest",
 
 
 def read_flow_stream_kafka(spark: SparkSession, servers: str, topic: str, starting: str = "latest",
-                           max_per_trigger: int | None = 50) -> DataFrame:
+                           max_per_trigger: int | None = None) -> DataFrame:
     """Messages of one topic. Needs Spark's Kafka connector on the class path."""
     options = kafka_source_options(servers, topic, starting, max_per_trigger)
     return spark.readStream.format("kafka").options(**options).load()

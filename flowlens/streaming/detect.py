@@ -14,7 +14,7 @@ from flowlens.operators.scoring import Detector, score_and_enrich
 from flowlens.schemas import ALERT_SEVERITIES, CIC_FEATURES, UNSW_FEATURES, stream_schema
 from flowlens.sources import alert_table
 from flowlens.sources.storage import scratch_path
-from flowlens.streaming.messages import parse_flow_json
+from flowlens.streaming.messages import parse_flow_json, rejected_flow_json
 
 EVENT_TIME = "kafka_timestamp"
 WATERMARK = "30 seconds"
@@ -135,36 +135,77 @@ def stream_timeline(alerts: DataFrame, interval_minutes: int = 60, column: str =
                     delay: str = WATERMARK) -> DataFrame:
     """Alert counts per fixed-width bin, kept up to date as alerts arrive.
 
-    The watermark closes a bin and frees its state; later alerts for it are dropped.
+    The watermark closes a bin and frees its state; later alerts for it are dropped, and open bins
+    are not given out in append mode. ``write_timeline`` and ``read_timeline`` lose neither.
     """
+    return _binned(watermark(alerts, column, delay), interval_minutes, column)
+
+
+def _binned(alerts: DataFrame, interval_minutes: int, column: str) -> DataFrame:
     offset = int(BIN_ORIGIN.timestamp()) % (interval_minutes * 60)
     start = {"startTime": f"{offset} seconds"} if offset else {}
     bins = F.window(column, f"{interval_minutes} minutes", **start)
-    return (watermark(alerts, column, delay).where("is_attack").groupBy(bins.alias("bin"))
+    return (alerts.where("is_attack").groupBy(bins.alias("bin"))
             .agg(F.count(F.lit(1)).alias("count"), F.count_if(F.col("severity") == "HIGH").alias("high_severity_count"))
             .select(F.col("bin.start").alias("timestamp"), "count", "high_severity_count"))
 
 
+def timeline_sink(path: str, interval_minutes: int = 60, column: str = EVENT_TIME) -> BatchSink:
+    """Counts per bin of each micro-batch, in a folder of its own that a repeated batch replaces."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _binned(batch, interval_minutes, column).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    return write
+
+
+def write_timeline(alerts: DataFrame, path: str, checkpoint: str, interval_minutes: int = 60, column: str = EVENT_TIME,
+                   every: str | None = ALERT_TRIGGER) -> StreamingQuery:
+    """Keep the timeline of a stream under ``path``. No watermark: a late alert adds to its bin."""
+    return start_sinks(alerts, [timeline_sink(path, interval_minutes, column)], checkpoint, every)
+
+
+def read_timeline(spark: SparkSession, path: str) -> DataFrame:
+    """All bins written so far, open ones among them, summed over the micro-batches."""
+    parts = spark.read.schema("timestamp timestamp, count long, high_severity_count long").parquet(path)
+    return parts.groupBy("timestamp").agg(F.sum("count").alias("count"),
+                                          F.sum("high_severity_count").alias("high_severity_count"))
+
+
+# Rejects -----------------------------------------------------------------
+
+def write_rejects(messages: DataFrame, source: str, path: str, checkpoint: str,
+                  every: str | None = ALERT_TRIGGER) -> StreamingQuery:
+    """Append the messages that ``detect`` leaves out, as they came, to a Parquet folder."""
+    rejected = rejected_flow_json(messages, stream_schema(source))
+    return (rejected.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(**_trigger(every)).start())
+
+
 # Run ---------------------------------------------------------------------
 
 def run_detection(spark: SparkSession, messages: DataFrame, source: str, detector: Detector, sinks: list[BatchSink],
                   session_id: str, session_log: str | None = None, checkpoint: str | None = None,
-                  every: str | None = ALERT_TRIGGER, clock: Column | None = None) -> StreamingQuery:
+                  every: str | None = ALERT_TRIGGER, clock: Column | None = None,
+                  rejects: str | None = None) -> StreamingQuery:
     """Run detection until the source is drained (``every=None``) or the query is stopped.
 
     The session is registered before the first batch and ended afterwards, also when
-    the query fails or the run is interrupted.
+    the query fails or the run is interrupted. Messages that can't be parsed go to the folder
+    ``rejects``, by default beside the checkpoint, through a query of their own.
     """
     if session_log:
         alert_table.register_session(spark, session_log, session_id, {"data_source": source})
     checkpoint = checkpoint or scratch_path(spark, f"detect-{session_id}")
-    query = None
+    queries: list[StreamingQuery] = []
     try:
-        query = start_sinks(detect(messages, source, detector, clock=clock), sinks, checkpoint, every)
-        query.awaitTermination()
-        return query
+        queries.append(start_sinks(detect(messages, source, detector, clock=clock), sinks, checkpoint, every))
+        queries.append(write_rejects(messages, source, rejects or f"{checkpoint}-rejects",
+                                     f"{checkpoint}-rejects-state", every))
+        for query in queries:
+            query.awaitTermination()
+        return queries[0]
     finally:
-        if query is not None and query.isActive:
-            query.stop()
+        for query in queries:
+            if query.isActive:
+                query.stop()
         if session_log:
             alert_table.end_session(spark, session_log, session_id)
