@@ -106,7 +106,9 @@ def relative_range(alerts: DataFrame, period: str = "24h", now=None, start=None,
             return alerts
         upper = [] if end is None else _until(alerts, _moment(alerts, end))
         return alerts.where(_every(_from(alerts, _moment(alerts, start)) + upper))
-    hours = RANGE_HOURS.get(period, RANGE_HOURS["24h"])
+    if period not in RANGE_HOURS:
+        raise ValueError(f"unknown period {period!r}")
+    hours = RANGE_HOURS[period]
     return alerts.where(_every(_from(alerts, _hours_before(_moment(alerts, now), hours))))
 
 
@@ -156,10 +158,11 @@ def alert_type_counts(alerts: DataFrame, hours: float = 24, now=None, **session)
 
 def alert_statistics(alerts: DataFrame, hours: float = 24, now=None, **session) -> DataFrame:
     """One row, zeros when nothing matches: totals by severity, the types as a map, the period."""
-    by_type = _last_hours(alerts, hours, now, **session).groupBy("attack_type").agg(
+    kind = F.coalesce("attack_type", F.lit(UNKNOWN)).alias("attack_type")  # a null and a stored "Unknown" are one
+    by_type = _last_hours(alerts, hours, now, **session).groupBy(kind).agg(
         F.count(F.lit(1)).alias("n"), _tally("HIGH").alias("h"), _tally("MEDIUM").alias("m"), _tally("LOW").alias("l"))
     total = {"total_alerts": "n", "high_severity": "h", "medium_severity": "m", "low_severity": "l"}
-    types = F.map_from_entries(F.collect_list(F.struct(F.coalesce("attack_type", F.lit(UNKNOWN)), "n")))
+    types = F.map_from_entries(F.collect_list(F.struct("attack_type", "n")))
     return by_type.agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in total.items()], types.alias("by_attack_type"),
     ).withColumn("time_period_hours", F.lit(hours)).withColumn("since", _hours_before(_moment(alerts, now), hours))
@@ -212,7 +215,9 @@ def attack_share(alerts: DataFrame, period: str = "24h", n: int = 8, now=None, *
 def _series(alerts: DataFrame, period: str, now, measures: list[Column], **bounds) -> DataFrame:
     """Measures per bucket counted back from ``now``; empty buckets hold zeros and the
     last one is open-ended."""
-    minutes, steps = SERIES.get(period, SERIES["24h"])
+    if period != "custom" and period not in SERIES:
+        raise ValueError(f"unknown period {period!r}")
+    minutes, steps = SERIES["24h" if period == "custom" else period]
     first = _hours_before(_moment(alerts, now), minutes * steps / 60)
     elapsed = F.unix_micros(F.col(TIME).cast("timestamp")) - F.unix_micros(first.cast("timestamp"))
     slot = F.least(F.floor(elapsed / F.lit(minutes * 60 * 1_000_000)), F.lit(steps).cast("bigint"))

@@ -34,8 +34,8 @@ def mask_numeric(df: DataFrame, columns: list[str] | None = None, policy: str =
         value = finite_or_null(df, name)
         if policy == "zero":
             value = F.coalesce(value, F.lit(0).cast(df.schema[name].dataType))
-        elif policy == "mean" and means.get(name) is not None:
-            value = F.coalesce(value.cast("double"), F.lit(float(means[name])))
+        elif policy == "mean":  # a column without any value has no mean: 0
+            value = F.coalesce(value.cast("double"), F.lit(float(means.get(name) or 0.0)))
         return value.alias(name)
 
     wanted = set(columns)

@@ -90,7 +90,7 @@ def rebalance_missing(train: DataFrame, test: DataFrame, key: list[str], label:
     one marked frame and no row is compared with another.
     """
     lacking, match = _same_class(label, missing_classes(train, test, label).withColumn("_lacking", F.lit(True)))
-    chosen = percent_bucket(row_key(key), seed) < int(round(fraction * 100))
+    chosen = hash32(row_key(key), seed) < int(fraction * 2**32)
     moves = F.coalesce(F.col("_lacking"), F.lit(False)) & chosen
     marked = join_lookup(test, lacking, match).withColumn("_moves", moves)
     moved = marked.where("_moves").select(*test.columns)

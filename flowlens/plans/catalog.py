@@ -100,7 +100,13 @@ def top_sources(spark, sf):
 
 @query
 def alert_statistics(spark, sf):
-    return al.alert_statistics(fx.alerts(spark, sf), 24, NOW).drop("by_attack_type")
+    """Some types are null, some are stored as Unknown; the map comes as text in the order of its keys."""
+    kind = F.when(F.col("event_id") % 7 == 0, F.lit(None)).when(F.col("event_id") % 11 == 0, "Unknown").otherwise(
+        F.col("attack_type"))
+    found = al.alert_statistics(fx.alerts(spark, sf).withColumn("attack_type", kind), 24, NOW)
+    entries = F.sort_array(F.transform(F.map_entries("by_attack_type"),
+                                       lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
+    return found.withColumn("by_attack_type", F.concat_ws(",", entries))
 
 
 @query
@@ -782,11 +788,13 @@ def preprocess_mean(spark, sf):
     return _prepared_columns(pp.preprocess(doubled_flows(spark, sf), MEAN_RECIPE))
 
 
-def _replay(spark, messages: DataFrame) -> DataFrame:
-    """Messages written as JSON lines and read again as a stream."""
+def _replay(spark, messages: DataFrame, files: int | None = None) -> DataFrame:
+    """Messages written as JSON lines and read again as a stream; ``files`` spreads them over so many
+    files without regard to time, each a micro-batch."""
     folder = st.scratch_path(spark, "messages")
-    messages.select("value").write.text(folder)
-    return ss.read_flow_stream_files(spark, folder)
+    values = messages.select("value")
+    (values if files is None else values.repartition(files, F.xxhash64("value"))).write.text(folder)
+    return ss.read_flow_stream_files(spark, folder, None if files is None else 1)
 
 
 PREDICTION_MESSAGE = T.StructType(
@@ -795,11 +803,11 @@ PREDICTION_MESSAGE = T.StructType(
     + [T.StructField("processed_at", T.TimestampType()), T.StructField("source_ip", T.StringType())])
 
 
-def _replayed_predictions(spark, sf):
+def _replayed_predictions(spark, sf, files: int | None = None):
     scored = fx.scored_flows(spark, sf).select(*[f.name for f in PREDICTION_MESSAGE.fields])
     body = F.to_json(F.struct(*[F.col(c).cast("timestamp").alias(c) if c == "processed_at" else F.col(c)
                                 for c in scored.columns]))
-    stream = _replay(spark, scored.select(body.alias("value")))
+    stream = _replay(spark, scored.select(body.alias("value")), files)
     parsed = me.parse_flow_json(stream, PREDICTION_MESSAGE)
     return sc.enrich(sc.cascade_predictions(parsed), "unsw", clock=F.col("processed_at"))
 
@@ -818,17 +826,84 @@ def stream_alerts(spark, sf):
 
 @query
 def stream_timeline(spark, sf):
-    """Hourly bins closed by the watermark after the whole replay."""
-    enriched = _replayed_predictions(spark, sf).withColumn("kafka_timestamp", F.col("processed_at"))
+    """Hourly bins after a replay in several micro-batches that are out of order."""
+    enriched = _replayed_predictions(spark, sf, 4)
     path = st.scratch_path(spark, "timeline")
-    query_ = (de.stream_timeline(enriched).writeStream.format("parquet").option("path", path)
-              .option("checkpointLocation", st.scratch_path(spark, "checkpoint"))
-              .outputMode("append").trigger(availableNow=True).start())
-    query_.awaitTermination()
-    return spark.read.parquet(path).select(
+    de.write_timeline(enriched, path, st.scratch_path(spark, "checkpoint"), column="processed_at",
+                      every=None).awaitTermination()
+    return de.read_timeline(spark, path).select(
         F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "count", "high_severity_count")
 
 
+@query
+def stream_rejects(spark, sf):
+    """Messages that a running detection can't parse: all events' properties hold none of its fields."""
+    path = st.scratch_path(spark, "rejects")
+    messages = fx.table(spark, sf, "events").select(
+        F.when(F.col("event_type") == "error", F.to_json(F.struct(F.col("event_id").cast("double").alias("id"))))
+        .otherwise(F.col("props")).alias("value"))
+    de.write_rejects(_replay(spark, messages, 3), "unsw", path, st.scratch_path(spark, "checkpoint"),
+                     every=None).awaitTermination()
+    return spark.read.parquet(path).groupBy("value").agg(F.count(F.lit(1)).alias("messages"))
+
+
+@query
+def read_alerts_mixed_columns(spark, sf):
+    """Two batches, of which the later has no source_ip; the column stays."""
+    path = st.scratch_path(spark, "alerts")
+    rows = fx.alerts(spark, sf).where("is_attack").drop("alert_date", "batch_id")
+    early = F.col("processed_at") < F.lit(datetime(2024, 1, 15))
+    at.write_alert_table(rows.where(early), path, 0)
+    at.write_alert_table(rows.where(~early).drop("source_ip"), path, 1)
+    return at.read_alerts(spark, path).select("event_id", "attack_type", "source_ip")
+
+
+def _csv_rows(spark, sf):
+    return fx.flows(spark, sf).select(*KEY, "bytes", "jitter", "service")
+
+
+@query
+def read_flow_csv_unknown_columns(spark, sf):
+    """Numeric and text columns that no schema lists keep their values and get their types."""
+    folder = st.scratch_path(spark, "csv")
+    _csv_rows(spark, sf).withColumnRenamed("bytes", "Tot Bytes").write.option("header", True).csv(folder)
+    found = fl.read_flow_csv(spark, folder, T.StructType([T.StructField("pkts", T.IntegerType())]))
+    kinds = dict(found.dtypes)
+    return found.select(*[F.col(k).cast("bigint").alias(k) for k in KEY], F.col("Tot Bytes").alias("tot_bytes"), "service",
+                        F.lit(",".join(kinds[c] for c in ("pkts", "Tot Bytes", "service"))).alias("kinds"))
+
+
+@query
+def read_flow_csv_duplicate_headers(spark, sf):
+    """A header that comes twice: the second becomes ``.1``."""
+    folder = st.scratch_path(spark, "csv")
+    rows = _csv_rows(spark, sf)
+    lines = F.concat_ws(",", *[F.col(c).cast("string") for c in KEY], F.col("bytes").cast("string"),
+                        F.col("jitter").cast("string"))
+    head = spark.createDataFrame([(",".join([*KEY, "Load", "Load"]), -1)], "value string, part int")
+    body = rows.select(lines.alias("value"), F.lit(0).alias("part"))
+    # One file, as the source of such headers writes it.
+    head.union(body).coalesce(1).sortWithinPartitions("part").select("value").write.text(f"{folder}/whole")
+    found = fl.read_flow_csv(spark, f"{folder}/whole", T.StructType([]))
+    return found.select(*[F.col(k).cast("bigint").alias(k) for k in KEY], F.col("Load").alias("load_0"),
+                        F.col("`Load.1`").alias("load_1"))
+
+
+@query
+def read_flow_csv_mixed_folder(spark, sf):
+    """Files of one folder with their columns in another order."""
+    folder = st.scratch_path(spark, "csv")
+    rows = _csv_rows(spark, sf)
+    rows.where("l_orderkey % 2 = 0").write.option("header", True).csv(f"{folder}/all/a")
+    rows.where("l_orderkey % 2 = 1").select(*reversed(rows.columns)).write.option("header", True).csv(f"{folder}/all/b")
+    return fl.read_flow_csv(spark, f"{folder}/all", rows.schema).select(*rows.columns)
+
+
+@query
+def rebalance_small_fraction(spark, sf):
+    return _sides(*sp.rebalance_missing(*_lacking_split(spark, sf), KEY, fraction=0.004))
+
+
 def _unsw_rows(spark, sf):
     """Embeddings under the names of the UNSW features."""
     train, test = training_rows(spark, sf)

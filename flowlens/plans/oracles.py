@@ -147,7 +147,10 @@ select source_ip, count(*) as count from alerts where is_attack group by 1 order
     "alert_statistics": _with(ALERTS, f"""
 select count(*) as total_alerts, count(*) filter (severity = 'HIGH') as high_severity,
   count(*) filter (severity = 'MEDIUM') as medium_severity, count(*) filter (severity = 'LOW') as low_severity,
-  24::int as time_period_hours, {NOW} - INTERVAL 24 HOUR as since
+  24::int as time_period_hours, {NOW} - INTERVAL 24 HOUR as since,
+  (select string_agg(kind || '=' || n, ',' order by kind || '=' || n) from (
+     select case when event_id % 7 = 0 or event_id % 11 = 0 then 'Unknown' else attack_type end as kind, count(*) as n
+     from alerts where processed_at >= {NOW} - INTERVAL 24 HOUR group by 1)) as by_attack_type
 from alerts where processed_at >= {NOW} - INTERVAL 24 HOUR"""),
     "alert_type_counts": _with(ALERTS, f"""
 select attack_type, count(*) as count from alerts where processed_at >= {NOW} - INTERVAL 24 HOUR group by 1"""),
@@ -370,7 +373,7 @@ select {KEY}, label, case when r <= floor(0.8 * n) then 'train' else 'test' end
 select distinct label from test where label not in (select label from train)"""),
     "rebalance_missing": _with(LACKING, f"""
 , marked as (select *, label not in (select label from train)
-  and ('0x' || substr(md5(k || '#42'), 1, 8))::bigint % 100 < 50 as moves from test)
+  and ('0x' || substr(md5(k || '#42'), 1, 8))::bigint < 2147483648 as moves from test)
 select {KEY}, label, 'train' as side from train
 union all select {KEY}, label, case when moves then 'train' else 'test' end from marked"""),
     "shuffled_head": "select least(count(*), 500) as rows from lineitem",
@@ -468,9 +471,20 @@ counts as (select y, count(*) as n from filled group by 1),
 select event_id, attack_type, severity, source_ip, 'replay' as session_id, processed_at::date as alert_date
 from alerts where is_attack"""),
     "stream_timeline": _with(ALERTS, """
-, last as (select max(processed_at) - INTERVAL 30 SECOND as closed from alerts)
 select time_bucket(INTERVAL 60 MINUTE, processed_at) as timestamp, count(*) as count,
   count(*) filter (severity = 'HIGH') as high_severity_count
-from alerts where is_attack group by 1
-having time_bucket(INTERVAL 60 MINUTE, processed_at) + INTERVAL 60 MINUTE <= (select closed from last)"""),
+from alerts where is_attack group by 1"""),
+    "stream_rejects": "select props as value, count(*) as messages from events where event_type <> 'error' group by 1",
+    "read_alerts_mixed_columns": _with(ALERTS, """
+select event_id, attack_type, case when processed_at < TIMESTAMP '2024-01-15 00:00:00' then source_ip end as source_ip
+from alerts where is_attack"""),
+    "read_flow_csv_unknown_columns": _with(FLOWS, f"""
+select {KEY}, bytes as tot_bytes, service, 'int,double,string' as kinds from flows"""),
+    "read_flow_csv_duplicate_headers": _with(FLOWS, f"select {KEY}, bytes as load_0, jitter as load_1 from flows"),
+    "read_flow_csv_mixed_folder": _with(FLOWS, f"select {KEY}, bytes, jitter, service from flows"),
+    "rebalance_small_fraction": _with(LACKING, f"""
+, marked as (select *, label not in (select label from train)
+  and ('0x' || substr(md5(k || '#42'), 1, 8))::bigint < floor(0.004 * 4294967296) as moves from test)
+select {KEY}, label, 'train' as side from train
+union all select {KEY}, label, case when moves then 'train' else 'test' end from marked"""),
 }

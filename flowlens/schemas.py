@@ -135,7 +135,8 @@ CLASS_NAMES = {
 SEVERITY_POLICIES = {
     "default": {
         "levels": [
-            ("HIGH", ["Backdoor", "Shellcode", "Worms", "Heartbleed", "Infiltration"]),
+            # "Other" is the unified name of class 8, served elsewhere as Heartbleed.
+            ("HIGH", ["Backdoor", "Shellcode", "Worms", "Heartbleed", "Infiltration", "Other"]),
             ("MEDIUM", ["DoS", "DDoS", "Exploits", "Fuzzers", "Analysis", "Generic",
                         "Reconnaissance", "BruteForce", "WebAttack", "Botnet", "PortScan",
                         "Brute_Force", "Web_Attack"]),

@@ -92,14 +92,13 @@ def _day(value: datetime) -> str:
     return in_utc(value).strftime("%Y-%m-%d")
 
 
-def _stored_schema(spark: SparkSession, days: list[str]) -> T.StructType | None:
-    """Columns of the newest day; deletions can leave day folders without a file."""
-    for folders in (days[-1:], days):
-        try:
-            return spark.read.parquet(*folders).schema if folders else None
-        except AnalysisException as error:
-            if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
-                raise
+def _stored_schema(spark: SparkSession, path: str, days: list[str]) -> T.StructType | None:
+    """Columns of all files of the days, from their footers; None if no file is left."""
+    try:
+        return spark.read.option("mergeSchema", True).option("basePath", path).parquet(*days).schema if days else None
+    except AnalysisException as error:
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
     return None
 
 
@@ -107,13 +106,14 @@ def read_alerts(spark: SparkSession, path: str, since: datetime | None = None, u
                 schema: T.StructType | None = None) -> DataFrame:
     """The alert table, or the days from ``since`` to ``until`` of it; empty if there are none.
 
-    The bounds only choose the day folders to list. Pass ``schema`` (the stored columns)
-    when batches may differ in their optional columns.
+    The bounds only choose the day folders to list. Batches may differ in their optional
+    columns: the footers of all files are read for them, and a batch without one has nulls.
+    ``schema`` (the stored columns) saves that pass.
     """
     days = [p for p in matching(spark, f"{path}/alert_date=*")
             if (since is None or p.rsplit("=", 1)[1] >= _day(since))
             and (until is None or p.rsplit("=", 1)[1] <= _day(until))]
-    schema = schema or _stored_schema(spark, days)
+    schema = schema or _stored_schema(spark, path, days)
     if not days or schema is None:
         return spark.createDataFrame([], schema or ALERT_SCHEMA)
     kept = [f for f in schema.fields if f.name not in PARTITIONS]

@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 from conftest import rows
 
 from flowlens.operators import alerts as al
@@ -49,7 +50,14 @@ def test_ranges_include_their_bounds(alerts):
     assert ids(al.relative_range(alerts, "custom", start=ago(days=3), end=ago(hours=24))) == [3, 4, 5]
     assert ids(al.relative_range(alerts, "custom", start=ago(hours=1))) == [1, 2, 6]
     assert ids(al.relative_range(alerts, "custom", end=ago(hours=1))) == [1, 2, 3, 4, 5, 6]
-    assert ids(al.relative_range(alerts, "unknown", NOW)) == [1, 2, 3, 6]
+    with pytest.raises(ValueError):
+        al.relative_range(alerts, "unknown", NOW)
+
+
+def test_statistics_count_null_and_unknown_types_as_one(alerts):
+    mixed = alerts.withColumn("attack_type", F.when(F.col("attack_type") == "DoS", F.lit(None)).otherwise(F.lit("Unknown")))
+    row = al.alert_statistics(mixed, 24, NOW).first()
+    assert row["by_attack_type"] == {"Unknown": row["total_alerts"]}
 
 
 def test_default_now_is_the_clock(alerts):

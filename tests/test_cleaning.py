@@ -38,9 +38,9 @@ def test_label_columns_are_left_alone(dirty):
     assert found[1] is None and math.isnan(found[2]) and found[3] == INF
 
 
-def test_mean_of_an_empty_column_stays_null(spark):
+def test_mean_of_an_empty_column_is_zero(spark):
     df = spark.createDataFrame([(None,), (NAN,)], "v double")
-    assert rows(cl.mask_numeric(df, ["v"], "mean")) == [(None,), (None,)]
+    assert rows(cl.mask_numeric(df, ["v"], "mean")) == [(0.0,), (0.0,)]
 
 
 def test_integers_are_not_tested_for_nan(spark):
