@@ -12,6 +12,7 @@ import os
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -43,55 +44,67 @@ def _tokenizer(path: str):
 
 
 class Encoder:
-    """Encodes texts with a byte-level tokenizer, a spelling between single spaces once per task.
+    """Encodes texts with a byte-level tokenizer, a spelling between spaces once per worker.
 
-    Such a tokenizer splits before a space that has no white space beside it, whatever stands around,
-    so the pieces between such spaces can be encoded alone. Texts with other white space next to a space
-    are encoded whole.
+    Such a tokenizer splits before a space and around a line break that have no other white space beside
+    them, whatever else stands there, so the pieces between can be encoded alone. Texts with more white
+    space in one place are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.known = _tokenizer(path), {}
+        self.tokenizer = _tokenizer(path)
+        self.first: dict[str, bytes] = {}  # ids of pieces that begin a line
+        self.later: dict[str, bytes] = {}  # ids of pieces with a space before them
         # In a vocabulary of this kind a space is written as the letter G with a dot above.
         words = self.tokenizer.get_vocab()
-        self.begins = np.zeros(max(words.values()) + 1, bool)
-        self.begins[[n for w, n in words.items() if w.startswith("\u0120")]] = True
+        self.spaced = np.zeros(max(words.values()) + 1, bool)
+        self.spaced[[n for w, n in words.items() if w.startswith("\u0120")]] = True
+        self.break_ = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces. Those that begin with their only space are encoded many at a time."""
-        spaced = [p for p in pieces if p[0] == " "]
-        for at in range(0, len(spaced), 1_000):
-            some = spaced[at:at + 1_000]
-            ids = self._ids(["".join(some)])[0]
-            starts = np.flatnonzero(self.begins[ids])
+    def _learn(self, known: dict[str, bytes], pieces: set[str], mark: str) -> None:
+        """Ids of new pieces, encoded many at a time with ``mark`` before each and cut at the marks."""
+        if len(known) > WORDS_KEPT:
+            known.clear()
+        new = list(pieces.difference(known))
+        for at in range(0, len(new), 1_000):
+            some = new[at:at + 1_000]
+            ids = self._ids([mark + mark.join(some)])[0]
+            starts = np.flatnonzero(self.spaced[ids] if mark == " " else ids == self.break_[0])
             if len(starts) != len(some):
-                raise ValueError("the vocabulary doesn't begin a token at every single space")
-            data, cuts = ids.tobytes(), [*(starts * 4).tolist(), len(ids) * 4]
-            self.known.update(zip(some, [data[a:b] for a, b in zip(cuts, cuts[1:])]))
-        first = [p for p in pieces if p[0] != " "]
-        self.known.update(zip(first, [a.tobytes() for a in self._ids(first)]))
+                raise ValueError("the vocabulary doesn't begin a token at every single space and line break")
+            data, skip = ids.tobytes(), 0 if mark == " " else 4  # a space is part of the piece, a break isn't
+            cuts = [*(starts * 4).tolist(), len(data)]
+            known.update(zip(some, [data[a + skip:b] for a, b in zip(cuts, cuts[1:])]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, with END after them."""
-        pieces = [t.split(" ") for t in texts]
-        plain = [self._plain(p) for p in pieces]
-        pieces = [[p[0], *[" " + x for x in p[1:]]] if ok else [] for p, ok in zip(pieces, plain)]
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        known = self.known
-        self._learn(list({p for some in pieces for p in some} - known.keys()))
+        cut = [[line.split(" ") for line in t.split("\n")] for t in texts]
+        plain = [self._plain(lines) for lines in cut]
+        lines = list(chain.from_iterable(compress(cut, plain)))
+        begin = [pieces.pop(0) for pieces in lines]
+        self._learn(self.first, set(begin) - {""}, "\n")
+        self._learn(self.later, set(chain.from_iterable(lines)), " ")
+        self.first[""] = b""
+        of, first = self.later.__getitem__, map(self.first.__getitem__, begin)
         whole = iter(self._ids([t for t, ok in zip(texts, plain) if not ok]))
-        end = np.array([END], np.uint32)
-        return [np.concatenate([np.frombuffer(b"".join(map(known.__getitem__, p)), np.uint32) if ok else next(whole), end])
-                for p, ok in zip(pieces, plain)]
+        end, break_, found = np.array([END], np.uint32).tobytes(), self.break_.tobytes(), []
+        for lines, ok in zip(cut, plain):
+            data = break_.join([b"".join((next(first), *map(of, p))) for p in lines]) if ok else next(whole).tobytes()
+            found.append(np.frombuffer(data + end, np.uint32))
+        return found
 
     @staticmethod
-    def _plain(pieces: list[str]) -> bool:
-        """Every space that was cut at stood between two characters that are no white space."""
-        return "" not in pieces and list(map(str.strip, pieces)) == pieces
+    def _plain(lines: list[list[str]]) -> bool:
+        """No white space stands beside other white space; a text may begin and end with one line break."""
+        for n, pieces in enumerate(lines):
+            if "" in pieces and not (pieces == [""] and (n == 0 or n == len(lines) - 1) and len(lines) != 2):
+                return pieces == [""] and len(lines) == 1
+            if list(map(str.strip, pieces)) != pieces:
+                return False
+        return True
 
 
 @lru_cache(1)
