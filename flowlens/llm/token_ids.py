@@ -9,13 +9,15 @@ all documents.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain, compress
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -25,6 +27,14 @@ from flowlens.llm.shared import scratch_path
 END = 0
 #: Spellings with known ids that a task keeps; the table is emptied when it is full.
 WORDS_KEPT = 800_000
+#: Bytes of text that are cut and looked up at a time; a longer text is one step.
+STEP = 4_000_000
+#: White space beside white space, or at an end of the text where it is no line break.
+BESIDE = re.compile(r"\s\s|\A[^\S\n]|[^\S\n]\Z")
+#: Kinds of bytes between which texts are cut: single white space, and ASCII letters before other visible ASCII.
+WHITE, LETTER, SIGN = 1, 2, 3
+KINDS = np.array([WHITE if b in b" \n" else LETTER if chr(b).isalpha() else SIGN if b > 32 else 0
+                  for b in range(127)] + [0] * 129, np.uint8)
 SEGMENT = "part int, segment long, doc_ids array<long>, lengths array<long>, n_tokens long, blocks binary"
 
 
@@ -44,67 +54,83 @@ def _tokenizer(path: str):
 
 
 class Encoder:
-    """Encodes texts with a byte-level tokenizer, a spelling between spaces once per worker.
+    """Encodes texts with a byte-level tokenizer, a spelling once per worker.
 
     Such a tokenizer splits before a space and around a line break that have no other white space beside
-    them, whatever else stands there, so the pieces between can be encoded alone. Texts with more white
-    space in one place are encoded whole.
+    them, and between a letter and a sign or digit, whatever else stands there, so the pieces between can
+    be encoded alone. Texts with more white space in one place are encoded whole. The pieces of many texts
+    are found, numbered and replaced by their ids as arrays; only new spellings reach the tokenizer.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
-        self.first: dict[str, bytes] = {}  # ids of pieces that begin a line
-        self.later: dict[str, bytes] = {}  # ids of pieces with a space before them
         # In a vocabulary of this kind a space is written as the letter G with a dot above.
         words = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(words.values()) + 1, bool)
         self.spaced[[n for w, n in words.items() if w.startswith("\u0120")]] = True
         self.break_ = self._ids(["\n"])[0]
+        self._forget()
+
+    def _forget(self) -> None:
+        """The ids of spelling ``n`` are ``ids[at[n]:at[n + 1]]``."""
+        self.known: dict[bytes, int] = {b"\n": 0}
+        self.ids, self.at = self.break_, np.array([0, 1])
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], pieces: set[str], mark: str) -> None:
-        """Ids of new pieces, encoded many at a time with ``mark`` before each and cut at the marks."""
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        new = list(pieces.difference(known))
-        for at in range(0, len(new), 1_000):
-            some = new[at:at + 1_000]
-            ids = self._ids([mark + mark.join(some)])[0]
-            starts = np.flatnonzero(self.spaced[ids] if mark == " " else ids == self.break_[0])
-            if len(starts) != len(some):
-                raise ValueError("the vocabulary doesn't begin a token at every single space and line break")
-            data, skip = ids.tobytes(), 0 if mark == " " else 4  # a space is part of the piece, a break isn't
-            cuts = [*(starts * 4).tolist(), len(data)]
-            known.update(zip(some, [data[a + skip:b] for a, b in zip(cuts, cuts[1:])]))
+    def _learn(self, spellings: list[bytes]) -> None:
+        """Ids of new spellings, encoded many at a time with a space or line break before each and cut there."""
+        if len(self.known) > WORDS_KEPT:
+            self._forget()
+        new = [s for s in spellings if s not in self.known]
+        later = [s for s in new if s[0] == 32]
+        begin = [s for s in new if s[0] == 10]
+        inner = [s for s in new if s[0] not in (10, 32)]  # these follow a letter, so a break may stand before them
+        ids, sizes = [self.ids], [np.diff(self.at)]
+        for some, mark, kept in ((later, b"", True), (begin, b"", True), (inner, b"\n", False)):
+            for at in range(0, len(some), 1_000):
+                part = some[at:at + 1_000]
+                found = self._ids([(mark + mark.join(part)).decode()])[0]
+                marks = self.spaced[found] if some is later else found == self.break_[0]
+                starts = np.flatnonzero(marks)
+                if len(starts) != len(part):
+                    raise ValueError("the vocabulary doesn't begin a token at every single space and line break")
+                ids.append(found if kept else found[~marks])
+                sizes.append(np.diff(starts, append=len(found)) - (not kept))
+        self.known.update(zip(chain(later, begin, inner), range(len(self.known), len(self.known) + len(new))))
+        self.ids = np.concatenate(ids)
+        self.at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, with END after them."""
-        cut = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        plain = [self._plain(lines) for lines in cut]
-        lines = list(chain.from_iterable(compress(cut, plain)))
-        begin = [pieces.pop(0) for pieces in lines]
-        self._learn(self.first, set(begin) - {""}, "\n")
-        self._learn(self.later, set(chain.from_iterable(lines)), " ")
-        self.first[""] = b""
-        of, first = self.later.__getitem__, map(self.first.__getitem__, begin)
+        plain = [BESIDE.search(t) is None for t in texts]
         whole = iter(self._ids([t for t, ok in zip(texts, plain) if not ok]))
-        end, break_, found = np.array([END], np.uint32).tobytes(), self.break_.tobytes(), []
-        for lines, ok in zip(cut, plain):
-            data = break_.join([b"".join((next(first), *map(of, p))) for p in lines]) if ok else next(whole).tobytes()
-            found.append(np.frombuffer(data + end, np.uint32))
-        return found
-
-    @staticmethod
-    def _plain(lines: list[list[str]]) -> bool:
-        """No white space stands beside other white space; a text may begin and end with one line break."""
-        for n, pieces in enumerate(lines):
-            if "" in pieces and not (pieces == [""] and (n == 0 or n == len(lines) - 1) and len(lines) != 2):
-                return pieces == [""] and len(lines) == 1
-            if list(map(str.strip, pieces)) != pieces:
-                return False
-        return True
+        cut = iter(self._encode_plain([t for t, ok in zip(texts, plain) if ok]))
+        return [np.append(next(cut if ok else whole), np.uint32(END)) for ok in plain]
+
+    def _encode_plain(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        lines = [b"\n" + t.encode() for t in texts]  # the break before a text is taken off its ids again
+        data = np.frombuffer(b"".join(lines), np.uint8)
+        kind = KINDS[data]
+        cut = kind == WHITE
+        cut[1:] |= (kind[1:] == SIGN) & (kind[:-1] == LETTER)
+        starts = np.flatnonzero(cut)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [
+            None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        spellings = pieces.dictionary.to_pylist()
+        self._learn(spellings)
+        number = np.fromiter(map(self.known.__getitem__, spellings), np.int64, len(spellings))[pieces.indices.to_numpy()]
+        begin = self.at[number]
+        size = self.at[number + 1] - begin
+        heads = np.searchsorted(starts, np.cumsum([0, *map(len, lines[:-1])]))
+        begin[heads] += 1
+        size[heads] -= 1
+        before = np.cumsum(size) - size
+        ids = self.ids[np.repeat(begin - before, size) + np.arange(size.sum())]
+        return np.split(ids, before[heads[1:]])
 
 
 @lru_cache(1)
@@ -128,9 +154,12 @@ def _write(vocabulary: str, segment_tokens: int):
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, batch.num_rows, 128):
-                some = [t or "" for t in texts.slice(at, 128).to_pylist()]
-                for name, found in zip(names[at:at + 128], encoder.encode(some)):
+            # Steps of about STEP bytes, cut after the text that reaches them.
+            size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            ends = np.flatnonzero(np.diff(size // STEP, append=-1)) + 1
+            for at, end in zip([0, *ends], ends):
+                some = [t or "" for t in texts.slice(at, end - at).to_pylist()]
+                for name, found in zip(names[at:end], encoder.encode(some)):
                     docs.append(name)
                     ids.append(found)
                     held += len(found)

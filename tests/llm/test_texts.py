@@ -153,6 +153,19 @@ def test_token_files_match_the_tokenizer(spark, documents, folder):
     assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in found) == crc
 
 
+PARTS = ["a", "B", "\u00e9", "e\u0301", "\u0451", "\u4e16", " ", " ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "\x1c", "\x00", "'s", "'ll",
+         "'", ",", ".", "-", "1", "23", "<|endoftext|>", "\u0120", "_", "\U0001f600", "don't"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=20).map("".join), max_size=8))
+def test_pieces_encode_like_whole_texts(texts):
+    pytest.importorskip("public_tokenizers")
+    encoder = token_ids._encoder(token_ids.public_vocabulary())
+    whole = [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert [found.tolist() for found in encoder.encode(texts)] == whole
+
+
 def test_no_token_files(documents):
     assert token_ids.token_digests(documents()).count() == 0
 
