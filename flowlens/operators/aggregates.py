@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from flowlens.functions.numeric import quoted
 from flowlens.operators.ordering import range_splits, running_totals
 
+#: Rank error of the sketch that brackets percentiles, as a part of all rows.
+RANK_ERROR = 0.001
+
 
 def class_distribution(df: DataFrame, column: str = "label") -> DataFrame:
     """Count and percent per class, most frequent first."""
@@ -72,17 +77,44 @@ def exact_percentiles(df: DataFrame, column: str, fractions: list[float]) -> lis
     return _percentiles(values, values.count(), fractions)
 
 
+def _brackets(values: DataFrame, total: int, fractions: list[float], wanted: list[int]) -> list[tuple]:
+    """Disjoint value ranges (low, high, rows below, rows up to high) that hold the wanted positions.
+
+    A sketch gives them, a count proves them; if a position lies outside, one range holds everything.
+    """
+    ends = sorted({max(0.0, f - 2 * RANK_ERROR) for f in fractions} | {min(1.0, f + 2 * RANK_ERROR) for f in fractions})
+    value = dict(zip(ends, values.approxQuantile("value", ends, RANK_ERROR)))
+    spans = sorted((value[max(0.0, f - 2 * RANK_ERROR)], value[min(1.0, f + 2 * RANK_ERROR)]) for f in fractions)
+    merged = []
+    for low, high in spans:
+        if merged and low <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
+        else:
+            merged.append((low, high))
+    c = F.col("value")
+    counts = values.agg(*[count for low, high in merged for count in (F.count_if(c < low), F.count_if(c <= high))]).first()
+    found = [(low, high, counts[2 * i], counts[2 * i + 1]) for i, (low, high) in enumerate(merged)]
+    held = all(any(below <= p < upto for _, _, below, upto in found) for p in wanted)
+    return found if held else [(float("-inf"), float("inf"), 0, total)]
+
+
 def _percentiles(values: DataFrame, total: int, fractions: list[float]) -> list[float | None]:
+    """Only the rows in narrow value ranges around the percentiles are shuffled."""
     if total == 0:
         return [None] * len(fractions)
-    counted = values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    placed = running_totals(counted, "value", ["n"], range_splits(values, "value"))
     positions = [fraction * (total - 1) for fraction in fractions]
     wanted = sorted({p for position in positions for p in (int(position), min(int(position) + 1, total - 1))})
-    at = placed.agg(*[
-        F.max(F.when((F.col("n_before") <= p) & (F.col("n_before") + F.col("n") > p), F.col("value"))) for p in wanted
-    ]).first()
-    value = dict(zip(wanted, at))
+    brackets = _brackets(values, total, fractions, wanted)
+    inside = reduce(lambda a, b: a | b, [F.col("value").between(low, high) for low, high, _, _ in brackets])
+    counted = values.where(inside).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    placed = running_totals(counted, "value", ["n"], range_splits(counted, "value"))
+    at, earlier = {}, 0  # position among the rows inside
+    for _, _, below, upto in brackets:
+        at |= {p: p - below + earlier for p in wanted if below <= p < upto}
+        earlier += upto - below
+    found = placed.agg(*[F.max(F.when((F.col("n_before") <= at[p]) & (F.col("n_before") + F.col("n") > at[p]),
+                                      F.col("value"))) for p in wanted]).first()
+    value = dict(zip(wanted, found))
     return [value[int(p)] + (value[min(int(p) + 1, total - 1)] - value[int(p)]) * (p - int(p)) for p in positions]
 
 

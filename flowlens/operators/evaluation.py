@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from flowlens.operators.lookup import small_copy
 from flowlens.operators.ordering import range_splits, running_totals
+from flowlens.sources.storage import materialize
 
 MAX_CLASSES = 1_000
 
@@ -104,11 +105,16 @@ def multiclass_metrics(predictions: DataFrame, label: str = "label", prediction:
 
 
 def _score_steps(predictions: DataFrame, label: str, score: str) -> DataFrame:
-    """One row per distinct score, highest first, with the totals above it."""
+    """One row per distinct score, highest first, with the totals above it.
+
+    The counts are written once: the cuts are taken over distinct scores, so that a score
+    many rows share doesn't use up the ranges, and the totals read the same rows.
+    """
     keyed = predictions.where(F.col(score).isNotNull()).select(
         (-F.col(score).cast("double")).alias("key"), (F.col(label).cast("double") == 1.0).alias("hit"))
     steps = keyed.groupBy("key").agg(F.count_if("hit").alias("pos"), F.count_if(~F.col("hit")).alias("neg"))
-    return running_totals(steps, "key", ["pos", "neg"], range_splits(keyed, "key"))
+    steps = materialize(steps, "score_steps")
+    return running_totals(steps, "key", ["pos", "neg"], range_splits(steps, "key"))
 
 
 def _roc_area(steps: DataFrame):

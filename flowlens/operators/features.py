@@ -6,6 +6,10 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
+from flowlens.operators.lookup import join_lookup
+from flowlens.operators.ordering import numbered
+from flowlens.sources.storage import materialize
+
 MAX_CATEGORIES = 100_000
 
 
@@ -24,7 +28,8 @@ def fit_category_index(df: DataFrame, columns: list[str], suffix: str = "_indexe
     """Most frequent value first, ties by value; unseen and null values come last.
 
     Counting is a grouped aggregation. Only the category lists reach the driver, and
-    a column with more than ``max_categories`` values is refused instead of collected.
+    a column with more than ``max_categories`` values is refused instead of collected:
+    ``index_by_rank`` takes any number.
     """
     ordered = category_counts(df, columns).orderBy("column_name", F.desc("count"), "value")
     rows = ordered.limit(max_categories * len(columns) + 1).collect()
@@ -37,6 +42,29 @@ def fit_category_index(df: DataFrame, columns: list[str], suffix: str = "_indexe
         outputCols=[c + suffix for c in columns], handleInvalid="keep")
 
 
+def category_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (column_name, value, rank) with the indexes of ``fit_category_index``, for any number of values."""
+    order = [F.col("column_name"), F.desc("count"), F.col("value")]
+    ranked = numbered(category_counts(df, columns), order, "_number")
+    first = ranked.groupBy("column_name").agg(F.min("_number").alias("_first"))  # one row per column
+    return ranked.join(F.broadcast(first), "column_name").select(
+        "column_name", "value", (F.col("_number") - F.col("_first")).cast("double").alias("rank"))
+
+
+def index_by_rank(df: DataFrame, columns: list[str], ranks: DataFrame | None = None, suffix: str = "_indexed") -> DataFrame:
+    """``index_categories`` by joins: no list of values on the driver, and no bound on their number.
+
+    Unseen and null values get the number of known ones.
+    """
+    ranks = materialize(category_ranks(df, columns) if ranks is None else ranks, "category_ranks")
+    known = {r["column_name"]: r["n"] for r in ranks.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = df
+    for c in columns:
+        values = ranks.where(F.col("column_name") == c).select(F.col("value").alias("_value"), F.col("rank").alias(c + suffix))
+        found = join_lookup(found, values, F.col(c).cast("string") == F.col("_value")).drop("_value")
+    return found.na.fill({c + suffix: float(known.get(c, 0)) for c in columns})
+
+
 def index_categories(df: DataFrame, columns: list[str], model: StringIndexerModel | None = None,
                      replace: bool = False) -> DataFrame:
     """Add ``<column>_indexed``, or with ``replace`` put the index in the column's place."""

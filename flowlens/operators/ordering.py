@@ -13,6 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens.functions.moments import literal
+from flowlens.sources.storage import materialize
 
 SHALLOW_ROWS = 10_000
 MAX_RANGES = 10_000  # bounds the per-range rows that reach the driver
@@ -53,6 +54,20 @@ def running_totals(values: DataFrame, key: str, measures: list[str], splits: lis
     )
 
 
+def numbered(df: DataFrame, order: list[Column], output: str) -> DataFrame:
+    """Add the row's number (from 0) in the order of ``order``, which must have no ties.
+
+    Rows are spread over tasks by ranges of the order and written, so that a task that runs again
+    finds the same ranges; one count per task gives where its numbers begin.
+    """
+    placed = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(  # one row per task that wrote
+        "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    number = F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return placed.join(starts, "_part").select(*df.columns, number.alias(output))
+
+
 def _struct_key(columns: list[str]) -> Column:
     return F.struct(*[F.col(c) for c in columns])
 

@@ -7,12 +7,13 @@ figure, and bounds don't. Each query runs its operator over the whole table and
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
-from flowlens.operators import evaluation as ev, models as mo, scoring as sc, sessions as se
+from flowlens.operators import alerts as al, evaluation as ev, features as fe, models as mo, scoring as sc, sessions as se
 from flowlens.plans import fixtures as fx
 from flowlens.plans.catalog import (
     KEY, SMALL_BOOST, SMALL_FOREST, _replay, _unsw_rows, stored_alerts, training_rows, unsw_detector)
@@ -181,6 +182,22 @@ def delete_all_sessions(spark, sf):
                                  "alerts_deleted long, sessions_deleted long, alerts_left long, events_left long")
 
 
+@query
+def compact_alerts(spark, sf):
+    """Alerts stored once, and those of one session once more, of which every day is compacted."""
+    path = stored_alerts(spark, sf)
+    at.append_alerts(al.alert_filter(fx.alerts(spark, sf).where("is_attack"), session_id="sess2"), path, "sess2")
+    at.compact_alerts(spark, path, datetime.min, datetime.max)
+    return at.read_alerts(spark, path).select("event_id", "severity", "attack_type", "session_id", "alert_date", "batch_id")
+
+
+@query
+def index_many_categories(spark, sf):
+    """Key columns, whose values grow with the table, as categories."""
+    return fe.index_by_rank(fx.flows(spark, sf), ["l_orderkey", "service"]).select(
+        *KEY, "l_orderkey_indexed", "service_indexed")
+
+
 @query
 def read_processed(spark, sf):
     """All flows written as a processed table and read again."""

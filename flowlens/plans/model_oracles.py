@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowlens.plans.oracles import ALERTS, FLOWS, KEY, _with
+from flowlens.plans.oracles import ALERTS, FLOWS, KEY, _index, _with
 
 ROWS = """
 rows as (
@@ -41,6 +41,14 @@ from alerts group by 1"""),
     "delete_all_sessions": _with(ALERTS, """
 select count(*) filter (is_attack) as alerts_deleted, count(distinct session_id) as sessions_deleted,
   0::bigint as alerts_left, 0::bigint as events_left from alerts"""),
+    "compact_alerts": _with(ALERTS, """
+select event_id, severity, attack_type, session_id, processed_at::date as alert_date, -2::bigint as batch_id
+from alerts, (select unnest([1, 2]) as copy) where is_attack and (copy = 1 or session_id = 'sess2')"""),
+    "index_many_categories": _with(FLOWS + "," + _index("service"), f"""
+, orders_rank as (select l_orderkey, row_number() over (order by count(*) desc, l_orderkey::varchar) - 1 as i
+  from flows group by 1)
+select {KEY}, o.i::double as l_orderkey_indexed, coalesce(s.i, (select count(*) from service_rank))::double as service_indexed
+from flows join orders_rank o using (l_orderkey) left join service_rank s using (service)"""),
     "read_processed": _with(FLOWS, f"select {KEY}, bytes, service, label from flows"),
     "enrich_now": _with(ALERTS, "select event_id, true as stamped, severity from alerts"),
 }

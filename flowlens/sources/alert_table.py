@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from datetime import datetime, timedelta, timezone
+from itertools import islice
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -22,14 +23,15 @@ from flowlens.functions.moments import in_utc, moment
 from flowlens.operators import sessions as S
 from flowlens.operators.alerts import recent_alerts
 from flowlens.schemas import ALERT_SCHEMA, ALERT_SEVERITIES, EXPORT_COLUMNS, SESSION_EVENT_SCHEMA
-from flowlens.sources.storage import delete, delete_matching, exists, matching
+from flowlens.sources.storage import delete, delete_all, delete_matching, exists, matching, move, side_by_side
 
 ALERT_COLUMNS = ["is_attack", "attack_type", "severity", "binary_prediction", "multiclass_prediction",
                  "prediction_score", "processed_at", "kafka_timestamp"]
 CONTEXT_COLUMNS = ["event_id", "proto", "service", "state", "source_ip", "destination_ip",
                    "Source_IP", "Destination_IP"]
 PARTITIONS = ["alert_date", "session_id", "batch_id"]
-DIRECT_BATCH = -1
+DIRECT_BATCH, COMPACTED = -1, -2
+STAGED = "_compaction"  # in the table's folder, not read as data
 
 
 def alert_rows(scored: DataFrame, severities=ALERT_SEVERITIES) -> DataFrame:
@@ -67,10 +69,15 @@ def _replace_partitions(rows: DataFrame, path: str) -> None:
 
 
 def write_alert_batch(scored: DataFrame, path: str, session_id: str, batch_id: int, clock=None,
-                      severities=ALERT_SEVERITIES) -> None:
-    """Write the alerts of one micro-batch; writing the same batch again replaces it."""
+                      severities=ALERT_SEVERITIES, replayed: bool = True) -> None:
+    """Write the alerts of one micro-batch; writing the same batch again replaces it.
+
+    Looking for what an earlier attempt left lists all days: a caller that knows of none says
+    so with ``replayed=False``.
+    """
     rows = _located(alert_rows(scored, severities), session_id, batch_id, clock)
-    delete_matching(scored.sparkSession, f"{path}/alert_date=*/session_id={session_id}/batch_id={batch_id}")
+    if replayed:
+        delete_matching(scored.sparkSession, f"{path}/alert_date=*/session_id={session_id}/batch_id={batch_id}")
     _replace_partitions(rows, path)
 
 
@@ -102,6 +109,14 @@ def _stored_schema(spark: SparkSession, path: str, days: list[str]) -> T.StructT
     return None
 
 
+def _with_partitions(schema: T.StructType) -> T.StructType:
+    """Partition types are stated: session ids such as 00123456 or 1234e567 must stay text."""
+    kept = [f for f in schema.fields if f.name not in PARTITIONS]
+    parts = [T.StructField("alert_date", T.DateType()), T.StructField("session_id", T.StringType()),
+             T.StructField("batch_id", T.LongType())]
+    return T.StructType(kept + parts)
+
+
 def read_alerts(spark: SparkSession, path: str, since: datetime | None = None, until: datetime | None = None,
                 schema: T.StructType | None = None) -> DataFrame:
     """The alert table, or the days from ``since`` to ``until`` of it; empty if there are none.
@@ -116,11 +131,7 @@ def read_alerts(spark: SparkSession, path: str, since: datetime | None = None, u
     schema = schema or _stored_schema(spark, path, days)
     if not days or schema is None:
         return spark.createDataFrame([], schema or ALERT_SCHEMA)
-    kept = [f for f in schema.fields if f.name not in PARTITIONS]
-    # Partition types are stated: session ids such as 00123456 or 1234e567 must stay text.
-    parts = [T.StructField("alert_date", T.DateType()), T.StructField("session_id", T.StringType()),
-             T.StructField("batch_id", T.LongType())]
-    return spark.read.option("basePath", path).schema(T.StructType(kept + parts)).parquet(*days)
+    return spark.read.option("basePath", path).schema(_with_partitions(schema)).parquet(*days)
 
 
 def export_alerts(alerts: DataFrame, limit: int = 1000, severity: str | None = None,
@@ -175,8 +186,7 @@ def delete_old_alerts(spark: SparkSession, path: str, days: int = 30, now: datet
     cutoff = in_utc(now or datetime.now(timezone.utc)) - timedelta(days=days)
     expired = [p for p in matching(spark, f"{path}/alert_date=*") if p.rsplit("=", 1)[1] < _day(cutoff)]
     gone = _stored_rows(spark, path, expired)
-    for folder in expired:
-        delete(spark, folder)
+    delete_all(spark, expired)
 
     day = read_alerts(spark, path, cutoff, cutoff)
     old = F.col("processed_at") < moment(cutoff, day.schema["processed_at"].dataType)
@@ -184,14 +194,55 @@ def delete_old_alerts(spark: SparkSession, path: str, days: int = 30, now: datet
         F.count_if(old).alias("old"), F.count(F.lit(1)).alias("rows")).where("old > 0").persist()
     gone += batches.agg(F.coalesce(F.sum("old"), F.lit(0))).first()[0]
     mixed = batches.where("old < rows").select(*PARTITIONS)
-    emptied = batches.where("old = rows").select(*PARTITIONS).collect()  # one row per folder to delete
     _replace_partitions(day.where(~old).join(mixed, PARTITIONS, "left_semi"), path)
-    for row in emptied:
-        delete(spark, "/".join([path, *(f"{c}={row[c]}" for c in PARTITIONS)]))
+    emptied = batches.where("old = rows").select(*PARTITIONS).toLocalIterator()  # one row per folder to delete
+    while some := list(islice(emptied, 1_000)):
+        delete_all(spark, ["/".join([path, *(f"{c}={row[c]}" for c in PARTITIONS)]) for row in some])
     batches.unpersist()
     return gone
 
 
+# Compaction --------------------------------------------------------------
+
+def compact_alerts(spark: SparkSession, path: str, since: datetime, until: datetime) -> None:
+    """Gather the batches of whole days into few files per day and session, sorted by severity, type and time.
+
+    The sort gives Parquet narrow value ranges per row group, so a filter on severity or type skips
+    most of them. The new files and the list of folders they replace are staged first. The exchange is
+    no transaction: a reader may meanwhile find a batch twice, and after an interruption until the next
+    call, which first finishes what an earlier one began. Batches that arrive meanwhile stay as they are.
+    For days that no replay writes to any more, one call at a time.
+    """
+    _finish_compaction(spark, path)
+    folders = [f for f in matching(spark, f"{path}/alert_date=*/session_id=*/batch_id=*")
+               if _day(since) <= f.rsplit("/", 3)[1].split("=", 1)[1] <= _day(until)]
+    schema = _stored_schema(spark, path, folders)
+    if schema is None:
+        return
+    found = spark.read.option("basePath", path).schema(_with_partitions(schema)).parquet(*folders)
+    (found.withColumn("batch_id", F.lit(COMPACTED).cast("bigint")).hint("rebalance", "alert_date", "session_id")
+     .sortWithinPartitions(*PARTITIONS, "severity", "attack_type", "processed_at")
+     .write.mode("overwrite").partitionBy(*PARTITIONS).parquet(f"{path}/{STAGED}/rows"))
+    replaced = spark.createDataFrame([(f,) for f in folders], "value string")  # one row per folder
+    replaced.coalesce(1).write.mode("overwrite").text(f"{path}/{STAGED}/replaced")
+    _finish_compaction(spark, path)
+
+
+def _finish_compaction(spark: SparkSession, path: str) -> None:
+    """Put staged files in their place; without a complete list of what they replace, forget them."""
+    staged = f"{path}/{STAGED}"
+    if exists(spark, f"{staged}/replaced/_SUCCESS"):
+        def place(source: str) -> None:
+            target = "/".join([path, *source.rsplit("/", 3)[1:]])
+            delete(spark, target)  # of an earlier compaction, whose rows are among the staged ones
+            move(spark, source, target)
+
+        side_by_side(place, matching(spark, f"{staged}/rows/alert_date=*/session_id=*/batch_id={COMPACTED}"))
+        replaced = (r["value"] for r in spark.read.text(f"{staged}/replaced").toLocalIterator())
+        delete_all(spark, [f for f in replaced if not f.endswith(f"/batch_id={COMPACTED}")])
+    delete(spark, staged)
+
+
 # Sessions ----------------------------------------------------------------
 
 def _append_event(spark: SparkSession, log_path: str, session_id: str, event: str,

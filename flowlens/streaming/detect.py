@@ -53,9 +53,16 @@ def detect(messages: DataFrame, source: str, detector: Detector, delay: str | No
 
 def alert_sink(path: str, session_id: str, clock: Column | None = None, severities=ALERT_SEVERITIES) -> BatchSink:
     """Store the alerts of each micro-batch in the alert table. A severity policy with levels
-    of its own names them in ``severities``."""
+    of its own names them in ``severities``. Only the first batch of a run, or one after a failure,
+    can have been tried before."""
+    begun, done = -1, -2
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        alert_table.write_alert_batch(batch, path, session_id, batch_id, clock, severities)
+        nonlocal begun, done
+        fresh = begun == done and batch_id > done
+        begun = batch_id
+        alert_table.write_alert_batch(batch, path, session_id, batch_id, clock, severities, replayed=not fresh)
+        done = batch_id
     return write
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from flowlens.operators import aggregates as agg
 from flowlens.operators import alerts as al
-from flowlens.operators.ordering import range_splits, running_totals, seek_page
+from flowlens.operators import features
+from flowlens.operators.aggregates import exact_percentiles
+from flowlens.operators.ordering import numbered, range_splits, running_totals, seek_page
 
 
 def hot_values(n, seed=7):
@@ -66,3 +68,31 @@ def test_page_across_two_ranges(spark):
 def test_page_count(spark):
     df = spark.range(101)
     assert rows(al.page_count(df, 50)) == [(101, 3)]
+
+
+def test_equal_values_leave_the_ranges_to_the_others(spark):
+    """99 % zeros: cuts are taken over distinct values, so the rest still spreads over many ranges."""
+    df = spark.range(200_000).select(F.when(F.col("id") % 100 == 0, F.col("id")).otherwise(0).cast("double").alias("score"),
+                                     (F.col("id") % 300 == 0).cast("double").alias("label"))
+    distinct = df.select("score").distinct()
+    assert len(range_splits(distinct, "score", 800)) > 700
+    found = exact_percentiles(df, "score", [0.0, 0.5, 0.99, 0.995, 1.0])
+    values = [r[0] for r in df.select("score").orderBy("score").collect()]
+    assert found == pytest.approx(list(np.quantile(values, [0.0, 0.5, 0.99, 0.995, 1.0])))
+
+
+def test_numbers_follow_the_order(spark):
+    df = spark.createDataFrame([(i * 7919 % 1000, i % 3) for i in range(1000)], "a int, b int").repartition(7)
+    found = numbered(df, [F.col("b").desc(), F.col("a")], "n").orderBy("n").collect()
+    assert [r["n"] for r in found] == list(range(1000))
+    assert [(r["b"], r["a"]) for r in found] == sorted(((r["b"], r["a"]) for r in found), key=lambda k: (-k[0], k[1]))
+
+
+def test_ranks_of_categories(spark):
+    df = spark.createDataFrame([("x", 1), ("y", 1), ("y", 2), (None, None), ("a", 2)], "s string, n int")
+    ranks = features.category_ranks(df, ["s", "n"])
+    assert {tuple(r) for r in ranks.collect()} == {("s", "y", 0.0), ("s", "a", 1.0), ("s", "x", 2.0), ("n", "1", 0.0), ("n", "2", 1.0)}
+    other = spark.createDataFrame([("new", 2), (None, 7), ("x", None)], "s string, n int")
+    assert rows(features.index_by_rank(other, ["s", "n"], ranks).orderBy("n_indexed", "s_indexed"), "s_indexed", "n_indexed") == [
+        (3.0, 1.0), (2.0, 2.0), (3.0, 2.0)]
+    assert rows(features.index_by_rank(df.limit(0), ["s"])) == []

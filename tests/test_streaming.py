@@ -281,3 +281,50 @@ def test_sessions_on_disk(spark, folder):
     at.write_alert_batch(scored(spark, 4, datetime(2024, 1, 1)), table, second, 0)
     assert at.delete_all_sessions(spark, table, log) == {"alerts_deleted": 4, "sessions_deleted": 1}
     assert at.read_session_log(spark, log).count() == 0
+
+
+# Compaction --------------------------------------------------------------
+
+def stored(spark, path):
+    return sorted(rows(at.read_alerts(spark, path), "processed_at", "severity", "session_id"))
+
+
+def test_compaction_keeps_rows_and_finishes_interrupted_runs(spark, folder, monkeypatch):
+    path, day = folder + "/alerts", datetime(2024, 1, 2)
+    for batch, session in ((0, "a"), (1, "a"), (2, "b"), (3, "a")):
+        at.write_alert_batch(scored(spark, 6, datetime(2024, 1, 1 + batch // 3, 12, batch)), path, session, batch)
+    before = stored(spark, path)
+    at.compact_alerts(spark, path, datetime(2024, 1, 5), datetime(2024, 1, 6))
+    assert stored(spark, path) == before
+
+    def fail(*_):
+        raise OSError("lost")
+    monkeypatch.setattr(at, "delete_all", fail)
+    with pytest.raises(OSError):
+        at.compact_alerts(spark, path, datetime(2024, 1, 1), datetime(2024, 1, 1))
+    monkeypatch.undo()
+    at.write_alert_batch(scored(spark, 3, datetime(2024, 1, 1, 13)), path, "b", 9)
+    at.compact_alerts(spark, path, day, day)
+    later = stored(spark, path)
+    assert len(later) == len(before) + len(rows(at.read_alerts(spark, path).where("batch_id = 9")))
+    assert {r[0] for r in at.read_alerts(spark, path).select("batch_id").collect()} == {at.COMPACTED, 9}
+    at.compact_alerts(spark, path, datetime(2024, 1, 1), day)
+    assert stored(spark, path) == later
+    found = at.read_alerts(spark, path)
+    assert {r[0] for r in found.select("batch_id").collect()} == {at.COMPACTED}
+    assert len(found.inputFiles()) == found.select("session_id", "alert_date").distinct().count()
+    for file in found.inputFiles():
+        kinds = rows(spark.read.parquet(file).select("severity", "attack_type"))
+        assert kinds == sorted(kinds)
+
+
+def test_only_first_and_failed_batches_look_for_leftovers(spark, folder, monkeypatch):
+    looked = []
+    monkeypatch.setattr(at, "write_alert_batch", lambda *a, replayed: looked.append(replayed) or (len(looked) == 3 and 1 / 0))
+    sink = de.alert_sink(folder, "s")
+    for batch in (4, 5, 6, 6, 7, 7):
+        try:
+            sink(None, batch)
+        except ZeroDivisionError:
+            pass
+    assert looked == [True, False, False, True, False, True]
