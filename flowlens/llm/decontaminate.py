@@ -37,11 +37,16 @@ WORDS_KEPT = 500_000
 
 MATCH = "array<struct<item_id:long,score:double,question_overlap:double,answer_overlap:double,word_start:long>>"
 
-_INNER = re.compile(r"\w+")
+#: Letters of scripts without spaces between words (Thai to Burmese, Khmer, kana, Chinese): each is a word.
+_ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_INNER = re.compile(rf"(?=\w)[{_ALONE}]|[^\W{_ALONE}]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased words: letters, digits and underscores between anything else."""
+    """Lower-cased words: letters, digits and underscores of any script between anything else.
+
+    Where a script sets no spaces between words, each letter is one.
+    """
     return _INNER.findall((text or "").lower())
 
 
@@ -68,14 +73,14 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
 class Index:
     """Inverted index of items; impacts are parts of an item's score against itself."""
 
-    items: list[tuple[int, str]]
+    items: list[tuple[int | None, str | None]]
     threshold: float = THRESHOLD
     term_of: dict[str, int] = field(default_factory=dict)
     postings: list[tuple[list[int], list[float]]] = field(default_factory=list)
     highest: np.ndarray = None  # by term: its largest impact
 
     def __post_init__(self) -> None:
-        self.items = sorted(self.items)
+        self.items = sorted((i for i in self.items if words_of(i[1])), key=lambda i: (i[0] is None, i[0] or 0, i[1]))
         texts = [words_of(t) for _, t in self.items]
         self.parts = [tuple(shingles(p) for p in question_and_answer(t)) for _, t in self.items]
         counts: dict[str, dict[int, int]] = {}
@@ -165,7 +170,7 @@ class _Terms(dict):
 
     def __missing__(self, raw: str) -> int:
         word = raw if raw.isalnum() else raw[:-1]
-        if not word.isalnum():
+        if not word.isalnum() or not raw.isascii():
             words = _INNER.findall(raw)
             if len(words) != 1:
                 self.several.append([self.term_of.get(w, -1) for w in words])
@@ -261,9 +266,10 @@ class Matcher:
 def _indexes(items: DataFrame, threshold: float) -> Iterator[Index]:
     """Indexes of all items, of which one holds ITEMS_AT_ONCE items and about CHARS_AT_ONCE characters.
 
-    Items without words can't be found and are left out; of items that share an id all count.
+    Items without words can't be found and are left out by Index; of items that share an id, or have none,
+    all count.
     """
-    texts = items.where("item_id is not null").select(F.col("item_id").cast("long"), "text").where(F.col("text").rlike(r"\w")).distinct()
+    texts = items.select(F.col("item_id").cast("long"), "text").where("text is not null").distinct()
     n, size = texts.agg(F.count("*"), F.sum(F.length("text"))).first()
     parts = max(1, -(-n // ITEMS_AT_ONCE), -(-(size or 0) // CHARS_AT_ONCE))
     for part in range(parts):
@@ -290,8 +296,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
     A passage of a document is a candidate for an item if its BM25 score is at least ``threshold`` of the
     item's score against itself, and a leak if it holds 0.8 of the five-word shingles of both question and
-    answer. Null and empty texts, and items without words, match nothing. Repeated rows give repeated
-    matches; rows without ``doc_id`` are matched too. An empty table on either side gives no rows. Other
+    answer. Words are of any script. Null and empty texts, and items without words, match nothing. Repeated
+    rows give repeated matches; rows without ``doc_id`` are matched too, and items without ``item_id`` are
+    found and reported without one. An empty table on either side gives no rows. Other
     columns are left out.
     """
     found = None
@@ -302,7 +309,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that hold no test item; all columns."""
+    """The documents that hold no test item, also none without ``item_id``; all columns."""
     for index in _indexes(items, threshold):
         docs = docs.where(F.size(leaks(F.col("text"), index)) == 0)
     return docs
