@@ -1,7 +1,8 @@
 """Resharding that moves the fewest bytes: a minimum-cost flow from old to new shards.
 
-Rows lie in blocks (old shard, hash of the text), so equal texts lie together. From the
-blocks' sizes the driver solves a transport problem between old and new shards, in which a
+Rows lie in blocks (old shard, hash of the text), so equal texts lie together. A heavy block is cut
+into units by another hash of the text; only a text that is itself larger than a new shard is cut by
+row. From the units' sizes the driver solves a transport problem between old and new shards, in which a
 byte that stays costs nothing and a byte that moves costs one, and picks the blocks that
 carry the flow. Only then are rows given their shard, a gapless slot, and rewritten where
 their shard has changed its content.
@@ -19,8 +20,11 @@ from flowlens.llm.shared import scratch_path
 
 #: Blocks of one old shard; their number, not the input, bounds what the driver sees.
 BLOCKS = 2048
-#: A block over this part of all bytes or rows is cut into pieces of about this part.
+#: A block over twice this part of all bytes or rows is cut into units of about this part, text by text;
+#: rows of a larger unit are numbered in pieces of about this part.
 PIECE = 1 / 1024
+#: A block over a shard's capacity divided by this is placed before the flow.
+LARGE = 64
 
 
 def text_bytes(text: Column) -> Column:
@@ -77,22 +81,32 @@ def transport(supply: list[int], demand: list[int]) -> dict[tuple[int, int], int
     return {(i, j): room[n + j][i] for i in range(n) for j in range(m) if room[n + j].get(i, 0)}
 
 
-def place_blocks(blocks: list[tuple[int, int, int, int]], old: int, new: int) -> dict[tuple[int, int, int], int]:
+def place_blocks(blocks: list[tuple], old: int, new: int) -> dict[tuple, int]:
     """The new shard of every block (old shard, block, piece, bytes), sizes near equal.
 
-    The flow says how many bytes each old shard keeps and gives. Blocks stay while the kept
-    amount has room for them, largest first; the others go to the target with the most room left.
+    Blocks too large to fill gaps with come first: each stays where it has room, or goes where most room
+    is not needed by what lies there. For the others the flow says how many bytes each old shard keeps and
+    gives. Blocks stay while the kept amount has room for them, largest first; the others go to the
+    target with the most room left.
     """
     supply = [0] * old
     for shard, _, _, size in blocks:
         supply[shard] += size
     total = sum(supply)
-    demand = [total * (j + 1) // new - total * j // new for j in range(new)]
-    left: dict[tuple[int, int], int] = defaultdict(int, transport(supply, demand))
-    free = list(demand)
-    placed: dict[tuple[int, int, int], int] = {}
+    free = [total * (j + 1) // new - total * j // new for j in range(new)]
+    placed: dict[tuple, int] = {}
+    ordered = sorted(blocks, key=lambda b: (-b[3], b))
+    large = sum(b[3] * LARGE * new > total for b in ordered)
+    for shard, block, piece, size in ordered[:large]:
+        spare = [f - (supply[j] if j < old else 0) for j, f in enumerate(free)]
+        stays = shard < new and free[shard] >= size
+        j = shard if stays else max(range(new), key=lambda j: (free[j] >= size, spare[j] if free[j] >= size else free[j], -j))
+        free[j] -= size
+        supply[shard] -= size
+        placed[shard, block, piece] = j
+    left: dict[tuple[int, int], int] = defaultdict(int, transport(supply, [max(0, f) for f in free]))
     rest = []
-    for shard, block, piece, size in sorted(blocks, key=lambda b: (-b[3], b)):
+    for shard, block, piece, size in ordered[large:]:
         open_to = [j for j in range(new) if left[shard, j] >= size]
         if not open_to:
             rest.append((shard, block, piece, size))
@@ -127,41 +141,67 @@ def reshard(docs: DataFrame, new_shards: int = 8, old_shards: int = 6, old_shard
 
     ``old_shard`` says where a row lies now (0 to ``old_shards`` - 1); by default a hash of the text.
     New capacities are equal parts of all bytes (``text_bytes``); sizes differ from them by about one
-    block. Equal texts share a shard unless they make up more than ``PIECE`` of all bytes or rows. Null
-    and empty texts have size 1. Repeated rows are rows of their own; null ids sort first. An empty table
-    gives an empty one. Earlier columns of the added names are replaced.
+    block or the largest texts. Equal texts of one old shard, by default all, share a shard unless they
+    fill a new shard's capacity with a row to spare: only such a text is cut by row. Null and empty texts
+    have size 1. Repeated rows are rows of their own; null ids sort first. An empty table gives an
+    empty one. Earlier columns of the added names are replaced.
     """
     spark = docs.sparkSession
     others = [c for c in docs.columns if c not in ("shard", "slot", "old_shard")]
     now = F.pmod(F.xxhash64("text"), F.lit(old_shards)) if old_shard is None else old_shard
-    block, cut = ["old_shard", "__block"], ["old_shard", "__block", "__piece"]
+    block, unit = ["old_shard", "__block"], ["old_shard", "__block", "__unit"]
+    cut = [*unit, "__piece"]
     rows = docs.select(
         *others, now.cast("int").alias("old_shard"),
         F.pmod(F.xxhash64("text", F.lit("block")), F.lit(BLOCKS)).cast("int").alias("__block"),
-        text_bytes(F.col("text")).alias("__size"), F.xxhash64("doc_id", "text").alias("__row"))
+        text_bytes(F.col("text")).alias("__size"), F.xxhash64("text", F.lit("unit")).alias("__text"),
+        F.xxhash64("doc_id", "text").alias("__row"))
     total = [F.sum("__size").alias("s"), F.count("*").alias("n")]
     whole = rows.groupBy(*block).agg(*total).collect()  # old_shards * BLOCKS rows at most
     size, count = sum(b.s for b in whole), sum(b.n for b in whole)
-    # A block that is cut has over PIECE of the bytes or rows: 2 / PIECE blocks and twice as many pieces at most.
-    pieces = {(b[0], b[1]): max(1, int(b.s / (size * PIECE)), int(b.n / (count * PIECE))) for b in whole}
-    heavy = [(*k, p) for k, p in sorted(pieces.items()) if p > 1]
-    heavy_table = _lookup(spark, "old_shard int, __block int, __pieces int", heavy)
-    rows = rows.join(heavy_table, block, "left").withColumn(
+
+    def parts_of(b) -> int:
+        return max(1, int(b.s / (size * PIECE)), int(b.n / (count * PIECE)))
+
+    # A block that is cut has over PIECE of the bytes or rows: 2 / PIECE blocks and twice as many units at most.
+    heavy = [(b[0], b[1], parts_of(b)) for b in whole if parts_of(b) > 1]
+    rows = rows.join(_lookup(spark, "old_shard int, __block int, __units int", heavy), block, "left").withColumn(
+        "__unit", F.pmod("__text", F.coalesce("__units", F.lit(1))).cast("int"))
+    units = rows.where("__units is not null").groupBy(*unit).agg(*total).collect() if heavy else []
+    # Texts that fill a new shard by all rows but one: at most new_shards of them have two rows or more.
+    # They are units of their own.
+    full = F.col("s") - F.col("s") / F.col("n") >= F.lit(size / new_shards)
+    texts = []
+    if any(u.s - u.s / u.n >= size / new_shards for u in units):
+        texts = rows.where("__units is not null").groupBy(*unit, "__text").agg(*total).where((F.col("n") > 1) & full).collect()
+    own = [(t[0], t[1], t["__text"], -1 - n) for n, t in enumerate(texts)]
+    rows = rows.join(_lookup(spark, "old_shard int, __block int, __text long, __own int", own), [*block, "__text"], "left")
+    rows = rows.withColumn("__unit", F.coalesce("__own", "__unit"))
+    if own:
+        units = rows.where("__units is not null").groupBy(*unit).agg(*total).collect()
+    large = [(u[0], u[1], u[2], parts_of(u)) for u in units if parts_of(u) > 1]
+    rows = rows.join(_lookup(spark, "old_shard int, __block int, __unit int, __pieces int", large), unit, "left").withColumn(
         "__piece", F.pmod("__row", F.coalesce("__pieces", F.lit(1))).cast("int"))
-    exact = rows.where("__pieces is not null").groupBy(*cut).agg(*total).collect() if heavy else []
-    parts = [(b[0], b[1], 0, b.s, b.n) for b in whole if pieces[b[0], b[1]] == 1] + [tuple(b) for b in exact]
-    placed = place_blocks([p[:4] for p in parts], old_shards, new_shards)
+    exact = rows.where("__pieces is not null").groupBy(*cut).agg(*total).collect() if large else []
+    cut_blocks, cut_units = {h[:2] for h in heavy}, {x[:3] for x in large}
+    parts = [(b[0], b[1], 0, 0, b.s, b.n) for b in whole if (b[0], b[1]) not in cut_blocks]
+    parts += [(*u[:3], 0, u.s, u.n) for u in units if tuple(u[:3]) not in cut_units] + [tuple(b) for b in exact]
+    # Pieces of a unit go together, unless it is a text that is cut by row.
+    together: dict[tuple, int] = defaultdict(int)
+    for *key, piece, bytes_, _ in parts:
+        together[(*key[:2], (key[2], piece if key[2] < 0 else 0))] += bytes_
+    placed = place_blocks([(*key, bytes_) for key, bytes_ in together.items()], old_shards, new_shards)
     begin, plan = [0] * new_shards, []
-    for *key, _, n in sorted(parts):
-        shard = placed[tuple(key)]
-        plan.append((*key, shard, begin[shard]))
+    for *key, piece, _, n in sorted(parts):
+        shard = placed[(*key[:2], (key[2], piece if key[2] < 0 else 0))]
+        plan.append((*key, piece, shard, begin[shard]))
         begin[shard] += n
-    plan_table = _lookup(spark, "old_shard int, __block int, __piece int, shard int, __begin long", plan)
+    plan_table = _lookup(spark, "old_shard int, __block int, __unit int, __piece int, shard int, __begin long", plan)
     nth = F.row_number().over(Window.partitionBy(*cut).orderBy("doc_id", "__row"))
     placed_rows = rows.withColumn("__nth", nth).join(plan_table, cut).select(
         *others, "shard", (F.col("__begin") + F.col("__nth") - 1).alias("slot"), "old_shard")
-    moved = {x for s, _, _, shard, _ in plan if s != shard for x in (s, shard)}
-    return Resharded(placed_rows, sorted(moved), sorted({p[3] for p in plan}))
+    moved = {x for s, _, _, _, shard, _ in plan if s != shard for x in (s, shard)}
+    return Resharded(placed_rows, sorted(moved), sorted({p[4] for p in plan}))
 
 
 def rewrite_shards(resharded: Resharded, path: str) -> DataFrame:
