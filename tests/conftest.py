@@ -28,8 +28,3 @@ def spark(tmp_path_factory):
 @pytest.fixture
 def folder(tmp_path):
     return str(tmp_path)
-
-
-def rows(df, *columns):
-    """Rows as tuples, in the frame's order."""
-    return [tuple(r) for r in (df.select(*columns) if columns else df).collect()]

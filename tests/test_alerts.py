@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
-from conftest import rows
+from frames import rows
 
 from flowlens.operators import alerts as al
 from flowlens.operators import sessions as se

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 

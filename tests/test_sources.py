@@ -2,7 +2,7 @@ import json
 from pathlib import Path
 
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F, types as T
 
 from flowlens import schemas

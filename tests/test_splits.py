@@ -2,7 +2,7 @@ import hashlib
 from collections import Counter
 
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from flowlens.functions.hashing import hash32, row_key
