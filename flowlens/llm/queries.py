@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from flowlens.llm import (
-    chat, decontaminate, ego_join, line_dedup, mixing, reshard, simhash, token_ids, toxicity, warc,
+    chat, decontaminate, ego_join, line_dedup, mixing, rank_bpe, reshard, simhash, token_ids, toxicity, warc,
 )
 from flowlens.llm.shared import scratch_path, table
 
@@ -63,6 +63,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = rank_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
+    return rank_bpe.decode(encoded).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("data", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_simhash, op3_token_ids, op4_chat, op5_reshard, op6_ego_join, op7_toxicity, op8_cube_mix,
-    op9_line_dedup, op10_warc)}
+    op9_line_dedup, op10_warc, op11_rank_bpe)}
