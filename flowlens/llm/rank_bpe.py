@@ -130,7 +130,7 @@ def decode(df: DataFrame, column: str = "ids", into: str = "data", ranks: str |
 
     def convert(ids: pa.Array) -> pa.Array:
         encoding = load(ranks, pattern)
-        return pa.array([encoding.decode_bytes([i for i in row.values.to_pylist() if i is not None] if row.is_valid else [])
+        return pa.array([encoding.decode_bytes(row.values.drop_null().to_numpy().tolist() if row.is_valid else [])
                          for row in ids], pa.binary())
 
     return _mapped(df, column, into, T.BinaryType(), convert)
