@@ -64,3 +64,25 @@ select page_id, payload_bytes, payload_digest,
   case when payload_bytes >= 100 and page_id <> first_id then first_id end as refers_to
 from f
 """
+
+ORACLES["op12_hard_negatives"] = """
+with v as materialized (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(cast(embedding as double[]), lambda x: cast(floor(256 * x) as bigint)) as e
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(cast(embedding as double[]), lambda x: x is null or not isfinite(x))) = 0),
+scored as materialized (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+    list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2]))::bigint as score
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id, cast(row_number() over w as integer) as rank, vec_id as negative_id, positive_score,
+  score as negative_score
+from positives p join scored s on s.anchor_id = p.anchor_id and not same
+  and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+window w as (partition by p.anchor_id, positive_id order by score desc, vec_id)
+qualify row_number() over w <= 3
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from flowlens.llm import (
-    chat, decontaminate, ego_join, line_dedup, mixing, rank_bpe, reshard, simhash, token_ids, toxicity, warc,
+    chat, decontaminate, ego_join, hard_negatives, line_dedup, mixing, rank_bpe, reshard, simhash, token_ids, toxicity, warc,
 )
 from flowlens.llm.shared import scratch_path, table
 
@@ -71,6 +71,13 @@ def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("data", 256).alias("decoded_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(
+        F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0).select(
+        "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_simhash, op3_token_ids, op4_chat, op5_reshard, op6_ego_join, op7_toxicity, op8_cube_mix,
-    op9_line_dedup, op10_warc, op11_rank_bpe)}
+    op9_line_dedup, op10_warc, op11_rank_bpe, op12_hard_negatives)}

@@ -1,0 +1,81 @@
+"""Mined negatives against plain Python over all pairs."""
+
+import math
+
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from flowlens.llm import hard_negatives as hn
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 6), st.integers(1, 40), st.sampled_from([3, 300, 2**15, 2**26]), st.integers(0, 2**32), st.booleans())
+def test_packed_scores_are_exact(size, count, most, seed, positive):
+    rng = np.random.default_rng(seed)
+    values = rng.integers(0 if positive else -most, most + 1, (count, size))
+    anchors = rng.integers(-most, most + 1, (5, size))
+    widest = int((anchors - anchors.min(axis=1, initial=0, keepdims=True)).max(initial=0))
+    packed = hn.Packed(values, widest)
+    for anchor in anchors:
+        assert packed.scores(anchor).tolist() == [sum(int(x) * int(y) for x, y in zip(row, anchor)) for row in values]
+
+
+def brute(rows, every):
+    ok = {}
+    for vec, values, label in rows:
+        if vec is None or label is None or values is None or any(x is None or not math.isfinite(x) or abs(x) >= 2**31 for x in values):
+            continue
+        ok[vec, label, tuple(math.floor(256 * float(np.float32(x))) for x in values)] = None
+    out = []
+    for anchor, label, values in ok:
+        if anchor % every:
+            continue
+        scores = [(-sum(a * b for a, b in zip(values, v)), i, l) for i, l, v in ok if i != anchor and len(v) == len(values)]
+        for p, pid, _ in sorted(s for s in scores if s[2] == label)[:5]:
+            fit = sorted((s, i) for s, i, l in scores if l != label and 50 * -p <= 100 * -s <= 95 * -p)
+            out += [(anchor, pid, n, i, -p, -s) for n, (s, i) in enumerate(fit[:3], 1)]
+    return sorted(out)
+
+
+def columns(df):
+    return sorted(tuple(r) for r in df.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score",
+                                              "negative_score").collect())
+
+
+def test_matches_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(hn, "CANDIDATES", 512)
+    monkeypatch.setattr(hn, "ANCHORS", 128)
+    monkeypatch.setattr(hn, "FIELDS", 7)
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(6, 12))
+    rows = [(n, ((centres[n % 6] + rng.normal(size=12)) / 4).astype("float32").tolist(), n % 3 if n % 4 else 0) for n in range(400)]
+    same = rows[10][1]
+    rows += [(1_000 + n, same, n % 3) for n in range(40)]  # ties within and across labels
+    rows += [(2_000, None, 1), (2_010, same, None), (None, same, 1), (2_020, [float("nan")] + same[1:], 1),
+             (2_030, [None] + same[1:], 1), (2_040, [float("inf")] * 12, 0), (2_050, same[:4], 1), (2_051, same[:4], 1),
+             (2_052, [x * 0.8 for x in same[:4]], 2), (2_060, [], 1), (2_061, [], 1), (2_062, [], 2), (2_070, [-9e5] * 12, 2),
+             (2_080, [3e9] * 12, 1), (30, same, 7), (10, same, rows[10][2]), (2_090, [0.0] * 12, 5)]
+    frame = spark.createDataFrame(rows, SCHEMA).withColumn("h1", F.lit("x")).withColumn("values", F.lit(1)).repartition(5)
+    found = columns(hn.mine(frame, F.col("vec_id") % 10 == 0))
+    assert found == brute(rows, 10) and len(found) > 500
+
+
+def test_too_long_vectors_take_no_part(spark):
+    rows = [(0, [2e6] * 4096, 1), (1, [2e6] * 4096, 1), (2, [1.5e6] * 4096, 2)]
+    assert hn.mine(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") >= 0).count() == 0
+
+
+@pytest.mark.parametrize("rows", [[], [(0, [1.0], 1)], [(0, [1.0], 1), (1, [1.0], 1)], [(1, [1.0], 1), (2, [0.8], 2), (3, [1.0], 1)]])
+def test_nothing_to_mine(spark, rows):
+    assert columns(hn.mine(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0)) == []
+
+
+def test_one_hot_label_and_many_labels(spark):
+    rng = np.random.default_rng(2)
+    rows = [(n, (rng.normal(size=8) + 1).astype("float32").tolist(), 1 if n % 3 else 10 + n) for n in range(600)]
+    found = columns(hn.mine(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0))
+    assert found == brute(rows, 50) and found
