@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from flowlens.llm import (
-    chat, decontaminate, ego_join, hard_negatives, line_dedup, mixing, rank_bpe, reshard, simhash, token_ids, toxicity, warc,
+    chat, decontaminate, ego_join, hard_negatives, line_dedup, mixing, rank_bpe, reshard, simhash, token_alignment,
+    token_ids, toxicity, warc,
 )
-from flowlens.llm.shared import scratch_path, table
+from flowlens.llm.shared import materialize, scratch_path, table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +79,13 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
         "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = token_alignment.align(table(spark, sf_dir, "documents"))
+    digests = aligned.withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")).drop("groups")
+    return token_alignment.rate(materialize(digests, "aligned")).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_simhash, op3_token_ids, op4_chat, op5_reshard, op6_ego_join, op7_toxicity, op8_cube_mix,
-    op9_line_dedup, op10_warc, op11_rank_bpe, op12_hard_negatives)}
+    op9_line_dedup, op10_warc, op11_rank_bpe, op12_hard_negatives, op13_token_alignment)}
