@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from flowlens.llm.token_ids import Encoder
 
-#: Bytes of text in a block; a longer text is a block of its own.
-BLOCK = 8_000_000
+#: Bytes of text in a block, and of the steps a block is aligned in; a longer text is one of its own.
+BLOCK, STEP = 4_000_000, 500_000
+#: Spellings whose ids in A a worker keeps; with both models' tables that is some 120 MB.
+WORDS_KEPT = 250_000
 ALIGNED = ("part int, block int, doc_id long, n_a long, n_b long, groups string, links array<int>, "
            "pairs array<struct<a: int, b: int, n: long>>")
 
@@ -45,7 +47,7 @@ class Tokenizers:
 
     def __init__(self, a_file: str, b_file: str) -> None:
         from sentencepiece import SentencePieceProcessor
-        self.a, self.b = Encoder(a_file), SentencePieceProcessor(model_file=b_file)
+        self.a, self.b = Encoder(a_file, WORDS_KEPT), SentencePieceProcessor(model_file=b_file)
         letters, words = byte_letters(), self.a.tokenizer.get_vocab()
         names = {n: word for word, n in words.items()}
         self.a_bytes = pa.array([bytes(letters.get(c, 0) for c in names.get(n, "")) for n in range(max(names) + 1)],
@@ -62,11 +64,10 @@ class Tokenizers:
 
     def encode(self, texts: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
         """Token lists of space + text by A, and of text by B, which sets a space before it; none for empty texts."""
-        live = [t for t in texts if t]
-        a = iter([ids[:-1] for ids in self.a.encode([" " + t for t in live])])  # without the end id
-        b = iter(self.b.encode(live, num_threads=1) if live else [])
-        none = np.zeros(0, np.int32)
-        return lists([next(a) if t else none for t in texts]), lists([next(b) if t else none for t in texts])
+        ids, stops = self.a.encode_flat([" " + t if t else "" for t in texts])
+        a = pa.ListArray.from_arrays(pa.array(np.append(0, stops), pa.int32()), pa.array(ids.astype(np.int32)))
+        rows = iter(self.b.encode([t for t in texts if t], num_threads=1) if any(texts) else [])
+        return a, lists([next(rows) if t else [] for t in texts])
 
 
 @lru_cache(1)
@@ -75,7 +76,7 @@ def _tokenizers(a_file: str, b_file: str) -> Tokenizers:
     return Tokenizers(a_file, b_file)
 
 
-def lists(rows: list) -> pa.ListArray:
+def lists(rows: list[list[int]]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, rows)])
     flat = np.fromiter(chain.from_iterable(rows), np.int32, ends[-1])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
@@ -143,38 +144,50 @@ def written_groups(known: Tokenizers, a: pa.ListArray, b: pa.ListArray, at_a: np
     return pa.StringArray.from_buffers(len(a), pa.py_buffer(rows), text.buffers()[2] if len(text) else pa.py_buffer(b""))
 
 
-def align_block(known: Tokenizers, texts: list[str]) -> dict[str, pa.Array]:
-    """n_a, n_b, groups and links (numbers of id pairs) per text, and pairs with their counts in the first row."""
+def align_step(known: Tokenizers, texts: list[str]) -> tuple[pa.Table, np.ndarray]:
+    """(n_a, n_b, groups, n_links) per text, and the id pair of every link in order: A's id times B's ids, plus B's."""
     a, b = known.encode(texts)
     right = spelled([(known.a_bytes, a), (known.b_bytes, b)], texts)
     a, b = without(a, right), without(b, right)
     links = links_of(a, b, known.sizes)
     at_a, at_b = np.asarray(links["a"]), np.asarray(links["b"])
-    many_b = len(known.b_bytes)
-    pair = pa.array(np.asarray(a.flatten(), np.int64)[at_a] * many_b + np.asarray(b.flatten(), np.int64)[at_b]).dictionary_encode()
+    pairs = np.asarray(a.flatten(), np.int64)[at_a] * len(known.b_bytes) + np.asarray(b.flatten(), np.int64)[at_b]
+    rows = pa.table({"n_a": pc.list_value_length(a).cast(pa.int64()), "n_b": pc.list_value_length(b).cast(pa.int64()),
+                     "groups": written_groups(known, a, b, at_a, at_b),
+                     "n_links": np.bincount(np.asarray(links["doc"]), minlength=len(texts))})
+    return rows, pairs
+
+
+def align_block(known: Tokenizers, texts: list[str], step: int = STEP) -> dict[str, pa.Array]:
+    """n_a, n_b, groups and links (numbers of id pairs) per text, and pairs with their counts in the first row."""
+    done = [align_step(known, texts[at:stop]) for at, stop in cuts([len(t) for t in texts], step)]
+    rows = pa.concat_tables([table for table, _ in done]).combine_chunks()
+    pair = pa.array(np.concatenate([pairs for _, pairs in done])).dictionary_encode()
     counts = pa.table({"pair": pair.indices}).group_by("pair", use_threads=False).aggregate([([], "count_all")]).sort_by("pair")
-    names = np.asarray(pair.dictionary)
+    names, many_b = np.asarray(pair.dictionary), len(known.b_bytes)
     entries = pa.StructArray.from_arrays(
         [pa.array((names // many_b).astype(np.int32)), pa.array((names % many_b).astype(np.int32)),
          counts["count_all"].combine_chunks().cast(pa.int64())], ["a", "b", "n"])
-    rows = len(texts)
-    first = pa.array(np.minimum(np.arange(rows + 1), 1) * len(entries), pa.int32())
-    per_row = np.searchsorted(np.asarray(links["doc"]), np.arange(rows + 1))
-    return {"n_a": pc.list_value_length(a).cast(pa.int64()), "n_b": pc.list_value_length(b).cast(pa.int64()),
-            "groups": written_groups(known, a, b, at_a, at_b),
-            "links": pa.ListArray.from_arrays(pa.array(per_row, pa.int32()), pair.indices),
-            "pairs": pa.ListArray.from_arrays(first, entries)}
+    first = pa.array(np.minimum(np.arange(len(texts) + 1), 1) * len(entries), pa.int32())
+    per_row = pa.array(np.cumsum(np.append(0, rows["n_links"])), pa.int32())
+    return {**{name: rows[name].combine_chunks() for name in ("n_a", "n_b", "groups")},
+            "links": pa.ListArray.from_arrays(per_row, pair.indices), "pairs": pa.ListArray.from_arrays(first, entries)}
+
+
+def cuts(sizes, most: int) -> list[tuple[int, int]]:
+    """Runs of rows, each cut after the row that reaches the next multiple of ``most``."""
+    total = np.cumsum(np.asarray(sizes, np.int64))
+    stops = np.flatnonzero(np.diff(total // most, append=-1)) + 1
+    return list(zip([0, *stops], stops))
 
 
-def _align(a_file: str, b_file: str, block: int):
+def _align(a_file: str, b_file: str, block: int, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, part, number = _tokenizers(a_file, b_file), TaskContext.get().partitionId(), 0
         for batch in batches:
-            size = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            stops = np.flatnonzero(np.diff(size // block, append=-1)) + 1
-            for at, stop in zip([0, *stops], stops):
+            for at, stop in cuts(pc.binary_length(batch.column(1)).fill_null(0), block):
                 some = batch.slice(at, stop - at)
-                found = align_block(known, [t or "" for t in some.column(1).to_pylist()])
+                found = align_block(known, [t or "" for t in some.column(1).to_pylist()], step)
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array(np.full(len(some), part), pa.int32()),
                     "block": pa.array(np.full(len(some), number), pa.int32()), "doc_id": some.column(0), **found})
@@ -182,7 +195,8 @@ def _align(a_file: str, b_file: str, block: int):
     return run
 
 
-def align(docs: DataFrame, a_file: str | None = None, b_file: str | None = None, block: int = BLOCK) -> DataFrame:
+def align(docs: DataFrame, a_file: str | None = None, b_file: str | None = None, block: int = BLOCK,
+          step: int = STEP) -> DataFrame:
     """Token counts and aligned groups of each text, and its links as numbers into the pairs of its block.
 
     ``groups`` writes the ids as ``a1,a2|b1;a3|b2,b3``: a group ends where a token of A and one of B end at the
@@ -194,7 +208,7 @@ def align(docs: DataFrame, a_file: str | None = None, b_file: str | None = None,
     """
     public = public_files() if not (a_file and b_file) else ("", "")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_align(a_file or public[0], b_file or public[1], block), ALIGNED)
+    return rows.mapInArrow(_align(a_file or public[0], b_file or public[1], block, step), ALIGNED)
 
 
 def _partial_counts(aligned: DataFrame) -> DataFrame:

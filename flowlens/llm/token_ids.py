@@ -13,7 +13,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +29,16 @@ END = 0
 WORDS_KEPT = 800_000
 #: Bytes of text that are cut and looked up at a time; a longer text is one step.
 STEP = 4_000_000
-#: White space beside white space, or at an end of the text where it is no line break.
-BESIDE = re.compile(r"\s\s|\A[^\S\n]|[^\S\n]\Z")
-#: Kinds of bytes between which texts are cut: single white space, and ASCII letters before other visible ASCII.
-WHITE, LETTER, SIGN = 1, 2, 3
-KINDS = np.array([WHITE if b in b" \n" else LETTER if chr(b).isalpha() else SIGN if b > 32 else 0
-                  for b in range(127)] + [0] * 129, np.uint8)
+#: Kinds of bytes: ASCII white space and controls, ASCII letters, other visible ASCII, parts of other characters.
+WHITE, LETTER, SIGN, WIDE = range(4)
+KINDS = np.array([WHITE if b < 33 or b == 127 else WIDE if b > 127 else LETTER if chr(b).isalpha() else SIGN
+                  for b in range(256)], np.uint8)
+#: First bytes of the characters among which Unicode has white space.
+MAYBE_WHITE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+#: A spelling that can be encoded beside others: a space or line break or none, then no more ASCII white space or
+#: controls, and neither first nor last a character that may be white space of another kind.
+VISIBLE = rb"(?:[!-~]|[\xc3-\xdf][\x80-\xbf]|[\xe4-\xef][\x80-\xbf]{2}|[\xf0-\xf7][\x80-\xbf]{3})"
+SIMPLE = re.compile(rb"[ \n]?" + VISIBLE + rb"(?:[^\x00-\x20\x7f]*" + VISIBLE + rb")?")
 SEGMENT = "part int, segment long, doc_ids array<long>, lengths array<long>, n_tokens long, blocks binary"
 
 
@@ -56,14 +60,13 @@ def _tokenizer(path: str):
 class Encoder:
     """Encodes texts with a byte-level tokenizer, a spelling once per worker.
 
-    Such a tokenizer splits before a space and around a line break that have no other white space beside
-    them, and between a letter and a sign or digit, whatever else stands there, so the pieces between can
-    be encoded alone. Texts with more white space in one place are encoded whole. The pieces of many texts
+    Such a tokenizer splits before white space that follows something visible, and between a letter and a sign
+    or digit, whatever else stands there, so the pieces between can be encoded alone. The pieces of many texts
     are found, numbered and replaced by their ids as arrays; only new spellings reach the tokenizer.
     """
 
-    def __init__(self, path: str) -> None:
-        self.tokenizer = _tokenizer(path)
+    def __init__(self, path: str, kept: int | None = None) -> None:
+        self.tokenizer, self.kept = _tokenizer(path), kept
         # In a vocabulary of this kind a space is written as the letter G with a dot above.
         words = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(words.values()) + 1, bool)
@@ -73,20 +76,29 @@ class Encoder:
 
     def _forget(self) -> None:
         """The ids of spelling ``n`` are ``ids[at[n]:at[n + 1]]``."""
-        self.known: dict[bytes, int] = {b"\n": 0}
-        self.ids, self.at = self.break_, np.array([0, 1])
+        self.known: dict[bytes, int] = {}
+        self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, spellings: list[bytes]) -> None:
-        """Ids of new spellings, encoded many at a time with a space or line break before each and cut there."""
-        if len(self.known) > WORDS_KEPT:
+    def _numbers(self, spellings: list[bytes]) -> np.ndarray:
+        """The numbers of spellings, those of new ones after all others."""
+        if len(self.known) > (self.kept or WORDS_KEPT):
             self._forget()
-        new = [s for s in spellings if s not in self.known]
-        later = [s for s in new if s[0] == 32]
-        begin = [s for s in new if s[0] == 10]
-        inner = [s for s in new if s[0] not in (10, 32)]  # these follow a letter, so a break may stand before them
+        numbers = np.fromiter(map(self.known.get, spellings, repeat(-1)), np.int64, len(spellings))
+        unknown = np.flatnonzero(numbers < 0)
+        if len(unknown):
+            self._learn([spellings[n] for n in unknown])
+            numbers[unknown] = [self.known[spellings[n]] for n in unknown]
+        return numbers
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Ids of new spellings, encoded many at a time with a space or line break before each and cut there."""
+        kinds = [[], [], [], []]
+        for s in new:
+            kinds[(0 if s[0] == 32 else 1 if s[0] == 10 else 2) if SIMPLE.fullmatch(s) else 3].append(s)
+        later, begin, inner, odd = kinds  # a line break may stand before an inner one: nothing looks back
         ids, sizes = [self.ids], [np.diff(self.at)]
         for some, mark, kept in ((later, b"", True), (begin, b"", True), (inner, b"\n", False)):
             for at in range(0, len(some), 1_000):
@@ -98,39 +110,55 @@ class Encoder:
                     raise ValueError("the vocabulary doesn't begin a token at every single space and line break")
                 ids.append(found if kept else found[~marks])
                 sizes.append(np.diff(starts, append=len(found)) - (not kept))
-        self.known.update(zip(chain(later, begin, inner), range(len(self.known), len(self.known) + len(new))))
+        for at in range(0, len(odd), 100):
+            found = self._ids([s.decode() for s in odd[at:at + 100]])
+            ids += found
+            sizes.append(np.array([len(f) for f in found]))
+        self.known.update(zip(chain(later, begin, inner, odd), range(len(self.known), len(self.known) + len(new))))
         self.ids = np.concatenate(ids)
         self.at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, with END after them."""
-        plain = [BESIDE.search(t) is None for t in texts]
-        whole = iter(self._ids([t for t, ok in zip(texts, plain) if not ok]))
-        cut = iter(self._encode_plain([t for t, ok in zip(texts, plain) if ok]))
-        return [np.append(next(cut if ok else whole), np.uint32(END)) for ok in plain]
-
-    def _encode_plain(self, texts: list[str]) -> list[np.ndarray]:
-        if not texts:
-            return []
-        lines = [b"\n" + t.encode() for t in texts]  # the break before a text is taken off its ids again
-        data = np.frombuffer(b"".join(lines), np.uint8)
-        kind = KINDS[data]
-        cut = kind == WHITE
-        cut[1:] |= (kind[1:] == SIGN) & (kind[:-1] == LETTER)
-        starts = np.flatnonzero(cut)
+        ids, ends = self.encode_flat(texts)
+        out = np.full(len(ids) + len(texts), END, np.uint32)
+        stops = ends + np.arange(len(texts)) + 1
+        inside = np.ones(len(out), bool)
+        inside[stops - 1] = False
+        out[inside] = ids
+        return np.split(out, stops[:-1]) if texts else []
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's end."""
+        lines = [t.encode() for t in texts]
+        stops = np.cumsum([len(b) for b in lines], dtype=np.int64)
+        whole = b"".join(lines)
+        if not whole:
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        starts = _cuts(np.frombuffer(whole, np.uint8), stops)
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [
-            None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]).dictionary_encode()
-        spellings = pieces.dictionary.to_pylist()
-        self._learn(spellings)
-        number = np.fromiter(map(self.known.__getitem__, spellings), np.int64, len(spellings))[pieces.indices.to_numpy()]
-        begin = self.at[number]
-        size = self.at[number + 1] - begin
-        heads = np.searchsorted(starts, np.cumsum([0, *map(len, lines[:-1])]))
-        begin[heads] += 1
-        size[heads] -= 1
-        before = np.cumsum(size) - size
-        ids = self.ids[np.repeat(begin - before, size) + np.arange(size.sum())]
-        return np.split(ids, before[heads[1:]])
+            None, pa.py_buffer(np.append(starts, len(whole))), pa.py_buffer(whole)]).dictionary_encode()
+        number = self._numbers(pieces.dictionary.to_pylist())
+        begin, size = self.at[number], self.at[number + 1] - self.at[number]
+        piece = pieces.indices.to_numpy()
+        size = size[piece]
+        after = np.cumsum(size)
+        ids = self.ids[np.repeat(begin[piece] - after + size, size) + np.arange(after[-1])]
+        return ids, np.append(0, after)[np.searchsorted(starts, stops)]
+
+
+def _cuts(data: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Where pieces of ``data`` begin: at each text (``stops`` are the ends), and at safe places inside."""
+    kind = KINDS[data]
+    white = np.zeros(len(data), bool)
+    white[1:] = (kind[1:] == WHITE) & (kind[:-1] != WHITE)
+    wide = np.flatnonzero(white[1:] & (kind[:-1] == WIDE))  # of these, those that may be white space are kept whole
+    begin = np.maximum(wide[:, None] - np.arange(1, 3), 0)
+    white[1:][wide[MAYBE_WHITE[data[begin]].any(axis=1)]] = False
+    white[1:] |= (kind[1:] == SIGN) & (kind[:-1] == LETTER)
+    white[0] = True
+    white[stops[stops < len(data)]] = True
+    return np.flatnonzero(white)
 
 
 @lru_cache(1)

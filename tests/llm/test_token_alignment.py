@@ -73,9 +73,9 @@ TEXTS = ["The quick brown fox", "the the the", None, "", " ", "\n", "  two  spac
          "é", "ﬁ ½ Ⅷ", "　", "[INST] \\n"]
 
 
-@pytest.mark.parametrize("block", [1, 64, 8_000_000])
+@pytest.mark.parametrize("block", [1, 64, ta.BLOCK])
 def test_matches_the_definition(spark, documents, models, block):
-    found = rated(documents(*enumerate(TEXTS)).repartition(3), block=block)
+    found = rated(documents(*enumerate(TEXTS)).repartition(3), block=block, step=40)
     assert found == list(enumerate(plain(models, TEXTS)))
     assert sum(row[1][0] == 0 for row in found) == 3  # null, empty, and the one with U+2581
 
