@@ -274,7 +274,9 @@ def _indexes(items: DataFrame, threshold: float) -> Iterator[Index]:
     parts = max(1, -(-n // ITEMS_AT_ONCE), -(-(size or 0) // CHARS_AT_ONCE))
     for part in range(parts):
         mine = texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        yield Index([tuple(r) for r in mine.toLocalIterator()], threshold)
+        # One job for all partitions: the part's size was checked above.
+        found = mine.toArrow()
+        yield Index(list(zip(found["item_id"].to_pylist(), found["text"].to_pylist())), threshold)
 
 
 def leaks(text: Column, index: Index) -> Column:

@@ -25,10 +25,10 @@ from flowlens.llm.id_coder import BLOCK, decode, encode
 from flowlens.llm.shared import scratch_path
 
 END = 0
-#: Spellings with known ids that a task keeps; the table is emptied when it is full.
+#: Spellings with known ids that a worker keeps; when there are more, those that were met in one step only go.
 WORDS_KEPT = 800_000
 #: Bytes of text that are cut and looked up at a time; a longer text is one step.
-STEP = 4_000_000
+STEP = 8_000_000
 #: Kinds of bytes: ASCII white space and controls, ASCII letters, other visible ASCII, parts of other characters.
 WHITE, LETTER, SIGN, WIDE = range(4)
 KINDS = np.array([WHITE if b < 33 or b == 127 else WIDE if b > 127 else LETTER if chr(b).isalpha() else SIGN
@@ -75,22 +75,35 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        """The ids of spelling ``n`` are ``ids[at[n]:at[n + 1]]``."""
+        """The ids of spelling ``n`` are ``ids[at[n]:at[n + 1]]``; ``met`` counts the steps that had it."""
         self.known: dict[bytes, int] = {}
-        self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.ids, self.at, self.met = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def _forget_rare(self, room: int) -> None:
+        """Keep the spellings met in several steps, or none if these fill half of the room too."""
+        often = self.met > 1
+        if 2 * often.sum() > room:
+            return self._forget()
+        size = np.diff(self.at)
+        self.ids, self.met = self.ids[np.repeat(often, size)], np.zeros(often.sum(), np.int64)
+        self.at = np.concatenate([[0], np.cumsum(size[often])])
+        place = np.cumsum(often) - 1
+        self.known = {s: int(place[n]) for s, n in self.known.items() if often[n]}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _numbers(self, spellings: list[bytes]) -> np.ndarray:
         """The numbers of spellings, those of new ones after all others."""
-        if len(self.known) > (self.kept or WORDS_KEPT):
-            self._forget()
+        room = self.kept or WORDS_KEPT
+        if len(self.known) > room:
+            self._forget_rare(room)
         numbers = np.fromiter(map(self.known.get, spellings, repeat(-1)), np.int64, len(spellings))
         unknown = np.flatnonzero(numbers < 0)
         if len(unknown):
             self._learn([spellings[n] for n in unknown])
             numbers[unknown] = [self.known[spellings[n]] for n in unknown]
+        self.met[numbers] += 1  # spellings differ, so no number is there twice
         return numbers
 
     def _learn(self, new: list[bytes]) -> None:
@@ -114,6 +127,7 @@ class Encoder:
             found = self._ids([s.decode() for s in odd[at:at + 100]])
             ids += found
             sizes.append(np.array([len(f) for f in found]))
+        self.met = np.append(self.met, np.zeros(len(new), np.int64))
         self.known.update(zip(chain(later, begin, inner, odd), range(len(self.known), len(self.known) + len(new))))
         self.ids = np.concatenate(ids)
         self.at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])

@@ -15,6 +15,7 @@ from math import exp, fsum, log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Labelled documents that a fit takes of each class at most: the first in the order of a hash of their ids.
@@ -23,6 +24,8 @@ BITS = 18
 NGRAMS = (3, 4, 5)
 #: Features kept: found this often in the sample, with a log-count ratio this far from 0.
 LEAST_COUNT, LEAST_RATIO = 3, 1.0
+#: Documents whose features a round of the fit takes at once.
+CHUNK = 256
 #: Words whose scores a task keeps; the table is emptied when it is full.
 WORDS_KEPT = 500_000
 
@@ -95,6 +98,7 @@ def fit(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prio
 
     ``prior`` is the share of label 1 among all labelled rows: classes weigh the same in the fit and the
     bias is set back to it. Adaptive gradient steps from zero over all rows, so a fit repeats exactly.
+    ``documents`` is emptied on the way, so that its features don't stay beside the ones that are kept.
     """
     dimensions = 1 << BITS
     weights, prior = np.zeros(dimensions), min(max(prior, 1e-4), 1 - 1e-4)
@@ -106,20 +110,30 @@ def fit(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prio
     smooth = counts + 1.0
     ratio = np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum())
     ratio[(counts.sum(axis=0) < LEAST_COUNT) | (np.abs(ratio) < LEAST_RATIO)] = 0.0
-    kept = [ratio[index] != 0 for index, _ in documents]
-    columns = np.concatenate([index[k] for (index, _), k in zip(documents, kept)])
-    rows = np.repeat(np.arange(len(documents)), [int(k.sum()) for k in kept])
-    values = np.concatenate([count[k] for (_, count), k in zip(documents, kept)]) * ratio[columns]
+    # Only features with a ratio go on, as small numbers, and rounds take them some documents at a time.
+    chunks = []
+    for at in range(0, len(documents), CHUNK):
+        some = documents[at:at + CHUNK]
+        kept = [ratio[index] != 0 for index, _ in some]
+        columns = np.concatenate([index[k] for (index, _), k in zip(some, kept)]).astype(np.int32)
+        values = (np.concatenate([count[k] for (_, count), k in zip(some, kept)]) * ratio[columns]).astype(np.float32)
+        chunks.append((at, np.array([int(k.sum()) for k in kept]), columns, values))
+    documents.clear()  # the features without a ratio, most of them
     balance = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
     bias, seen, seen_bias = 0.0, np.full(dimensions, 1e-8), 1e-8
     for _ in range(rounds):
-        margin = np.bincount(rows, weights[columns] * values, len(documents)) + bias
-        error = (1.0 / (1.0 + np.exp(-np.clip(margin, -30, 30))) - labels) * balance
-        gradient = np.bincount(columns, error[rows] * values, dimensions) + penalty * weights
+        gradient, total = penalty * weights, 0.0
+        for at, sizes, columns, values in chunks:
+            rows = np.repeat(np.arange(len(sizes)), sizes)
+            margin = np.bincount(rows, weights[columns] * values, len(sizes)) + bias
+            mine = slice(at, at + len(sizes))
+            error = (1.0 / (1.0 + np.exp(-np.clip(margin, -30, 30))) - labels[mine]) * balance[mine]
+            gradient += np.bincount(columns, error[rows] * values, dimensions)
+            total += error.sum()
         seen += gradient * gradient
-        seen_bias += error.sum() ** 2
+        seen_bias += total ** 2
         weights -= rate * gradient / np.sqrt(seen)
-        bias -= rate * error.sum() / np.sqrt(seen_bias)
+        bias -= rate * total / np.sqrt(seen_bias)
     return Model((weights * ratio).astype(np.float32), float(bias + log(prior / (1 - prior))))
 
 
@@ -146,11 +160,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
             .groupBy("__id", "label").agg(F.max("text").alias("text")).select("label", "text")
             .mapInArrow(_sample_features, "label int, index array<int>, count array<int>")).toArrow()
-    table = rows.combine_chunks()
-    documents = [(i.values.to_numpy(), c.values.to_numpy()) for i, c in zip(table["index"], table["count"])]
-    order = sorted(range(len(documents)), key=lambda n: (len(documents[n][0]), documents[n][0].tobytes()))
-    label = table["label"].to_numpy()
-    return fit([documents[n] for n in order], label[order], share or 0.0)
+    label = rows["label"].to_numpy()
+    documents = [(i.values.to_numpy(), c.values.to_numpy()) for i, c in zip(rows["index"], rows["count"])]
+    del rows
+    order = sorted(range(len(documents)), key=lambda n: (len(documents[n][0]), xxhash.xxh3_128_digest(documents[n][0].tobytes())))
+    documents = [documents[n] for n in order]
+    model = fit(documents, label[order], share or 0.0)
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(text: Column, model: Model) -> Column:
