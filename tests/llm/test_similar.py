@@ -51,9 +51,35 @@ def test_planted_edited_copies_go(spark, documents):
     assert cp.drop_near_duplicates(spark, documents(), "").count() == 0
 
 
-def test_rounds_find_all_pairs():
+def test_a_key_gives_a_forest():
     sign = np.array([[1] * 96, [1] * 90 + [2] * 6, [3] * 96, [3] * 70 + [4] * 26], np.uint8)
-    rep = np.arange(4)
-    assert similar.forest(sign, rep, 76.8) == [(0, 1)]
-    assert similar.apart(sign, rep, np.array([0, 0, 2, 3]), 57) == [(2, 3)]
-    assert similar.apart(sign, rep, np.zeros(4, int), 57) == []
+    assert similar.forest(sign, np.arange(4), 76.8) == [(0, 1)]
+    assert similar.forest(sign, np.arange(4), 57) == [(0, 1), (2, 3)]
+    assert len(similar.forest(np.ones((3_000, 96), np.uint8), np.arange(3_000), 57)) == 2_999
+
+
+def test_cells_compare_by_shingles():
+    texts = ["a b c d e f g h i j", "a b c d e f g h i k", "a b c d e f g h i j x", "", None, "q r s t u v"]
+    sign = np.ones((6, 96), np.uint8)
+    found = similar.links(texts, sign, 5, 0.8, 57)
+    assert [(int(a), int(b)) for a, b in found] == [(0, 2)]  # 5 of 7 shingles are too few, 6 of 7 enough
+    cell = similar.Shingled(texts, 5)
+    for a in (0, 1, 2, 5):
+        others = np.array([n for n in (0, 1, 2, 5) if n != a])
+        assert cell.similarities(a, others).tolist() == [similar.similarity_of(texts[a], texts[n]) for n in others]
+
+
+def test_a_family_just_under_the_threshold(spark, documents, monkeypatch):
+    """Copies that link with a few others each: all links are found over many blocks, and no step gives all pairs."""
+    monkeypatch.setattr(similar, "BLOCK_TEXTS", 40)
+    rng = random.Random(9)
+    centre = [f"c{n}" for n in range(120)]
+    rows = [(n, edited(rng, centre, rng.choice([1, 2, 2, 3]))) for n in range(300)]
+    sets = {d: similar.word_shingles(t) for d, t in rows}
+    linked = sum(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a in sets for b in sets if a < b)
+    assert 0 < linked < 300 * 299 / 2 * 0.9
+    edges = [tuple(r) for r in similar.similar_edges(documents(*rows)).collect()]
+    assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in edges)
+    kept = {r["doc_id"] for r in similar.keep_first_similar(documents(*rows)).collect()}
+    assert kept == first_of_groups(rows)
+    assert len(edges) < 300 * 2 * 10  # a forest a cell

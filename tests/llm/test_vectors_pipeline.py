@@ -67,7 +67,7 @@ def test_queries_match_sql(spark, tables, name):
 
 def test_pipeline_stages(spark, tables, documents):
     import corpus_pipeline as cp
-    from flowlens.llm import decontaminate, simhash, toxicity
+    from flowlens.llm import decontaminate, similar, toxicity
 
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     labels = spark.read.parquet(f"{tables}/labels.parquet")
@@ -75,14 +75,15 @@ def test_pipeline_stages(spark, tables, documents):
     out = cp.run(spark, tables).collect()
     model = toxicity.train(docs, labels)
     left = [r for r in docs.collect() if model.scores([r["text"]], {})[0] < 0.5]
-    prints = {r["doc_id"]: simhash.text_fingerprint(r["text"]) for r in left}
-    label = {d: d for d in prints}
+    sets = {r["doc_id"]: similar.word_shingles(r["text"]) for r in left}
+    label = {d: d for d in sets}
     changed = True
     while changed:
         changed = False
-        for a in prints:
-            for b in prints:
-                if (prints[a] ^ prints[b]).bit_count() <= 4 and label[b] < label[a]:
+        for a in sets:
+            for b in sets:
+                x, y = sets[a], sets[b]
+                if label[b] < label[a] and (len(x & y) >= 0.8 * len(x | y) if x or y else True):
                     label[a], changed = label[b], True
     left = [r for r in left if label[r["doc_id"]] == r["doc_id"]]
     matcher = decontaminate.Matcher(decontaminate.Index(items))
