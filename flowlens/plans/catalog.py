@@ -873,6 +873,34 @@ def read_flow_csv_unknown_columns(spark, sf):
                         F.lit(",".join(kinds[c] for c in ("pkts", "Tot Bytes", "service"))).alias("kinds"))
 
 
+@query
+def read_flow_csv_exact_types(spark, sf):
+    """Long ids and codes with leading zeros that no schema lists come back as they were written."""
+    folder = st.scratch_path(spark, "csv")
+    rows = fx.flows(spark, sf).select(*KEY, (F.lit(1700000000123456789) + F.col("l_orderkey")).alias("flow_id"),
+                                      F.lpad(F.col("l_partkey").cast("string"), 8, "0").alias("code"), "flow_rate")
+    rows.write.option("header", True).csv(folder)
+    found = fl.read_flow_csv(spark, folder, T.StructType([]))
+    kinds = dict(found.dtypes)
+    return found.select(*KEY, "flow_id", "code", "flow_rate",
+                        F.lit(",".join(kinds[c] for c in ("flow_id", "code", "flow_rate"))).alias("kinds"))
+
+
+@query
+def read_flow_csv_rejects(spark, sf):
+    """Lines with a word in a number's place, a value too many or too few are set apart, the others kept."""
+    folder = st.scratch_path(spark, "csv")
+    turn = F.col("l_orderkey") % 40
+    values = [F.when(turn == 0, "xx").otherwise(F.col("l_partkey").cast("string")), F.col("l_suppkey").cast("string")]
+    line = F.concat_ws(",", F.col("l_orderkey").cast("string"), *values, F.col("pkts").cast("string"))
+    line = F.when(turn == 1, F.concat(line, F.lit(",7"))).when(turn == 2, F.substring_index(line, ",", 3)).otherwise(line)
+    fx.flows(spark, sf).select(line.alias("value")).write.text(folder)
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in KEY])
+    kept, rejects = fl.read_flow_csv_checked(spark, folder, schema, header=False)
+    return kept.select(F.lit("kept").alias("side"), F.concat_ws(",", *KEY).alias("line")).union(
+        rejects.select(F.lit("rejected"), "line")).groupBy("side", "line").agg(F.count("*").alias("lines"))
+
+
 @query
 def read_flow_csv_duplicate_headers(spark, sf):
     """A header that comes twice: the second becomes ``.1``."""

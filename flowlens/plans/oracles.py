@@ -480,6 +480,15 @@ select event_id, attack_type, case when processed_at < TIMESTAMP '2024-01-15 00:
 from alerts where is_attack"""),
     "read_flow_csv_unknown_columns": _with(FLOWS, f"""
 select {KEY}, bytes as tot_bytes, service, 'int,double,string' as kinds from flows"""),
+    "read_flow_csv_exact_types": _with(FLOWS, f"""
+select {KEY}, 1700000000123456789 + l_orderkey as flow_id, lpad(l_partkey::varchar, 8, '0') as code, flow_rate,
+  'bigint,string,double' as kinds from flows"""),
+    "read_flow_csv_rejects": _with(FLOWS, """
+, lines as (
+  select l_orderkey % 40 as turn, concat_ws(',', l_orderkey, case when l_orderkey % 40 = 0 then 'xx' else l_partkey::varchar end,
+    l_suppkey, pkts) as line, concat_ws(',', l_orderkey, l_partkey, l_suppkey) as short from flows)
+select case when turn < 3 then 'rejected' else 'kept' end as side,
+  case turn when 1 then line || ',7' when 2 then short else line end as line, count(*) as lines from lines group by 1, 2"""),
     "read_flow_csv_duplicate_headers": _with(FLOWS, f"select {KEY}, bytes as load_0, jitter as load_1 from flows"),
     "read_flow_csv_mixed_folder": _with(FLOWS, f"select {KEY}, bytes, jitter, service from flows"),
     "rebalance_small_fraction": _with(LACKING, f"""

@@ -48,41 +48,57 @@ def _header(spark: SparkSession, path: str) -> tuple[str, ...] | None:
     return tuple(names)
 
 
+#: Decimal numbers and the names of non-finite ones, as texts; Spark's cast would also take suffixes like 12d.
+NUMBER = r"^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|NaN|Infinity)$"
+
+
 def _typed(df: DataFrame, unknown: list[str]) -> DataFrame:
-    """Columns outside the schema as doubles if all their values are numbers; one aggregate finds out."""
+    """Columns outside the schema as longs or doubles where no value loses anything; one aggregate finds out.
+
+    A long is the same text again when it is written; a double has neither leading zeros, nor more than 17
+    digits, nor a whole part beyond 2^53. Columns with another value stay text.
+    """
     unknown = [c for c in unknown if c in df.columns]
     if not unknown:
         return df
 
-    def number(name):
-        return F.expr(f"try_cast(trim(`{name.replace('`', '``')}`) as double)")
+    def text(name):
+        return F.trim(quoted(name))
 
-    checks = [F.struct(F.count(quoted(c)).alias("n"), F.count(number(c)).alias("numbers")).alias(f"_{i}")
-              for i, c in enumerate(unknown)]
-    counted = df.agg(*checks).first()
-    numeric = {c for c, r in zip(unknown, counted) if r["n"] and r["n"] == r["numbers"]}
-    return df.select(*[number(c).alias(c) if c in numeric else quoted(c) for c in df.columns])
+    def exact_long(name):
+        return text(name).try_cast("bigint").cast("string") == text(name)
 
+    def exact_double(name):
+        digits = F.regexp_replace(F.regexp_replace(text(name), "[eE].*$|[^0-9]", ""), "^0+", "")
+        whole = F.coalesce(F.abs(text(name).try_cast("bigint")), F.lit(0))
+        return (text(name).rlike(NUMBER) & ~text(name).rlike("^[+-]?0[0-9]") & (F.length(digits) <= 17)
+                & ((whole <= 2**53) | text(name).contains(".")))
 
-def read_flow_csv(spark: SparkSession, paths, schema: T.StructType, header: bool = True,
-                  drop=()) -> DataFrame:
-    """Read many CSV files with explicit types; missing files are skipped with a warning.
+    checks = [F.struct(F.count(quoted(c)).alias("n"), F.count_if(exact_long(c)).alias("longs"),
+                       F.count_if(exact_double(c)).alias("doubles")).alias(f"_{i}") for i, c in enumerate(unknown)]
+    counted = dict(zip(unknown, df.agg(*checks).first()))
 
-    A path is a file, a folder or a pattern. Without a header the columns are taken by
-    position and their number must match. With one they are taken by name, file by file:
-    files that share a header form one scan, and scans with other headers are united by
-    name, absent columns being null. Repeated names become ``name.1``, ``name.2``. Columns
-    outside ``schema`` are kept, as doubles if all their values are numbers. ``drop`` names
-    columns to leave out.
-    """
+    def column(name):
+        r = counted.get(name)
+        if r is None or not r["n"] or r["n"] not in (r["longs"], r["doubles"]):
+            return quoted(name)
+        return text(name).try_cast("bigint" if r["n"] == r["longs"] else "double").alias(name)
+
+    return df.select(*[column(c) for c in df.columns])
+
+
+#: Columns that carry a malformed line and its file through a scan.
+LINE, FILE = "_malformed_line", "_malformed_file"
+
+
+def _scans(spark: SparkSession, paths, schema: T.StructType, header: bool, checked: bool):
+    """Scans of the files that share a header, and the names of columns outside ``schema``."""
     found = _present(spark, paths)
     by_header: dict[tuple[str, ...], list[str]] = {}
     with ThreadPoolExecutor(8) as pool:  # reading first lines is all waiting
         for path, names in zip(found, pool.map(lambda p: _header(spark, p), found)):
             if names is not None:
                 by_header.setdefault(names if header else (str(len(names)),), []).append(path)
-    if not by_header:
-        return spark.createDataFrame([], schema).drop(*drop)
     types = {f.name.strip().lower(): f for f in schema.fields}
     scans, unknown = [], {}
     for names, group in by_header.items():
@@ -94,12 +110,55 @@ def read_flow_csv(spark: SparkSession, paths, schema: T.StructType, header: bool
                     known = T.StructField(unknown.setdefault(name.lower(), name), T.StringType(), True)
                 fields.append(T.StructField(known.name, known.dataType, True))
             file_schema = T.StructType(fields)
+        elif checked or names == (str(len(schema.fields)),):
+            file_schema = schema  # the first line may be a malformed one
         else:
-            if names != (str(len(schema.fields)),):
-                raise ValueError(f"{group[0]} has {names[0]} columns, expected {len(schema.fields)}")
-            file_schema = schema
-        scans.append(spark.read.schema(file_schema).option("header", header).csv(group))
-    return _typed(union_flows(scans, drop=drop, on_mismatch="null"), list(unknown.values()))
+            raise ValueError(f"{group[0]} has {names[0]} columns, expected {len(schema.fields)}")
+        reader = spark.read.option("header", header)
+        if checked:
+            reader = reader.option("columnNameOfCorruptRecord", LINE).option("columnPruning", False)
+            scans.append(reader.schema(T.StructType([*file_schema.fields, T.StructField(LINE, T.StringType())])).csv(group)
+                         .withColumn(FILE, F.col("_metadata.file_path"))
+                         # A scan converts the columns that a query uses, so the line uses all of them, and none of
+                         # their letters; every query then sees the same lines as malformed.
+                         .withColumn(LINE, F.concat(LINE, F.substring(F.concat_ws(
+                             "", *[quoted(c).cast("string") for c in file_schema.names]), 1, 0))))
+        else:
+            scans.append(reader.schema(file_schema).csv(group))
+    return scans, list(unknown.values())
+
+
+def read_flow_csv(spark: SparkSession, paths, schema: T.StructType, header: bool = True,
+                  drop=()) -> DataFrame:
+    """Read many CSV files with explicit types; missing files are skipped with a warning.
+
+    A path is a file, a folder or a pattern. Without a header the columns are taken by
+    position and their number must match. With one they are taken by name, file by file:
+    files that share a header form one scan, and scans with other headers are united by
+    name, absent columns being null. Repeated names become ``name.1``, ``name.2``. Columns
+    outside ``schema`` are kept, as longs or doubles if no value loses anything by it.
+    ``drop`` names columns to leave out. A value that its column's type can't hold is null;
+    ``read_flow_csv_checked`` sets such lines apart.
+    """
+    scans, unknown = _scans(spark, paths, schema, header, False)
+    if not scans:
+        return spark.createDataFrame([], schema).drop(*drop)
+    return _typed(union_flows(scans, drop=drop, on_mismatch="null"), unknown)
+
+
+def read_flow_csv_checked(spark: SparkSession, paths, schema: T.StructType, header: bool = True,
+                          drop=()) -> tuple[DataFrame, DataFrame]:
+    """What ``read_flow_csv`` reads, without the malformed lines, and those lines.
+
+    A line is malformed if a value doesn't fit its column's type or the number of values isn't that of the
+    header (or of ``schema``). Each line is in one of both results. The second has a row (file, line) for each.
+    """
+    scans, unknown = _scans(spark, paths, schema, header, True)
+    if not scans:
+        return spark.createDataFrame([], schema).drop(*drop), spark.createDataFrame([], "file string, line string")
+    rows = union_flows(scans, on_mismatch="null")
+    rejects = rows.where(F.col(LINE).isNotNull()).select(F.col(FILE).alias("file"), F.col(LINE).alias("line"))
+    return _typed(rows.where(F.col(LINE).isNull()).drop(LINE, FILE, *drop), unknown), rejects
 
 
 def read_dataset(spark: SparkSession, folder: str, dataset: str) -> DataFrame:

@@ -295,3 +295,29 @@ def test_raw_unsw_files_are_skipped_when_columns_differ(spark, folder, caplog):
 def test_recipes_name_known_datasets():
     assert {name.removesuffix("_mean") for name in RECIPES} == set(la.LABEL_SPACES)
     assert all(isinstance(r, Recipe) and r.name == name for name, r in RECIPES.items())
+
+
+def test_malformed_lines_are_set_apart(spark, folder):
+    with open(f"{folder}/a.csv", "w") as out:
+        out.write("n,x,extra\n1,1.5,a\nxx,2.5,b\n3,3.5\n4,4.5,d,e\n5,,f\n")
+    with open(f"{folder}/b.csv", "w") as out:
+        out.write("x,n\n9.5,9\n1.0.0,2\n")
+    schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("x", T.DoubleType())])
+    kept, rejects = fl.read_flow_csv_checked(spark, folder, schema)
+    assert sorted(rows(kept, "n", "x", "extra"), key=str) == [(1, 1.5, "a"), (5, None, "f"), (9, 9.5, None)]
+    assert sorted(r["line"] for r in rejects.collect()) == ["1.0.0,2", "3,3.5", "4,4.5,d,e", "xx,2.5,b"]
+    assert {r["file"].rsplit("/", 1)[1] for r in rejects.collect()} == {"a.csv", "b.csv"}
+    assert kept.count() + rejects.count() == 7
+    assert kept.select("n").count() == 3  # whichever columns are used
+
+
+def test_unlisted_columns_lose_nothing(spark, folder):
+    table = {"id": ["1700000000123456789", "1700000000123456788"], "code": ["00123", "7"], "rate": ["1.50", "-2e3"],
+             "mixed": ["9007199254740993", "0.5"], "suffix": ["12d", "3f"], "spaced": [" 5", "6 "], "odd": ["NaN", "1"],
+             "long_digits": ["0.12345678901234567891", "1.0"], "empty": ["", ""]}
+    with open(f"{folder}/a.csv", "w") as out:
+        out.write(",".join(table) + "\n" + "".join(",".join(v[n] for v in table.values()) + "\n" for n in range(2)))
+    found = fl.read_flow_csv(spark, folder, T.StructType([]))
+    assert dict(found.dtypes) == {"id": "bigint", "code": "string", "rate": "double", "mixed": "string", "suffix": "string",
+                                  "spaced": "bigint", "odd": "double", "long_digits": "string", "empty": "string"}
+    assert {r["id"] for r in found.collect()} == {1700000000123456789, 1700000000123456788}
