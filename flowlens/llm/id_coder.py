@@ -29,13 +29,12 @@ STATES = 512
 class _Writer:
     """48-bit ranges of all streams, renewed 16 bits at a time."""
 
-    def __init__(self, streams: int, steps: int) -> None:
+    def __init__(self, streams: int) -> None:
         self.low, self.range = np.zeros(streams, np.int64), np.full(streams, TOP, np.int64)
-        self.words = np.zeros((2 * steps, streams), np.uint16)
-        self.given = np.zeros((2 * steps, streams), bool)
         self.many = np.zeros(streams, np.int64)
+        #: Words given so far: their streams, their places in these, and the words.
+        self.given: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.carries: list[tuple[np.ndarray, np.ndarray]] = []
-        self.turn = 0
 
     def narrow(self, below: np.ndarray, part: np.ndarray) -> None:
         self.low += below
@@ -45,22 +44,23 @@ class _Writer:
             self.carries.append((stream, self.many[stream] - 1))
             self.low &= TOP - 1
         self.range = part
-        small = part < RENEW
-        if small.any():
-            self.given[self.turn] = small
-            self.words[self.turn] = self.low >> 32
-            self.many += small
-            np.copyto(self.low, (self.low & (RENEW - 1)) << 16, where=small)
-            np.copyto(part, part << 16, where=small)
-        self.turn += 1
+        small = np.flatnonzero(part < RENEW)
+        if len(small):
+            low, places = self.low[small], self.many[small]
+            self.given.append((small, places, low >> 32))
+            self.many[small] = places + 1
+            self.low[small] = (low & (RENEW - 1)) << 16
+            part[small] <<= 16
 
     def finish(self) -> tuple[np.ndarray, bytes]:
         """Words of each stream, and all streams' words one after another."""
-        flush = np.stack([(self.low >> s) & 0xFFFF for s in (32, 16, 0)]).astype(np.uint16)
-        given = np.concatenate([self.given, np.ones(flush.shape, bool)])
-        words = np.ascontiguousarray(np.concatenate([self.words, flush]).T)[np.ascontiguousarray(given.T)].astype(np.int32)
+        every = np.arange(len(self.many))
+        self.given += [(every, self.many + n, (self.low >> s) & 0xFFFF) for n, s in enumerate((32, 16, 0))]
         many = self.many + 3
         begin = np.cumsum(many) - many
+        streams, places, words_given = (np.concatenate(parts) for parts in zip(*self.given))
+        words = np.empty(many.sum(), np.int32)
+        words[begin[streams] + places] = words_given
         for stream, word in self.carries:
             words[begin[stream] + word] += 1
         while (over := np.flatnonzero(words >> 16)).size:  # a carry never leaves its stream
@@ -167,7 +167,7 @@ def _encode_block(ids: np.ndarray) -> bytes:
     laid = np.zeros(streams * steps, np.int64)
     laid[:len(ids)] = dense
     laid = np.ascontiguousarray(laid.reshape(streams, steps).T)
-    writer, model = _Writer(streams, steps), _Model(streams, len(alphabet))
+    writer, model = _Writer(streams), _Model(streams, len(alphabet))
     for row in laid:
         model.step(writer, row)
     many, code = writer.finish()
