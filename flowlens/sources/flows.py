@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import csv
 import logging
-from concurrent.futures import ThreadPoolExecutor
+import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -31,16 +32,11 @@ def _present(spark: SparkSession, paths) -> list[str]:
     return list(dict.fromkeys(found))
 
 
-def _header(spark: SparkSession, path: str) -> tuple[str, ...] | None:
-    """Column names of one file, from its first line; None for an empty file.
-
-    A repeated name becomes ``name.1``, ``name.2`` in order, a missing one ``_c`` and its position.
-    """
-    line = spark.read.text(path).first()
-    if line is None:
-        return None
+def _column_names(line: str) -> tuple[str, ...]:
+    """Column names of a header line. A repeated name becomes ``name.1``, ``name.2`` in order, a missing one
+    ``_c`` and its position."""
     names, seen = [], {}
-    for n, name in enumerate(next(csv.reader([line[0].removeprefix("\ufeff")]))):
+    for n, name in enumerate(next(csv.reader([line.removeprefix("\ufeff")]))):
         name = name.strip() or f"_c{n}"
         again = seen.get(name.lower(), 0)
         seen[name.lower()] = again + 1
@@ -48,6 +44,40 @@ def _header(spark: SparkSession, path: str) -> tuple[str, ...] | None:
     return tuple(names)
 
 
+#: Larger than any file: a scan with it gives each file a task of its own, unsplit.
+WHOLE_FILE = str(2**50)
+
+
+def _first_row(batches):
+    """The first row of a task; what follows it is not read."""
+    for batch in batches:
+        if batch.num_rows:
+            yield batch.slice(0, 1)
+            return
+
+
+def _headers(spark: SparkSession, files: list[str]) -> list[tuple[str, list[str]]]:
+    """Distinct first lines with their files, in the order of ``files``; empty files have none.
+
+    One job for all files: a task opens one file and stops after its first line. The scan has a session of
+    its own, since its settings must not reach the caller's.
+    """
+    session = spark.newSession()
+    for key, value in {"spark.sql.files.maxPartitionBytes": WHOLE_FILE, "spark.sql.files.openCostInBytes": WHOLE_FILE,
+                       "spark.sql.execution.arrow.maxRecordsPerBatch": "1"}.items():
+        session.conf.set(key, value)
+    lines = session.read.text(files).select("value", F.col("_metadata.file_path").alias("path"))
+    firsts = lines.mapInArrow(_first_row, lines.schema).groupBy("value").agg(F.collect_list("path").alias("paths"))
+    place = {_plain(path): n for n, path in enumerate(files)}
+    groups = [(r["value"], sorted((place[_plain(unquote(p))] for p in r["paths"]))) for r in firsts.collect()]
+    return [(line, [files[n] for n in numbers]) for line, numbers in sorted(groups, key=lambda g: g[1])]
+
+
+def _plain(path: str) -> str:
+    """One spelling of the slashes after a scheme."""
+    return re.sub("^([a-z0-9]+):/+", r"\1:/", path)
+
+
 #: Decimal numbers and the names of non-finite ones, as texts; Spark's cast would also take suffixes like 12d.
 NUMBER = r"^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|NaN|Infinity)$"
 
@@ -95,10 +125,9 @@ def _scans(spark: SparkSession, paths, schema: T.StructType, header: bool, check
     """Scans of the files that share a header, and the names of columns outside ``schema``."""
     found = _present(spark, paths)
     by_header: dict[tuple[str, ...], list[str]] = {}
-    with ThreadPoolExecutor(8) as pool:  # reading first lines is all waiting
-        for path, names in zip(found, pool.map(lambda p: _header(spark, p), found)):
-            if names is not None:
-                by_header.setdefault(names if header else (str(len(names)),), []).append(path)
+    for line, files in _headers(spark, found):
+        names = _column_names(line)
+        by_header.setdefault(names if header else (str(len(names)),), []).extend(files)
     types = {f.name.strip().lower(): f for f in schema.fields}
     scans, unknown = [], {}
     for names, group in by_header.items():
