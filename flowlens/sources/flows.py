@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import csv
 import logging
-import re
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from flowlens.functions.numeric import quoted
 from flowlens.functions.hashing import row_key
 from flowlens.schemas import CIC_2018_DROP, CSV_FILES, csv_schema
-from flowlens.sources.storage import files_of, matching
+from flowlens.sources.storage import files_of, first_line, matching, side_by_side
 
 log = logging.getLogger(__name__)
 
@@ -44,38 +42,17 @@ def _column_names(line: str) -> tuple[str, ...]:
     return tuple(names)
 
 
-#: Larger than any file: a scan with it gives each file a task of its own, unsplit.
-WHOLE_FILE = str(2**50)
-
-
-def _first_row(batches):
-    """The first row of a task; what follows it is not read."""
-    for batch in batches:
-        if batch.num_rows:
-            yield batch.slice(0, 1)
-            return
-
-
 def _headers(spark: SparkSession, files: list[str]) -> list[tuple[str, list[str]]]:
     """Distinct first lines with their files, in the order of ``files``; empty files have none.
 
-    One job for all files: a task opens one file and stops after its first line. The scan has a session of
-    its own, since its settings must not reach the caller's.
+    No Spark job reads a first line alone: Python functions of partitions are given all rows of a task, so a
+    scan would pass over all data. The file system is asked for the start of each listed file instead.
     """
-    session = spark.newSession()
-    for key, value in {"spark.sql.files.maxPartitionBytes": WHOLE_FILE, "spark.sql.files.openCostInBytes": WHOLE_FILE,
-                       "spark.sql.execution.arrow.maxRecordsPerBatch": "1"}.items():
-        session.conf.set(key, value)
-    lines = session.read.text(files).select("value", F.col("_metadata.file_path").alias("path"))
-    firsts = lines.mapInArrow(_first_row, lines.schema).groupBy("value").agg(F.collect_list("path").alias("paths"))
-    place = {_plain(path): n for n, path in enumerate(files)}
-    groups = [(r["value"], sorted((place[_plain(unquote(p))] for p in r["paths"]))) for r in firsts.collect()]
-    return [(line, [files[n] for n in numbers]) for line, numbers in sorted(groups, key=lambda g: g[1])]
-
-
-def _plain(path: str) -> str:
-    """One spelling of the slashes after a scheme."""
-    return re.sub("^([a-z0-9]+):/+", r"\1:/", path)
+    groups: dict[str, list[str]] = {}
+    for path, line in zip(files, side_by_side(lambda path: first_line(spark, path), files)):
+        if line is not None:
+            groups.setdefault(line, []).append(path)
+    return list(groups.items())
 
 
 #: Decimal numbers and the names of non-finite ones, as texts; Spark's cast would also take suffixes like 12d.

@@ -85,6 +85,23 @@ def files_of(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(found)
 
 
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """First line of a file, unpacked if its name ends like a packed file's; None if the file is empty.
+
+    Reads a buffer of the file's start, however long the file is.
+    """
+    hadoop_path, fs = _resolve(spark, path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+    codec = hadoop.io.compress.CompressionCodecFactory(fs.getConf()).getCodec(hadoop_path)
+    stream = fs.open(hadoop_path)
+    try:
+        reader = hadoop.util.LineReader(codec.createInputStream(stream) if codec else stream)
+        line = hadoop.io.Text()
+        return line.toString() if reader.readLine(line) else None
+    finally:
+        stream.close()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path of its own under the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
