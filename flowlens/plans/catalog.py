@@ -803,11 +803,14 @@ PREDICTION_MESSAGE = T.StructType(
     + [T.StructField("processed_at", T.TimestampType()), T.StructField("source_ip", T.StringType())])
 
 
+def _prediction_bodies(scored, *others: str):
+    body = F.to_json(F.struct(*[F.col(f.name).cast("timestamp").alias(f.name) if f.name == "processed_at"
+                                else F.col(f.name) for f in PREDICTION_MESSAGE.fields]))
+    return scored.select(*others, body.alias("value"))
+
+
 def _replayed_predictions(spark, sf, files: int | None = None):
-    scored = fx.scored_flows(spark, sf).select(*[f.name for f in PREDICTION_MESSAGE.fields])
-    body = F.to_json(F.struct(*[F.col(c).cast("timestamp").alias(c) if c == "processed_at" else F.col(c)
-                                for c in scored.columns]))
-    stream = _replay(spark, scored.select(body.alias("value")), files)
+    stream = _replay(spark, _prediction_bodies(fx.scored_flows(spark, sf)), files)
     parsed = me.parse_flow_json(stream, PREDICTION_MESSAGE)
     return sc.enrich(sc.cascade_predictions(parsed), "unsw", clock=F.col("processed_at"))
 
@@ -847,6 +850,56 @@ def stream_rejects(spark, sf):
     return spark.read.parquet(path).groupBy("value").agg(F.count(F.lit(1)).alias("messages"))
 
 
+@query
+def stream_timeline_updates(spark, sf):
+    """Hourly bins kept in one row each, after a replay in several micro-batches that are out of order."""
+    enriched = _replayed_predictions(spark, sf, 4)
+    path = st.scratch_path(spark, "timeline")
+    de.write_timeline_updates(enriched, path, st.scratch_path(spark, "checkpoint"), column="processed_at",
+                              every=None).awaitTermination()
+    return de.read_timeline_updates(spark, path).select(
+        F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "count", "high_severity_count")
+
+
+@query
+def stream_redelivered(spark, sf):
+    """All events as messages, a third of them delivered again, half before and half after a restart; each alert is
+    stored once."""
+    folder, path, checkpoint = (st.scratch_path(spark, n) for n in ("messages", "alerts", "checkpoint"))
+    bodies = _prediction_bodies(fx.scored_flows(spark, sf), "event_id")
+    for again in (F.col("event_id") % 6 == 0, F.col("event_id") % 6 == 3):
+        first = F.col("event_id") % 2 == 0 if not st.exists(spark, folder) else F.col("event_id") % 2 == 1
+        sent = bodies.where(first).withColumn("again", F.lit(0)).unionByName(
+            bodies.where(again).withColumn("again", F.lit(1)))
+        sent.repartition(2, F.xxhash64("value", "again")).select("value").write.mode("append").text(folder)
+        parsed = me.parse_flow_json(ss.read_flow_stream_files(spark, folder, 1), PREDICTION_MESSAGE)
+        once = de.drop_redelivered(parsed, ["event_id"], "kafka_timestamp")
+        scored = sc.enrich(sc.cascade_predictions(once), "unsw", clock=F.col("processed_at"))
+        de.write_alert_stream(scored, path, "replay", checkpoint, every=None).awaitTermination()
+    return at.read_alerts(spark, path).select(
+        F.col("event_id").cast("bigint").alias("event_id"), "attack_type", "severity", "source_ip", "session_id",
+        "alert_date")
+
+
+@query
+def stream_accounting(spark, sf):
+    """Messages of a run by batch: sent, parsed and rejected, their sums, and whether each batch adds up. Those of
+    error events are broken. No model is given, so nothing is an attack."""
+    checkpoint = st.scratch_path(spark, "checkpoint")
+    broken = F.col("event_type") == "error"
+    value = F.to_json(F.struct(F.col("event_id").cast("double").alias("id"), F.col("value").alias("dur")))
+    messages = fx.table(spark, sf, "events").select(F.when(broken, F.substring(value, 2, 9)).otherwise(value).alias("value"))
+    de.run_detection(spark, _replay(spark, messages, 3), "unsw", sc.Detector(), [], "replay", checkpoint=checkpoint,
+                     every=None)
+    found = de.read_accounts(spark, f"{checkpoint}-accounts")
+    stored = de.read_rejects(spark, f"{checkpoint}-rejects").groupBy("batch_id").agg(F.count(F.lit(1)).alias("stored"))
+    return found.join(stored, "batch_id", "left").agg(
+        F.sum("sent").alias("sent"), F.sum("parsed").alias("parsed"), F.sum("rejected").alias("rejected"),
+        F.sum("attacks").alias("attacks"), F.sum("stored").alias("stored"),
+        F.bool_and((F.col("sent") == F.col("parsed") + F.col("rejected"))
+                   & (F.col("rejected") == F.coalesce("stored", F.lit(0)))).alias("adds_up"))
+
+
 @query
 def read_alerts_mixed_columns(spark, sf):
     """Two batches, of which the later has no source_ip; the column stays."""

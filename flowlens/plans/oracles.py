@@ -474,6 +474,17 @@ from alerts where is_attack"""),
 select time_bucket(INTERVAL 60 MINUTE, processed_at) as timestamp, count(*) as count,
   count(*) filter (severity = 'HIGH') as high_severity_count
 from alerts where is_attack group by 1"""),
+    "stream_timeline_updates": _with(ALERTS, """
+select time_bucket(INTERVAL 60 MINUTE, processed_at) as timestamp, count(*) as count,
+  count(*) filter (severity = 'HIGH') as high_severity_count
+from alerts where is_attack group by 1"""),
+    "stream_redelivered": _with(ALERTS, """
+select event_id, attack_type, severity, source_ip, 'replay' as session_id, processed_at::date as alert_date
+from alerts where is_attack"""),
+    "stream_accounting": """
+select count(*) as sent, count(*) filter (event_type <> 'error') as parsed,
+  count(*) filter (event_type = 'error') as rejected, 0::bigint as attacks,
+  count(*) filter (event_type = 'error') as stored, true as adds_up from events""",
     "stream_rejects": "select props as value, count(*) as messages from events where event_type <> 'error' group by 1",
     "read_alerts_mixed_columns": _with(ALERTS, """
 select event_id, attack_type, case when processed_at < TIMESTAMP '2024-01-15 00:00:00' then source_ip end as source_ip

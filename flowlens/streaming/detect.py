@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowlens.operators.alerts import BIN_ORIGIN
@@ -13,8 +13,9 @@ from flowlens.operators.columns import clean_names_stream, stream_name
 from flowlens.operators.scoring import Detector, score_and_enrich
 from flowlens.schemas import ALERT_SEVERITIES, CIC_FEATURES, UNSW_FEATURES, stream_schema
 from flowlens.sources import alert_table
-from flowlens.sources.storage import scratch_path
-from flowlens.streaming.messages import parse_flow_json, rejected_flow_json
+from flowlens.sources.storage import exists, scratch_path
+from flowlens.streaming.messages import (
+    accepted_flows, is_accepted, parse_flow_json, rejected_flow_json, rejected_messages, route_flow_json)
 
 EVENT_TIME = "kafka_timestamp"
 WATERMARK = "30 seconds"
@@ -177,6 +178,65 @@ def read_timeline(spark: SparkSession, path: str) -> DataFrame:
                                           F.sum("high_severity_count").alias("high_severity_count"))
 
 
+TIMELINE_SCHEMA = "timestamp timestamp, count long, high_severity_count long, bin_day date"
+
+
+def upsert_timeline(spark: SparkSession, path: str, changed: DataFrame) -> None:
+    """Put bins in the place of those with the same timestamp. Only the days of ``changed`` are rewritten, each
+    as one file, so files grow with days and not with calls."""
+    new = changed.withColumn("bin_day", F.to_date("timestamp"))
+    if exists(spark, path):
+        kept = spark.read.schema(TIMELINE_SCHEMA).option("basePath", path).parquet(path)
+        days = new.select("bin_day").distinct()
+        new = (kept.join(days, "bin_day", "left_semi").join(new.select("timestamp"), "timestamp", "left_anti")
+               .unionByName(new))
+    (new.repartition("bin_day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("bin_day").parquet(path))
+
+
+def write_timeline_updates(alerts: DataFrame, path: str, checkpoint: str, interval_minutes: int = 60,
+                           column: str = EVENT_TIME, every: str | None = ALERT_TRIGGER) -> StreamingQuery:
+    """Keep one row per bin under ``path``, by an aggregation in update mode.
+
+    The state holds the whole counts of every bin; a micro-batch gives out those it changed, and they replace
+    the stored ones. A repeated batch therefore changes nothing. There is no watermark: the state is as large
+    as the timeline, one row per bin, and an alert that comes late, by however much, adds to its bin.
+    """
+    def upsert(changed: DataFrame, batch_id: int) -> None:
+        changed.persist()  # or the state would be computed once for each use
+        try:
+            upsert_timeline(changed.sparkSession, path, changed)
+        finally:
+            changed.unpersist()
+
+    return (_binned(alerts, interval_minutes, column).writeStream.foreachBatch(upsert).outputMode("update")
+            .option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start())
+
+
+def read_timeline_updates(spark: SparkSession, path: str) -> DataFrame:
+    """The bins that ``write_timeline_updates`` keeps."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], TIMELINE_SCHEMA).drop("bin_day")
+    return spark.read.schema(TIMELINE_SCHEMA).parquet(path).drop("bin_day")
+
+
+# Redelivery --------------------------------------------------------------
+
+def drop_redelivered(messages: DataFrame, keys: list[str], arrival: str = "timestamp",
+                     within: str = "1 hour") -> DataFrame:
+    """The first delivery of each message, from a source that may deliver again.
+
+    A message is the same if its ``keys`` are and its ``arrival`` lies no more than ``within`` after the first
+    one's; the state holds the keys of that time. Arrival must be the source's own clock, which runs nearly in
+    order: rows that are ``within`` behind the newest are dropped. A message with a null among its keys is
+    the same as another only if all its columns are equal, offsets among them.
+    """
+    whole = F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in messages.columns])))
+    unkeyed = F.when(F.greatest(F.lit(False), *[F.col(k).isNull() for k in keys]), whole)
+    return (watermark(messages, arrival, within).withColumn("_unkeyed", unkeyed)
+            .dropDuplicatesWithinWatermark([*keys, "_unkeyed"]).drop("_unkeyed"))
+
+
 # Rejects -----------------------------------------------------------------
 
 def write_rejects(messages: DataFrame, source: str, path: str, checkpoint: str,
@@ -189,30 +249,79 @@ def write_rejects(messages: DataFrame, source: str, path: str, checkpoint: str,
 
 # Run ---------------------------------------------------------------------
 
+ACCOUNT_SCHEMA = "batch_id long, sent long, parsed long, rejected long, attacks long, high_severity long"
+
+
+def routing_sink(source: str, detector: Detector, sinks: list[BatchSink], rejects: str, accounts: str,
+                 clock: Column | None = None) -> BatchSink:
+    """Take a micro-batch of routed messages apart: broken ones to ``rejects``, the others scored to the sinks.
+
+    The batch is read and parsed once. Every output has a folder per batch, which a repeated batch replaces.
+    ``accounts`` gets one row per batch: the messages it sent, parsed and rejected, counted by the job that
+    writes the rejects, and its attacks and high alerts.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            counted = Observation()
+            seen = batch.observe(counted, F.count(F.lit(1)).alias("sent"), F.count_if(is_accepted()).alias("parsed"),
+                                 F.count_if(~is_accepted()).alias("rejected"))
+            rejected_messages(seen).write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
+            flows = prepare_features(accepted_flows(batch), source)
+            scored = score_and_enrich(flows, detector, clock)
+
+            def account(scored: DataFrame, batch_id: int) -> None:
+                row = scored.agg(F.count_if("is_attack").alias("attacks"),
+                                 F.count_if(F.col("is_attack") & (F.col("severity") == "HIGH")).alias("high_severity"))
+                totals = [F.lit(batch_id).cast("long").alias("batch_id")] + [
+                    F.lit(counted.get[c]).cast("long").alias(c) for c in ("sent", "parsed", "rejected")]
+                row.select(*totals, "attacks", "high_severity").coalesce(1).write.mode("overwrite").parquet(
+                    f"{accounts}/batch_id={batch_id}")
+
+            fan_out([*sinks, account])(scored, batch_id)
+        finally:
+            batch.unpersist()
+    return write
+
+
+def read_accounts(spark: SparkSession, accounts: str) -> DataFrame:
+    """One row per micro-batch that ``run_detection`` finished."""
+    if not exists(spark, accounts):
+        return spark.createDataFrame([], ACCOUNT_SCHEMA)
+    return spark.read.schema(ACCOUNT_SCHEMA).option("basePath", accounts).parquet(accounts)
+
+
+def read_rejects(spark: SparkSession, rejects: str, columns: str = "value string, timestamp timestamp") -> DataFrame:
+    """The messages that ``run_detection`` set apart, with the number of their micro-batch."""
+    columns = f"{columns}, batch_id long"
+    if not exists(spark, rejects):
+        return spark.createDataFrame([], columns)
+    return spark.read.schema(columns).option("basePath", rejects).parquet(rejects)
+
+
 def run_detection(spark: SparkSession, messages: DataFrame, source: str, detector: Detector, sinks: list[BatchSink],
                   session_id: str, session_log: str | None = None, checkpoint: str | None = None,
                   every: str | None = ALERT_TRIGGER, clock: Column | None = None,
-                  rejects: str | None = None) -> StreamingQuery:
+                  rejects: str | None = None, accounts: str | None = None) -> StreamingQuery:
     """Run detection until the source is drained (``every=None``) or the query is stopped.
 
     The session is registered before the first batch and ended afterwards, also when
-    the query fails or the run is interrupted. Messages that can't be parsed go to the folder
-    ``rejects``, by default beside the checkpoint, through a query of their own.
+    the query fails or the run is interrupted. One query reads the source: messages that can't be parsed go to
+    the folder ``rejects``, the counts of each micro-batch to ``accounts``, by default beside the checkpoint.
+    A sink that fails, the one of the rejects among them, fails the batch and ends the run.
     """
     if session_log:
         alert_table.register_session(spark, session_log, session_id, {"data_source": source})
     checkpoint = checkpoint or scratch_path(spark, f"detect-{session_id}")
-    queries: list[StreamingQuery] = []
+    sink = routing_sink(source, detector, sinks, rejects or f"{checkpoint}-rejects",
+                        accounts or f"{checkpoint}-accounts", clock)
+    query = None
     try:
-        queries.append(start_sinks(detect(messages, source, detector, clock=clock), sinks, checkpoint, every))
-        queries.append(write_rejects(messages, source, rejects or f"{checkpoint}-rejects",
-                                     f"{checkpoint}-rejects-state", every))
-        for query in queries:
-            query.awaitTermination()
-        return queries[0]
+        query = start_sinks(route_flow_json(messages, stream_schema(source)), [sink], checkpoint, every)
+        query.awaitTermination()
+        return query
     finally:
-        for query in queries:
-            if query.isActive:
-                query.stop()
+        if query is not None and query.isActive:
+            query.stop()
         if session_log:
             alert_table.end_session(spark, session_log, session_id)

@@ -27,6 +27,29 @@ def parse_flow_json(messages: DataFrame, schema: T.StructType) -> DataFrame:
     return messages.select(F.inline(F.filter(_parsed(schema), _holds_data(schema))), *_source_columns(messages))
 
 
+#: Column that carries the parsed message, an empty array if nothing of it could be used.
+PARSED = "_parsed"
+
+
+def route_flow_json(messages: DataFrame, schema: T.StructType) -> DataFrame:
+    """The messages with what ``parse_flow_json`` makes of them, parsed once for both of the next two."""
+    return messages.withColumn(PARSED, F.filter(_parsed(schema), _holds_data(schema)))
+
+
+def accepted_flows(routed: DataFrame) -> DataFrame:
+    """The rows of ``parse_flow_json``."""
+    return routed.select(F.inline(PARSED), *_source_columns(routed.drop(PARSED)))
+
+
+def rejected_messages(routed: DataFrame) -> DataFrame:
+    """The rows of ``rejected_flow_json``. A null message has a null in place of the array."""
+    return routed.where(~is_accepted()).drop(PARSED)
+
+
+def is_accepted() -> Column:
+    return F.coalesce(F.size(PARSED), F.lit(0)) > 0
+
+
 def rejected_flow_json(messages: DataFrame, schema: T.StructType) -> DataFrame:
     """The messages ``parse_flow_json`` leaves out, as they came."""
     return messages.where(~F.exists(_parsed(schema), _holds_data(schema)))

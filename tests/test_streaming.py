@@ -94,6 +94,89 @@ def test_one_batch_feeds_every_sink(spark, folder, detector, capsys):
     assert seen == [9] and at.read_alerts(spark, f"{folder}/out").count() == 3
 
 
+def test_one_read_parts_messages_and_accounts_for_them(spark, folder, detector):
+    broken = ['{"broken": ', "not json", "", "not json"]
+    put(spark, f"{folder}/in", 9, extra=broken)
+    put(spark, f"{folder}/in", 3, start=9)
+    query = run(spark, f"{folder}/in", f"{folder}/out", detector, f"{folder}/check", max_files=1)
+    assert sum(p["numInputRows"] for p in query.recentProgress) == 12 + len(broken)
+    found = de.read_accounts(spark, f"{folder}/check-accounts")
+    assert found.count() == len({r["batch_id"] for r in found.collect()}) > 1
+    assert rows(found.groupBy().sum("sent", "parsed", "rejected", "attacks")) == [(16, 12, 4, 4)]
+    assert found.where("sent <> parsed + rejected").count() == 0
+    rejects = de.read_rejects(spark, f"{folder}/check-rejects")
+    assert sorted(r["value"] for r in rejects.collect()) == sorted(broken)
+    run(spark, f"{folder}/in", f"{folder}/out", detector, f"{folder}/check")
+    assert de.read_accounts(spark, f"{folder}/check-accounts").count() == found.count()
+
+
+def test_failing_reject_sink_ends_the_run(spark, folder, detector):
+    put(spark, f"{folder}/in", 6, extra=["broken"])
+    Path(f"{folder}/file").write_text("in the way")
+    stream = ss.read_flow_stream_files(spark, f"{folder}/in")
+    with pytest.raises(Exception):
+        de.run_detection(spark, stream, "unsw", detector, [de.alert_sink(f"{folder}/out", "x")], "x",
+                         checkpoint=f"{folder}/check", rejects=f"{folder}/file", every=None)
+    assert at.read_alerts(spark, f"{folder}/out").count() == 0
+    run(spark, f"{folder}/in", f"{folder}/out", detector, f"{folder}/check", session="x")
+    assert at.read_alerts(spark, f"{folder}/out").count() == 2
+
+
+def test_routing_equals_parsing_apart(spark):
+    from flowlens.schemas import stream_schema
+    from flowlens.streaming import messages as me
+
+    schema = stream_schema("unsw")
+    df = spark.createDataFrame([('{"dur": 1}', 1), ("x", 2), (None, 3), ('{"other": 1}', 4), ("", 5), ('{"dur": "y"}', 6)],
+                               "value string, n int")
+    routed = me.route_flow_json(df, schema)
+    assert rows(me.accepted_flows(routed), "dur", "n") == rows(me.parse_flow_json(df, schema), "dur", "n") == [(1.0, 1)]
+    assert rows(me.rejected_messages(routed), "n") == [(n,) for n in (2, 3, 4, 5, 6)]
+    assert routed.where(me.is_accepted()).count() + me.rejected_messages(routed).count() == df.count()
+
+
+def alert_stream(spark, folder, parts, run_part):
+    """Files that come one by one, each followed by a run that drains the source."""
+    schema = "id int, kafka_timestamp timestamp, is_attack boolean, severity string"
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        run_part(spark.readStream.schema(schema).parquet(f"{folder}/in"))
+
+
+def test_timeline_updates_take_late_alerts_into_few_files(spark, folder):
+    def part(n, hour, day=1):
+        return [(i, datetime(2024, 1, day, hour, i), True, "HIGH" if i % 2 else "LOW") for i in range(n)]
+
+    parts = [part(3, 10), part(2, 12), part(1, 3, day=9), part(4, 10), part(2, 12), [(0, datetime(2024, 1, 1), False, "NONE")]]
+    out, check = f"{folder}/out", f"{folder}/check"
+    alert_stream(spark, folder, parts, lambda stream: de.write_timeline_updates(
+        stream, out, check, every=None).awaitTermination())
+    assert rows(de.read_timeline_updates(spark, out).orderBy("timestamp")) == [
+        (datetime(2024, 1, 1, 10), 7, 3), (datetime(2024, 1, 1, 12), 4, 2), (datetime(2024, 1, 9, 3), 1, 0)]
+    assert len(files(out)) == 2  # days, not batches
+    again = spark.createDataFrame([(datetime(2024, 1, 1, 12), 4, 2)], "timestamp timestamp, count long, high_severity_count long")
+    before = sorted(rows(de.read_timeline_updates(spark, out)))
+    de.upsert_timeline(spark, out, again)
+    assert sorted(rows(de.read_timeline_updates(spark, out))) == before
+    assert de.read_timeline_updates(spark, f"{folder}/none").count() == 0
+
+
+def test_redelivered_messages_come_once(spark, folder):
+    """A key that comes again in the same or a later batch, after a restart too; rows without a key stay."""
+    schema = "key string, value string, timestamp timestamp"
+    noon = datetime(2024, 1, 1, 12)
+    parts = [[("a", "1", noon), ("a", "1", noon), ("b", "2", noon), (None, "3", noon), (None, "4", noon)],
+             [("a", "1", noon + timedelta(minutes=9)), ("c", "5", noon + timedelta(minutes=9)), (None, "3", noon + timedelta(minutes=9))],
+             [("b", "2", noon + timedelta(minutes=11)), (None, "3", noon)]]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        (de.drop_redelivered(stream, ["key"]).writeStream.format("parquet").option("path", f"{folder}/out")
+         .option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start().awaitTermination())
+    found = sorted((r["key"] or "", r["value"]) for r in spark.read.schema(schema).parquet(f"{folder}/out").collect())
+    assert found == [("", "3"), ("", "3"), ("", "4"), ("a", "1"), ("b", "2"), ("c", "5")]
+
+
 def test_alert_messages(spark, detector):
     messages = fl.flows_to_json(flow_frame(spark, 6)).withColumn("timestamp", F.lit(datetime(2024, 1, 1)))
     found = de.alert_messages(de.detect(messages, "unsw", detector))
