@@ -44,14 +44,20 @@ def _until(df: DataFrame, end: Column) -> list[Column]:
     return [F.col(TIME) <= end] + ([F.col(DAY) <= F.to_date(end)] if DAY in df.columns else [])
 
 
-def _tally(level: str) -> Column:
-    return F.count_if(F.col("severity") == level)
+def _number(weight: str | None = None) -> Column:
+    """Number of alerts; rows that stand for several name their number in a column ``weight``."""
+    return F.count(F.lit(1)) if weight is None else F.sum(weight)
 
 
-def _levels() -> list[Column]:
+def _tally(level: str, weight: str | None = None) -> Column:
+    hit = F.col("severity") == level
+    return F.count_if(hit) if weight is None else F.sum(F.when(hit, F.col(weight)).otherwise(F.lit(0)))
+
+
+def _levels(weight: str | None = None) -> list[Column]:
     """high, medium and low, where low is everything else."""
-    rest = F.count(F.lit(1)) - F.count_if(F.col("severity").isin("HIGH", "MEDIUM"))
-    return [_tally("HIGH").alias("high"), _tally("MEDIUM").alias("medium"), rest.alias("low")]
+    high, medium = _tally("HIGH", weight), _tally("MEDIUM", weight)
+    return [high.alias("high"), medium.alias("medium"), (_number(weight) - high - medium).alias("low")]
 
 
 # Filters -----------------------------------------------------------------
@@ -150,17 +156,17 @@ def top_sources(alerts: DataFrame, n: int = 10) -> DataFrame:
 
 # Statistics --------------------------------------------------------------
 
-def alert_type_counts(alerts: DataFrame, hours: float = 24, now=None, **session) -> DataFrame:
+def alert_type_counts(alerts: DataFrame, hours: float = 24, now=None, weight: str | None = None, **session) -> DataFrame:
     """Alerts per type of the last hours, most frequent first."""
     return (_last_hours(alerts, hours, now, **session).groupBy("attack_type")
-            .agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "attack_type"))
+            .agg(_number(weight).alias("count")).orderBy(F.desc("count"), "attack_type"))
 
 
-def alert_statistics(alerts: DataFrame, hours: float = 24, now=None, **session) -> DataFrame:
+def alert_statistics(alerts: DataFrame, hours: float = 24, now=None, weight: str | None = None, **session) -> DataFrame:
     """One row, zeros when nothing matches: totals by severity, the types as a map, the period."""
     kind = F.coalesce("attack_type", F.lit(UNKNOWN)).alias("attack_type")  # a null and a stored "Unknown" are one
     by_type = _last_hours(alerts, hours, now, **session).groupBy(kind).agg(
-        F.count(F.lit(1)).alias("n"), _tally("HIGH").alias("h"), _tally("MEDIUM").alias("m"), _tally("LOW").alias("l"))
+        _number(weight).alias("n"), *[_tally(level, weight).alias(level[0].lower()) for level in ("HIGH", "MEDIUM", "LOW")])
     total = {"total_alerts": "n", "high_severity": "h", "medium_severity": "m", "low_severity": "l"}
     types = F.map_from_entries(F.collect_list(F.struct("attack_type", "n")))
     return by_type.agg(
@@ -169,7 +175,7 @@ def alert_statistics(alerts: DataFrame, hours: float = 24, now=None, **session)
 
 
 def alert_timeline(alerts: DataFrame, hours: float = 24, interval_minutes: int = 60, now=None,
-                   **session) -> DataFrame:
+                   weight: str | None = None, **session) -> DataFrame:
     """Counts per fixed-width bin, oldest first; empty bins are absent."""
     width = interval_minutes * 60
     offset = int(BIN_ORIGIN.timestamp()) % width
@@ -177,7 +183,7 @@ def alert_timeline(alerts: DataFrame, hours: float = 24, interval_minutes: int =
     bins = F.window(TIME, f"{interval_minutes} minutes", **start)
     return (
         _last_hours(alerts, hours, now, **session).groupBy(bins.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("count"), _tally("HIGH").alias("high_severity_count"))
+        .agg(_number(weight).alias("count"), _tally("HIGH", weight).alias("high_severity_count"))
         .select(F.col("bin.start").alias("timestamp"), "count", "high_severity_count").orderBy("timestamp")
     )
 
@@ -231,12 +237,12 @@ def _series(alerts: DataFrame, period: str, now, measures: list[Column], **bound
         at.alias("bucket_start"), *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in names]).orderBy("bucket_start")
 
 
-def activity_series(alerts: DataFrame, period: str = "24h", now=None, **bounds) -> DataFrame:
-    return _series(alerts, period, now, [F.count(F.lit(1)).alias("count")], **bounds)
+def activity_series(alerts: DataFrame, period: str = "24h", now=None, weight: str | None = None, **bounds) -> DataFrame:
+    return _series(alerts, period, now, [_number(weight).alias("count")], **bounds)
 
 
-def severity_trend(alerts: DataFrame, period: str = "24h", now=None, **bounds) -> DataFrame:
-    return _series(alerts, period, now, _levels(), **bounds)
+def severity_trend(alerts: DataFrame, period: str = "24h", now=None, weight: str | None = None, **bounds) -> DataFrame:
+    return _series(alerts, period, now, _levels(weight), **bounds)
 
 
 def session_statistics(alerts: DataFrame, period: str = "24h", n: int = 10, now=None, **bounds) -> DataFrame:

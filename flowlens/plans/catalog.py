@@ -17,13 +17,14 @@ from flowlens.operators import (
     features as fe,
     labeling as la,
     models as mo,
+    rollups as ro,
     scoring as sc,
     sessions as se,
     splits as sp,
 )
 from flowlens.plans import fixtures as fx, preprocess as pp, training as tr
 from flowlens.schemas import CLASS_NAMES, UNSW_FEATURES, csv_schema
-from flowlens.sources import alert_table as at, flows as fl, storage as st, streams as ss
+from flowlens.sources import alert_counts as ac, alert_table as at, flows as fl, storage as st, streams as ss
 from flowlens.streaming import detect as de, messages as me
 
 NOW = datetime(2024, 1, 31)
@@ -235,6 +236,41 @@ def delete_old_alerts(spark, sf):
     return at.read_alerts(spark, path).select(*ALERT_VIEW, "alert_date")
 
 
+LATER = datetime(2024, 1, 30, 13, 37)  # inside a bin
+
+
+def counted_alerts(spark, sf):
+    """Counts and alerts after two loads, a direct insert, a deleted session and a clean-up that cuts a bin."""
+    path, counts = st.scratch_path(spark, "alerts"), st.scratch_path(spark, "counts")
+    rows = fx.alerts(spark, sf).where("is_attack")
+    for batch in (0, 1):
+        at.write_alert_table(rows.where((F.col("event_id") % 2 == batch) & (F.col("session_id") != "sess5")), path, batch)
+    ac.recount_days(spark, path, counts, datetime(2023, 1, 1), datetime(2025, 1, 1))
+    for again in (False, True):  # the second call replaces the first
+        ac.write_counted_batch(rows.where("session_id = 'sess5'"), path, counts, "sess5", 7, F.col("processed_at"), replayed=again)
+    ac.clear_session(spark, path, counts, "sess4")
+    ac.delete_old(spark, path, counts, 10, datetime(2024, 1, 30, 13, 30))
+    return ac.read_counts(spark, counts), at.read_alerts(spark, path)
+
+
+@query
+def alert_statistics_rollup(spark, sf):
+    found = ro.alert_statistics_rollup(*counted_alerts(spark, sf), 7 * 24, LATER)
+    entries = F.sort_array(F.transform(F.map_entries("by_attack_type"),
+                                       lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
+    return found.withColumn("by_attack_type", F.concat_ws(",", entries))
+
+
+@query
+def severity_trend_rollup(spark, sf):
+    return ro.severity_trend_rollup(*counted_alerts(spark, sf), "30d", LATER)
+
+
+@query
+def alert_timeline_rollup(spark, sf):
+    return ro.alert_timeline_rollup(*counted_alerts(spark, sf), 5 * 24, 360, LATER)
+
+
 @query
 def append_alerts(spark, sf):
     """One session's alerts inserted into the stored table a second time."""

@@ -121,7 +121,32 @@ full_scores as (
 
 STORED = f"select {VIEW}, processed_at::date as alert_date from alerts where is_attack"
 
+LEFT = ALERTS + """,
+remaining as (select * from alerts where is_attack and session_id <> 'sess4'
+  and processed_at >= TIMESTAMP '2024-01-20 13:30:00')"""
+LATER = "TIMESTAMP '2024-01-30 13:37:00'"
+
 ORACLES = {
+    # Reports from maintained counts
+    "alert_statistics_rollup": _with(LEFT, f"""
+, found as (select * from remaining where processed_at >= {LATER} - INTERVAL 168 HOUR)
+select count(*) as total_alerts, count(*) filter (severity = 'HIGH') as high_severity,
+  count(*) filter (severity = 'MEDIUM') as medium_severity, count(*) filter (severity = 'LOW') as low_severity,
+  168::int as time_period_hours, {LATER} - INTERVAL 168 HOUR as since,
+  (select string_agg(attack_type || '=' || n, ',' order by attack_type || '=' || n)
+     from (select attack_type, count(*) as n from found group by 1)) as by_attack_type
+from found"""),
+    "severity_trend_rollup": _with(LEFT, f"""
+, first as (select {LATER} - INTERVAL 30 DAY as t0),
+counted as (
+  select least(floor((epoch_us(processed_at) - epoch_us(t0)) / 172800000000.0)::bigint, 15) as slot, {LEVELS}
+  from remaining, first where processed_at >= t0 group by 1)
+select t0 + to_days(2 * i::int) as bucket_start, coalesce(high, 0) as high, coalesce(medium, 0) as medium, coalesce(low, 0) as low
+from generate_series(0, 15) t(i) cross join first left join counted on slot = i"""),
+    "alert_timeline_rollup": _with(LEFT, f"""
+select time_bucket(INTERVAL 360 MINUTE, processed_at) as timestamp, count(*) as count,
+  count(*) filter (severity = 'HIGH') as high_severity_count
+from remaining where processed_at >= {LATER} - INTERVAL 120 HOUR group by 1"""),
     # Alerts
     "recent_alerts": _with(ALERTS, f"""
 select {VIEW} from alerts where severity = 'HIGH' order by processed_at desc, event_id desc limit 100"""),

@@ -62,7 +62,13 @@ def _located(alerts: DataFrame, session_id: str, batch_id: int, clock) -> DataFr
             .withColumn("batch_id", F.lit(batch_id).cast("bigint")))
 
 
-def _replace_partitions(rows: DataFrame, path: str) -> None:
+def located_alerts(scored: DataFrame, session_id: str, batch_id: int, clock=None,
+                   severities=ALERT_SEVERITIES) -> DataFrame:
+    """The alerts of one micro-batch with the columns of its place in the table."""
+    return _located(alert_rows(scored, severities), session_id, batch_id, clock)
+
+
+def replace_partitions(rows: DataFrame, path: str) -> None:
     """Replace exactly the partitions that ``rows`` fill. The files are staged in a folder
     of this job's own and moved when all tasks are done."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
@@ -75,10 +81,10 @@ def write_alert_batch(scored: DataFrame, path: str, session_id: str, batch_id: i
     Looking for what an earlier attempt left lists all days: a caller that knows of none says
     so with ``replayed=False``.
     """
-    rows = _located(alert_rows(scored, severities), session_id, batch_id, clock)
+    rows = located_alerts(scored, session_id, batch_id, clock, severities)
     if replayed:
         delete_matching(scored.sparkSession, f"{path}/alert_date=*/session_id={session_id}/batch_id={batch_id}")
-    _replace_partitions(rows, path)
+    replace_partitions(rows, path)
 
 
 def write_alert_table(alerts: DataFrame, path: str, batch_id: int = 0) -> None:
@@ -86,7 +92,7 @@ def write_alert_table(alerts: DataFrame, path: str, batch_id: int = 0) -> None:
     each session and day into few files and splits those that hold too much for one task."""
     rows = alerts.withColumn("batch_id", F.lit(batch_id).cast("bigint")).withColumn(
         "alert_date", F.to_date("processed_at"))
-    _replace_partitions(rows.hint("rebalance", "alert_date", "session_id"), path)
+    replace_partitions(rows.hint("rebalance", "alert_date", "session_id"), path)
 
 
 def append_alerts(alerts: DataFrame, path: str, session_id: str, clock=None) -> None:
@@ -194,7 +200,7 @@ def delete_old_alerts(spark: SparkSession, path: str, days: int = 30, now: datet
         F.count_if(old).alias("old"), F.count(F.lit(1)).alias("rows")).where("old > 0").persist()
     gone += batches.agg(F.coalesce(F.sum("old"), F.lit(0))).first()[0]
     mixed = batches.where("old < rows").select(*PARTITIONS)
-    _replace_partitions(day.where(~old).join(mixed, PARTITIONS, "left_semi"), path)
+    replace_partitions(day.where(~old).join(mixed, PARTITIONS, "left_semi"), path)
     emptied = batches.where("old = rows").select(*PARTITIONS).toLocalIterator()  # one row per folder to delete
     while some := list(islice(emptied, 1_000)):
         delete_all(spark, ["/".join([path, *(f"{c}={row[c]}" for c in PARTITIONS)]) for row in some])

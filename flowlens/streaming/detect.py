@@ -12,7 +12,7 @@ from flowlens.operators.cleaning import mask_numeric
 from flowlens.operators.columns import clean_names_stream, stream_name
 from flowlens.operators.scoring import Detector, score_and_enrich
 from flowlens.schemas import ALERT_SEVERITIES, CIC_FEATURES, UNSW_FEATURES, stream_schema
-from flowlens.sources import alert_table
+from flowlens.sources import alert_counts, alert_table
 from flowlens.sources.storage import exists, scratch_path
 from flowlens.streaming.messages import (
     accepted_flows, is_accepted, parse_flow_json, rejected_flow_json, rejected_messages, route_flow_json)
@@ -52,9 +52,10 @@ def detect(messages: DataFrame, source: str, detector: Detector, delay: str | No
 
 # Sinks -------------------------------------------------------------------
 
-def alert_sink(path: str, session_id: str, clock: Column | None = None, severities=ALERT_SEVERITIES) -> BatchSink:
-    """Store the alerts of each micro-batch in the alert table. A severity policy with levels
-    of its own names them in ``severities``. Only the first batch of a run, or one after a failure,
+def alert_sink(path: str, session_id: str, clock: Column | None = None, severities=ALERT_SEVERITIES,
+               counts: str | None = None) -> BatchSink:
+    """Store the alerts of each micro-batch in the alert table, and their counts where ``counts`` names a folder.
+    A severity policy with levels of its own names them in ``severities``. Only the first batch of a run, or one after a failure,
     can have been tried before."""
     begun, done = -1, -2
 
@@ -62,7 +63,10 @@ def alert_sink(path: str, session_id: str, clock: Column | None = None, severiti
         nonlocal begun, done
         fresh = begun == done and batch_id > done
         begun = batch_id
-        alert_table.write_alert_batch(batch, path, session_id, batch_id, clock, severities, replayed=not fresh)
+        if counts is None:
+            alert_table.write_alert_batch(batch, path, session_id, batch_id, clock, severities, replayed=not fresh)
+        else:
+            alert_counts.write_counted_batch(batch, path, counts, session_id, batch_id, clock, severities, not fresh)
         done = batch_id
     return write
 
