@@ -1,31 +1,33 @@
 """Benchmark decontamination by a BM25 index of the test items and block-max WAND.
 
 Every passage of every training document is a query against the index of test items. BM25
-scores are divided by an item's score against itself, so one threshold means the same part of
-any item. WAND's bounds skip a passage as soon as no item can reach the threshold; all items
-above it are then verified by the overlap of question and answer with the document's words.
+scores are divided by an item's score against itself. An item's threshold is the least part of it
+that a passage with enough of its question and answer can score, so that the search loses none that
+verification would keep. WAND's bounds skip a passage as soon as no item can reach its threshold; all
+items above it are then verified by the overlap of question and answer with the document's words.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import log
+from math import ceil, log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from flowlens.llm.shared import scratch_path
 
 # Usual BM25 constants.
 K1, B = 1.2, 0.75
-#: Part of an item's BM25 score against itself from which a passage is a candidate.
-THRESHOLD = 0.7
 #: Shingle length and overlap that the verification asks of question and answer.
 SHINGLE, OVERLAP = 5, 0.8
-#: Items in which a term may occur to be one that candidates are searched by.
-RARE = 4
+#: Part of an item's threshold that the terms which candidates are searched by have to give.
+SEARCHED = 0.5
 #: Postings in a block with a maximum of its own.
 BLOCK = 32
 #: Items and characters that one pass over the documents holds in its index; more take more passes.
@@ -69,12 +71,32 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i:i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
 
 
+def least_part(parts: tuple[set, set], impact: dict[str, float]) -> float:
+    """A lower bound for the score of any passage that holds OVERLAP of each part's shingles.
+
+    A word is missing only with all shingles that hold it, so it must be in few enough of them, and no
+    more words than shingles can be missing. One shingle of a part at least is there.
+    """
+    lost = there = 0.0
+    for part in filter(None, parts):
+        spare = len(part) - ceil(OVERLAP * len(part) - 1e-9)
+        held_by = Counter(w for s in part for w in set(s))
+        lost += sum(sorted((impact[w] for w, n in held_by.items() if n <= spare), reverse=True)[:spare])
+        there = max(there, min(sum(impact[w] for w in set(s)) for s in part))
+    return max(1.0 - lost, there)
+
+
 @dataclass
 class Index:
-    """Inverted index of items; impacts are parts of an item's score against itself."""
+    """Inverted index of items; impacts are parts of an item's score against itself.
+
+    ``threshold`` is one part for all items in place of each item's own. ``statistics`` are
+    the number of items, their mean length and the items of a word, where there are more than those here.
+    """
 
     items: list[tuple[int | None, str | None]]
-    threshold: float = THRESHOLD
+    threshold: float | None = None
+    statistics: tuple[int, float, dict[str, int]] | None = None
     term_of: dict[str, int] = field(default_factory=dict)
     postings: list[tuple[list[int], list[float]]] = field(default_factory=list)
     highest: np.ndarray = None  # by term: its largest impact
@@ -88,36 +110,53 @@ class Index:
             for w in words:
                 of = counts.setdefault(w, {})
                 of[n] = of.get(n, 0) + 1
-        mean = sum(map(len, texts)) / max(1, len(texts))
+        here = (len(texts), sum(map(len, texts)) / max(1, len(texts)), {w: len(of) for w, of in counts.items()})
+        total, mean, having = self.statistics or here
         raw = {}
         own = [0.0] * len(texts)
         for w, of in counts.items():
-            idf = log(1 + (len(texts) - len(of) + 0.5) / (len(of) + 0.5))
+            idf = log(1 + (total - having[w] + 0.5) / (having[w] + 0.5))
             raw[w] = [(n, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(texts[n]) / mean))) for n, tf in of.items()]
             for n, x in raw[w]:
                 own[n] += x
         for w in sorted(raw):
             self.term_of[w] = len(self.postings)
             self.postings.append(([n for n, _ in raw[w]], [x / own[n] for n, x in raw[w]]))
+        impacts: list[dict[str, float]] = [{} for _ in texts]
+        for w, t in self.term_of.items():
+            for n, x in zip(*self.postings[t]):
+                impacts[n][w] = x
+        self.least = np.array([least_part(p, x) if self.threshold is None else self.threshold
+                               for p, x in zip(self.parts, impacts)])
+        # Bounds are in parts of the thresholds, so that one bound serves items with different ones.
+        least = self.least.tolist()
+        bounds = [[x / least[n] for n, x in zip(docs, part)] for docs, part in self.postings]
         self.blocks = [([d[min(i + BLOCK, len(d)) - 1] for i in range(0, len(d), BLOCK)],
-                        [max(x[i:i + BLOCK]) for i in range(0, len(x), BLOCK)]) for d, x in self.postings]
-        self.highest = np.array([max(x) for _, x in self.postings] or [0.0])
-        # Lists of at most RARE items, end to end. What an item has to find in them is the threshold
-        # less all that its other terms could give.
-        rare = [t for t, (docs, _) in enumerate(self.postings) if len(docs) <= RARE]
-        self.lists = np.zeros(len(self.postings) + 1, np.int64)
-        self.lists[[t + 1 for t in rare]] = [len(self.postings[t][0]) for t in rare]
-        self.lists = np.cumsum(self.lists)
-        self.rare_items = np.array([n for t in rare for n in self.postings[t][0]], np.int64)
-        self.rare_impacts = np.array([x for t in rare for x in self.postings[t][1]])
-        given = np.bincount(self.rare_items, self.rare_impacts, len(texts)) if rare else np.zeros(len(texts))
-        self.needed = self.threshold - (1.0 - given)
+                        [max(x[i:i + BLOCK]) for i in range(0, len(x), BLOCK)])
+                       for (d, _), x in zip(self.postings, bounds)]
+        self.highest = np.array([max(x) for x in bounds] or [0.0])
+        # An item is searched by its rarest terms, as many as it takes for SEARCHED. What it has to find in
+        # them is its threshold less all that its other terms could give.
+        found: dict[int, list[tuple[int, float]]] = {}
+        self.needed = np.zeros(len(texts))
+        for n, own_terms in enumerate(impacts):
+            given = 0.0
+            for w, x in sorted(own_terms.items(), key=lambda i: (len(counts[i[0]]), i[0])):
+                given += x
+                found.setdefault(self.term_of[w], []).append((n, x))
+                if least[n] - (1.0 - given) >= SEARCHED * least[n]:
+                    break
+            self.needed[n] = least[n] - (1.0 - given)
+        # The items that search by a term, end to end.
+        self.lists = np.cumsum([0, *(len(found.get(t, ())) for t in range(len(self.postings)))])
+        self.rare_items = np.array([n for t in sorted(found) for n, _ in found[t]], np.int64)
+        self.rare_impacts = np.array([x for t in sorted(found) for _, x in found[t]])
         self.longest = max(map(len, texts), default=1) or 1
 
     def retrieve(self, terms: list[int]) -> list[tuple[int, float]]:
-        """All items whose score for the query's different ``terms`` reaches the threshold: block-max WAND."""
+        """All items whose score for the query's different ``terms`` reaches their threshold: block-max WAND."""
         lists = [[self.postings[t][0][0], 0, t] for t in terms]  # current item, place, term
-        found, least = [], self.threshold - 1e-9
+        found, least = [], 1.0 - 1e-9  # in parts of a threshold
         while lists:
             lists.sort()
             bound, pivot = 0.0, -1
@@ -145,7 +184,7 @@ class Index:
                 moved = lists[:pivot + 1]
             elif lists[0][0] == item:
                 score = sum(self.postings[t][1][k] for _, k, t in lists[:pivot + 1])
-                if score >= least:
+                if score >= self.least[item] - 1e-9:
                     found.append((item, score))
                 go, moved = item + 1, lists[:pivot + 1]
             else:
@@ -202,16 +241,13 @@ class Matcher:
 
     def candidates(self, texts: list[np.ndarray]) -> list[list[int]]:
         """For each text, starts of passages of 2 * step words, one each step, in which an item can reach
-        the threshold.
+        its threshold.
 
-        Sums the impacts that a passage's different rare terms have on each item, for all passages at
-        once. An item lies whole in some passage. Where an item needs no rare term, every passage is a
-        candidate.
+        Sums the impacts that a passage's different terms have on each item that is searched by them, for
+        all passages at once. An item lies whole in some passage.
         """
         index, step = self.index, self.index.longest
         passages = [len(t) // step + 1 for t in texts]
-        if (index.needed <= 1e-9).any():
-            return [[p * step for p in range(n)] for n in passages]
         base = np.cumsum([0, *passages])
         at = [np.flatnonzero(t >= 0) for t in texts]
         term = np.concatenate([t[a] for t, a in zip(texts, at)])
@@ -263,20 +299,37 @@ class Matcher:
         return [best[k] for k in sorted(best)]
 
 
-def _indexes(items: DataFrame, threshold: float) -> Iterator[Index]:
+@F.udf(T.ArrayType(T.StringType()), useArrow=True)
+def _all_words(text):
+    return words_of(text)
+
+
+def _indexes(items: DataFrame, threshold: float | None) -> Iterator[Index]:
     """Indexes of all items, of which one holds ITEMS_AT_ONCE items and about CHARS_AT_ONCE characters.
 
     Items without words can't be found and are left out by Index; of items that share an id, or have none,
-    all count.
+    all count. The statistics are those of all items in every index: Spark counts them where there are
+    several, and a single index counts the same itself.
     """
     texts = items.select(F.col("item_id").cast("long"), "text").where("text is not null").distinct()
     n, size = texts.agg(F.count("*"), F.sum(F.length("text"))).first()
     parts = max(1, -(-n // ITEMS_AT_ONCE), -(-(size or 0) // CHARS_AT_ONCE))
+    statistics = None
+    if parts > 1:
+        worded = texts.withColumn("w", _all_words("text")).where("size(w) > 0")
+        total, mean = worded.agg(F.count("*"), F.avg(F.size("w"))).first()
+        different = worded.select("item_id", "text", F.explode(F.array_distinct("w")).alias("word"))
+        path = scratch_path(items.sparkSession, "item-words")
+        different.groupBy("word").agg(F.count("*").alias("n")).write.parquet(path)
+        having = items.sparkSession.read.parquet(path)
     for part in range(parts):
-        mine = texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        # One job for all partitions: the part's size was checked above.
-        found = mine.toArrow()
-        yield Index(list(zip(found["item_id"].to_pylist(), found["text"].to_pylist())), threshold)
+        of_part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part
+        # One job for all partitions: the part's size was checked above, and its words are no more than its characters.
+        found = texts.where(of_part).toArrow()
+        if parts > 1:
+            mine = having.join(different.where(of_part).select("word").distinct(), "word").toArrow()
+            statistics = (total, mean, dict(zip(mine["word"].to_pylist(), mine["n"].to_pylist())))
+        yield Index(list(zip(found["item_id"].to_pylist(), found["text"].to_pylist())), threshold, statistics)
 
 
 def leaks(text: Column, index: Index) -> Column:
@@ -293,12 +346,12 @@ def leaks(text: Column, index: Index) -> Column:
     return find(text)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float | None = None) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap, word_start), a row per document and item in it.
 
-    A passage of a document is a candidate for an item if its BM25 score is at least ``threshold`` of the
-    item's score against itself, and a leak if it holds 0.8 of the five-word shingles of both question and
-    answer. Words are of any script. Null and empty texts, and items without words, match nothing. Repeated
+    A passage of a document is a candidate for an item if its BM25 score reaches the item's threshold, by
+    default the least that a leak can have (else ``threshold`` of the item's score against itself), and a leak
+    if it holds 0.8 of the five-word shingles of both question and answer. Words are of any script. Null and empty texts, and items without words, match nothing. Repeated
     rows give repeated matches; rows without ``doc_id`` are matched too, and items without ``item_id`` are
     found and reported without one. An empty table on either side gives no rows. Other
     columns are left out.
@@ -310,7 +363,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     return found
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float | None = None) -> DataFrame:
     """The documents that hold no test item, also none without ``item_id``; all columns."""
     for index in _indexes(items, threshold):
         docs = docs.where(F.size(leaks(F.col("text"), index)) == 0)
