@@ -104,6 +104,35 @@ def key_ranges(df: DataFrame, keys: list[str], descending: bool, ranges: int) ->
     return stats.orderBy("_part").collect()
 
 
+def weighted_span(weights: DataFrame, keys: list[str], weight: str, descending: bool, offset: int, size: int,
+                  ranges: int | None = None):
+    """(rows before, lowest key, highest key) of the groups that hold rows ``offset`` to ``offset + size``.
+
+    ``weights`` has one row per key with its number of rows. Its order is cut into ranges again and again until
+    the page's groups are found; one small row per range reaches the driver. None if the rows end before.
+    """
+    ranges, before, last = ranges or range_count(weights), 0, None
+    while True:
+        parts = weights.repartitionByRange(ranges, *_order(keys, descending))
+        key = _struct_key(keys)
+        stats = parts.groupBy(F.spark_partition_id().alias("_part")).agg(
+            F.sum(weight).alias("n"), F.count(F.lit(1)).alias("groups"), F.min(key).alias("low"), F.max(key).alias("high"))
+        seen, wanted, first = before, [], None
+        for row in stats.orderBy("_part").collect():
+            if seen + row["n"] > offset and seen < offset + size:
+                first = seen if first is None else first
+                wanted.append(row)
+            seen += row["n"]
+        if not wanted:
+            return None
+        before, groups = first, sum(row["groups"] for row in wanted)
+        ends = (wanted[-1], wanted[0]) if descending else (wanted[0], wanted[-1])
+        low, high = ends[0]["low"], ends[1]["high"]
+        if groups == len(wanted) or groups == last:
+            return before, low, high
+        weights, last = weights.where(_between(weights, keys, low, high)), groups
+
+
 def seek_page(df: DataFrame, keys: list[str], descending: bool, offset: int, size: int,
               shallow: int = SHALLOW_ROWS, ranges: int | None = None) -> DataFrame:
     """Rows ``offset`` to ``offset + size`` of the order given by ``keys``.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens.functions.hashing import hash32, percent_bucket, row_key
 from flowlens.operators.lookup import join_lookup
+from flowlens.sources.storage import materialize
 
 
 def hash_split(df: DataFrame, key: list[str], train_percent: int = 80,
@@ -34,40 +35,53 @@ def _same_class(label: str, table: DataFrame) -> tuple[DataFrame, Column]:
     return table.withColumnRenamed(label, "_class"), F.col(label).eqNullSafe(F.col("_class"))
 
 
+def cut_rows(df: DataFrame, label: str, key: list[str], fraction: float, seed: int | None = None,
+             bits: int = 16) -> DataFrame:
+    """(label, _hash, _key, _n, _need): the keys whose hash is that at which their class is cut.
+
+    Counting the first ``bits`` of the hashes finds the slice that holds a class's cut; only this slice's
+    rows are kept, a row per key, and their next bits counted, until all 32 are known. What is left are
+    keys of one hash per class. ``_need`` is the number of rows to take from them; ``_n`` the rows of a key.
+    """
+    pool = df.select(label, row_key(key).alias("_key")).select(
+        label, "_key", hash32(F.col("_key"), seed).alias("_hash"), F.lit(1).cast("bigint").alias("_n"))
+    need, shift = F.floor(F.lit(fraction) * F.sum("_n").over(Window.partitionBy(label))), 32
+    while shift:
+        first, shift = shift == 32, max(shift - bits, 0)
+        slice_of = F.shiftright("_hash", shift)
+        carried = [] if first else [F.first("_need").alias("_need")]
+        slices = (
+            pool.groupBy(label, slice_of.alias("_cut")).agg(F.sum("_n").alias("_n"), *carried)
+            .withColumn("_upto", F.sum("_n").over(Window.partitionBy(label).orderBy("_cut")))
+            .withColumn("_need", need if first else F.col("_need"))
+        )
+        cut = slices.where((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_n") < F.col("_need"))
+                           ).select(label, "_cut", (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_need"))
+        inside = join_lookup(pool.drop("_need"), *_same_class(label, cut)).where(slice_of == F.col("_cut"))
+        pool = inside.groupBy(label, "_hash", "_key").agg(F.sum("_n").alias("_n"), F.first("_need").alias("_need"))
+        if first:  # later rounds read one part in 2**bits
+            pool = materialize(pool, "cut")
+    return pool
+
+
 def mark_stratified(df: DataFrame, label: str, key: list[str], fraction: float = 0.8,
                     seed: int | None = None, bits: int = 16, output: str = "is_train") -> DataFrame:
     """Mark exactly floor(fraction * n) rows of each class, lowest hashes first.
 
-    Ranking a class in one window would put its rows in one task. Instead a histogram
-    of the hash locates the slice holding the class's cut, that slice alone (one part
-    in 2**bits of the class) is ranked, and the rows are then compared with the cut.
-    Rows with the same key stay on the same side.
+    Ranking a class in one window would put its rows in one task. ``cut_rows`` selects the keys of
+    the one hash at which a class is cut; these alone are ranked, and all rows are then compared
+    with the last key taken. Rows with the same key stay on the same side.
     """
     marked = df.withColumn("_key", row_key(key)).withColumn("_hash", hash32(F.col("_key"), seed))
-    slice_of = F.shiftright("_hash", 32 - bits)
-    by_slice = Window.partitionBy(label).orderBy("_slice")
-    histogram = (
-        marked.groupBy(label, slice_of.alias("_slice")).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(by_slice))
-        .withColumn("_quota", F.floor(F.lit(fraction) * F.sum("_n").over(Window.partitionBy(label))))
-    )
-    cut_slice = histogram.where((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_n") < F.col("_quota"))
-                                ).select(F.col(label), F.col("_slice").alias("_cut"),
-                                         (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_need"))
-    def with_class(frame, table):
-        return join_lookup(frame, *_same_class(label, table))
-
-    in_cut = with_class(marked.select(label, "_key", "_hash"), cut_slice).where(slice_of == F.col("_cut"))
-    copies = in_cut.groupBy(label, "_hash", "_key").agg(
-        F.count(F.lit(1)).alias("_n"), F.first("_need").alias("_need"))
     by_hash = Window.partitionBy(label).orderBy("_hash", "_key")
     last = (
-        copies.withColumn("_before", F.sum("_n").over(by_hash) - F.col("_n"))
+        cut_rows(df, label, key, fraction, seed, bits)
+        .withColumn("_before", F.sum("_n").over(by_hash) - F.col("_n"))
         .where(F.col("_before") < F.col("_need"))
         .groupBy(label).agg(F.max(F.struct("_hash", "_key")).alias("_last"))
     )
     side = F.coalesce(F.struct("_hash", "_key") <= F.col("_last"), F.lit(False))
-    return with_class(marked, last).withColumn(output, side).select(*df.columns, output)
+    return join_lookup(marked, *_same_class(label, last)).withColumn(output, side).select(*df.columns, output)
 
 
 def stratified_split(df: DataFrame, label: str, key: list[str], fraction: float = 0.8,

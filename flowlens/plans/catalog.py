@@ -271,6 +271,26 @@ def alert_timeline_rollup(spark, sf):
     return ro.alert_timeline_rollup(*counted_alerts(spark, sf), 5 * 24, 360, LATER)
 
 
+@query
+def alert_page_rollup(spark, sf):
+    """A deep page found in the counts: severity, then time."""
+    return ro.alert_page_rollup(*counted_alerts(spark, sf), "severity", "desc", 7, 50).select(*ALERT_VIEW)
+
+
+@query
+def alert_page_rollup_types(spark, sf):
+    """The same by type, upwards, in one session."""
+    return ro.alert_page_rollup(*counted_alerts(spark, sf), "attack_type", "asc", 3, 20, session_id="sess5").select(*ALERT_VIEW)
+
+
+@query
+def alert_search_rollup(spark, sf):
+    """Text found in the counts' dictionary of types, sessions and severities."""
+    kept = counted_alerts(spark, sf)
+    medium = ro.alert_search_rollup(*kept, "dos", severity="medium", date_from=datetime(2024, 1, 25))
+    return ro.alert_search_rollup(*kept, "S1").union(medium).select(*ALERT_VIEW)
+
+
 @query
 def append_alerts(spark, sf):
     """One session's alerts inserted into the stored table a second time."""

@@ -147,6 +147,14 @@ from generate_series(0, 15) t(i) cross join first left join counted on slot = i"
 select time_bucket(INTERVAL 360 MINUTE, processed_at) as timestamp, count(*) as count,
   count(*) filter (severity = 'HIGH') as high_severity_count
 from remaining where processed_at >= {LATER} - INTERVAL 120 HOUR group by 1"""),
+    "alert_page_rollup": _with(LEFT, f"""
+select {VIEW} from remaining order by severity desc, processed_at desc, event_id desc limit 50 offset 300"""),
+    "alert_page_rollup_types": _with(LEFT, f"""
+select {VIEW} from remaining where session_id = 'sess5' order by attack_type, processed_at, event_id limit 20 offset 40"""),
+    "alert_search_rollup": _with(LEFT, f"""
+select {VIEW} from remaining where concat_ws('|', attack_type, session_id, severity) ilike '%s1%'
+union all select {VIEW} from remaining where severity = 'MEDIUM' and processed_at >= TIMESTAMP '2024-01-25'
+  and (attack_type ilike '%dos%' or session_id ilike '%dos%' or severity ilike '%dos%')"""),
     # Alerts
     "recent_alerts": _with(ALERTS, f"""
 select {VIEW} from alerts where severity = 'HIGH' order by processed_at desc, event_id desc limit 100"""),

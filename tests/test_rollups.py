@@ -72,3 +72,48 @@ def test_only_cut_bins_are_read_from_the_alerts(spark, folder):
 def test_bins_that_do_not_fit(spark, folder, call):
     with pytest.raises(ValueError):
         call(ac.read_counts(spark, f"{folder}/c"), at.read_alerts(spark, f"{folder}/a"))
+
+
+def stored(spark, folder):
+    path, counts = f"{folder}/alerts", f"{folder}/counts"
+    for session, shift in (("a", 0), ("b", 7), ("Cab", 3)):
+        de.alert_sink(path, session, counts=counts)(flows(spark, 400, shift), 0)
+    return ac.read_counts(spark, counts), at.read_alerts(spark, path)
+
+
+@pytest.mark.parametrize("sort", ["processed_at", "severity", "attack_type", "session_id"])
+def test_pages_by_counts_equal_sorted_alerts(spark, folder, sort):
+    """Every page in both directions, types without a name included; pages past the end are empty."""
+    c, a = stored(spark, folder)
+    a = a.withColumn("event_id", F.concat("session_id", F.col("event_id").cast("string")))
+    keys = list(dict.fromkeys([sort, "processed_at", "event_id"]))
+    for order in ("asc", "desc"):
+        by = [F.col(k).asc_nulls_first() if order == "asc" else F.col(k).desc_nulls_last() for k in keys]
+        everything = rows(a.orderBy(*by), "event_id")
+        for number in (4, 11):
+            found = ro.alert_page_rollup(c, a, sort, order, number, 90)
+            assert rows(found, "event_id") == everything[(number - 1) * 90: number * 90]
+    assert rows(ro.alert_page_rollup(c, a, sort, "asc", 2, 30, session_id="b", severity="high"), "event_id") == rows(
+        a.where("session_id = 'b' and severity = 'HIGH'").orderBy(*[F.col(k).asc_nulls_first() for k in keys]), "event_id")[30:60]
+
+
+def test_a_page_reads_its_bins_only(spark, folder):
+    """Neither an exchange of alerts nor a scan without the bounds of the page's bins."""
+    c, a = stored(spark, folder)
+    page = ro.alert_page_rollup(c, a, "processed_at", "asc", 5, 50)
+    plan = page._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "Exchange" not in plan and "GreaterThanOrEqual(processed_at" in plan and "LessThan(processed_at" in plan
+    assert ro.alert_page_rollup(c.limit(0), a, "severity", "asc", 1, 50).count() == 0
+    with pytest.raises(ValueError, match="not counted"):
+        ro.alert_page_rollup(c, a, "source_ip")
+
+
+def test_search_by_dictionary_equals_search(spark, folder):
+    c, a = stored(spark, folder)
+    late = {"severity": "low", "date_to": START + timedelta(hours=30)}
+    for text, options in (("A", {}), ("type1", late), ("IGH", {"session_id": "b"}), ("%", {}), ("", late), ("TYPE", {})):
+        expected = sorted(rows(al.alert_search(a, text, **options), "session_id", "event_id"))
+        assert sorted(rows(ro.alert_search_rollup(c, a, text, **options), "session_id", "event_id")) == expected
+        assert sorted(rows(ro.alert_search_rollup(c, a, text, 1, **options), "session_id", "event_id")) == expected
+    plan = ro.alert_search_rollup(c, a, "type1")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(attack_type,type1)" in plan or "In(attack_type, [type1])" in plan

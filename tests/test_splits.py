@@ -96,3 +96,33 @@ def test_assemble_and_scale(spark):
     test = spark.createDataFrame([(5, 7.0)], "a int, b double")
     other = fe.standardize(test, ["a", "b"], train=df).first()
     assert list(other["scaled_features"]) == [pytest.approx(3 / 2**0.5), 0.0]
+
+
+def test_cut_rows_stay_few_with_coarse_digits(spark):
+    """One class of a million rows, four bits a round: only the keys of one hash are left to rank."""
+    df = spark.range(1_000_000).select("id", F.lit("a").alias("label"))
+    pool = sp.cut_rows(df, "label", ["id"], 0.3, bits=4).collect()
+    assert 1 <= len(pool) <= 10 and len({r["_hash"] for r in pool}) == 1
+    marked = sp.mark_stratified(df, "label", ["id"], 0.3, bits=4)
+    assert marked.where("is_train").count() == 300_000
+    assert rows(marked.where("is_train").agg(F.sum("id"))) == rows(
+        sp.mark_stratified(df, "label", ["id"], 0.3).where("is_train").agg(F.sum("id")))
+
+
+@pytest.mark.parametrize("bits", [5, 16, 32])
+def test_cut_by_rounds_equals_ranking(spark, bits):
+    """Classes of all sizes, a null one, repeated keys; hashes of keys with the smallest places first."""
+    table = [(i % 700, None if i % 7 == 0 else f"c{i % 7 % 4}") for i in range(3000)] + [(1, "single")]
+    df = spark.createDataFrame(table, "id bigint, label string")
+    keyed = df.withColumn("h", sp.hash32(sp.row_key(["id"])))
+    by_class = {}
+    for r in keyed.collect():
+        by_class.setdefault(r["label"], []).append((r["h"], str(r["id"])))
+    expected = {}
+    for label, of in by_class.items():
+        of.sort()
+        taken = of[: int(0.6 * len(of))]
+        expected[label] = sum(k <= taken[-1] for k in of) if taken else 0
+    marked = sp.mark_stratified(df, "label", ["id"], 0.6, bits=bits).where("is_train").groupBy("label").count()
+    assert dict(rows(marked)) == {c: n for c, n in expected.items() if n}
+    assert sp.mark_stratified(df.limit(0), "label", ["id"], 0.6, bits=bits).count() == 0
