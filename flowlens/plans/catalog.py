@@ -24,7 +24,7 @@ from flowlens.operators import (
 )
 from flowlens.plans import fixtures as fx, preprocess as pp, training as tr
 from flowlens.schemas import CLASS_NAMES, UNSW_FEATURES, csv_schema
-from flowlens.sources import alert_counts as ac, alert_table as at, flows as fl, storage as st, streams as ss
+from flowlens.sources import alert_counts as ac, alert_table as at, distinct_table as dt, flows as fl, storage as st, streams as ss
 from flowlens.streaming import detect as de, messages as me
 
 NOW = datetime(2024, 1, 31)
@@ -386,6 +386,16 @@ def deduplicate(spark, sf):
     return cl.deduplicate(doubled_flows(spark, sf).drop("l_orderkey", "l_partkey", "l_suppkey", "bytes"))
 
 
+@query
+def deduplicate_increment(spark, sf):
+    """All flows in three batches that overlap, the second written twice."""
+    path, flows = st.scratch_path(spark, "distinct"), fx.flows(spark, sf)
+    for n in (0, 1, 1, 2):
+        batch = flows.where((F.col("l_orderkey") % 3).isin(n, (n + 1) % 3))
+        dt.append_distinct(batch.drop("l_orderkey", "l_partkey", "l_suppkey", "bytes"), path, n)
+    return dt.read_distinct(spark, path)
+
+
 @query
 def duplicate_report(spark, sf):
     return rounded(cl.duplicate_report(doubled_flows(spark, sf).drop("l_orderkey", "l_suppkey", "bytes")),

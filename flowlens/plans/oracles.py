@@ -285,6 +285,8 @@ select {KEY}, round(coalesce({FINITE}, (select a from means)), 6) as flow_rate,
 select {KEY}, sparse_col, service, label from flows
 where flow_rate is not null and not isnan(flow_rate) and sparse_col is not null and service is not null"""),
     "deduplicate": _with(FLOWS, """
+select distinct pkts, flow_rate, jitter, const_col, sparse_col, proto, service, label from flows"""),
+    "deduplicate_increment": _with(FLOWS, """
 select distinct pkts, flow_rate, jitter, const_col, sparse_col, proto, service, label from flows"""),
     "duplicate_report": _with(FLOWS, """
 , picked as (select l_partkey, pkts, flow_rate, jitter, const_col, sparse_col, proto, service, label from flows),
