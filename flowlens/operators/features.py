@@ -24,12 +24,14 @@ def category_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def fit_category_index(df: DataFrame, columns: list[str], suffix: str = "_indexed",
-                       max_categories: int = MAX_CATEGORIES) -> StringIndexerModel:
+                       max_categories: int = MAX_CATEGORIES) -> StringIndexerModel | PipelineModel:
     """Most frequent value first, ties by value; unseen and null values come last.
 
     Counting is a grouped aggregation. Only the category lists reach the driver, and
     a column with more than ``max_categories`` values is refused instead of collected:
-    ``index_by_rank`` takes any number.
+    ``index_by_rank`` takes any number. Several columns give a pipeline of one model each:
+    lists handed to one model are filled up to the longest with nulls, which then count as
+    categories and can't be written to a table.
     """
     ordered = category_counts(df, columns).orderBy("column_name", F.desc("count"), "value")
     rows = ordered.limit(max_categories * len(columns) + 1).collect()
@@ -37,9 +39,9 @@ def fit_category_index(df: DataFrame, columns: list[str], suffix: str = "_indexe
     too_many = [c for c in columns if len(labels[c]) > max_categories]
     if too_many or len(rows) > max_categories * len(columns):
         raise ValueError(f"more than {max_categories} categories in {too_many or columns}")
-    return StringIndexerModel.from_arrays_of_labels(
-        [labels[c] for c in columns], inputCols=columns,
-        outputCols=[c + suffix for c in columns], handleInvalid="keep")
+    models = [StringIndexerModel.from_labels(labels[c], inputCol=c, outputCol=c + suffix, handleInvalid="keep")
+              for c in columns]
+    return models[0] if len(models) == 1 else PipelineModel(models)
 
 
 def category_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -65,7 +67,7 @@ def index_by_rank(df: DataFrame, columns: list[str], ranks: DataFrame | None = N
     return found.na.fill({c + suffix: float(known.get(c, 0)) for c in columns})
 
 
-def index_categories(df: DataFrame, columns: list[str], model: StringIndexerModel | None = None,
+def index_categories(df: DataFrame, columns: list[str], model: StringIndexerModel | PipelineModel | None = None,
                      replace: bool = False) -> DataFrame:
     """Add ``<column>_indexed``, or with ``replace`` put the index in the column's place."""
     columns = [c for c in columns if c in df.columns]

@@ -87,6 +87,15 @@ def test_category_index(spark):
         fe.fit_category_index(df, ["proto"], max_categories=2)
 
 
+def test_category_indexes_of_columns_with_unequal_numbers_of_values(spark, folder):
+    df = spark.createDataFrame([("tcp", "http"), ("tcp", "dns"), (None, "ssh"), ("udp", None)],
+                               "proto string, service string").coalesce(1)
+    indexed = fe.index_categories(df, ["proto", "service"])
+    indexed.write.parquet(f"{folder}/t")
+    assert rows(spark.read.parquet(f"{folder}/t").select("proto_indexed", "service_indexed")) == [
+        (0.0, 1.0), (0.0, 0.0), (2.0, 2.0), (1.0, 3.0)]
+
+
 def test_assemble_and_scale(spark):
     df = spark.createDataFrame([(1, 2.0), (3, 2.0), (None, 2.0)], "a int, b double").coalesce(1)
     assert fe.assemble(df, ["a", "b"]).count() == 2
