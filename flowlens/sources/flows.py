@@ -224,9 +224,11 @@ def write_processed(df: DataFrame, path: str, partitions: int | None = None) ->
     """Overwrite a Parquet table, by default with as many files as there are tasks.
 
     ``partitions`` sets the number of files through a shuffle; merging partitions without
-    one would make that number the parallelism of everything before the write.
+    one would make that number the parallelism of everything before the write. Adaptive
+    execution writes more files where one would exceed its advisory size, so that no task
+    grows with the table, and fewer where they would be tiny.
     """
-    (df if partitions is None else df.repartition(partitions)).write.mode("overwrite").parquet(path)
+    (df if partitions is None else df.hint("rebalance", partitions)).write.mode("overwrite").parquet(path)
 
 
 def write_metadata(metadata: DataFrame, path: str) -> None:

@@ -113,6 +113,17 @@ def test_written_tables_are_verified(spark, folder):
     assert fl.read_processed(spark, f"{folder}/t").count() == 10
 
 
+def test_large_tables_get_more_files(spark, folder):
+    df = spark.range(0, 400_000, 1, 8)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        fl.write_processed(df, f"{folder}/t", partitions=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list(Path(f"{folder}/t").glob("part-*"))) > 2
+    assert fl.read_processed(spark, f"{folder}/t").agg(F.count("id"), F.sum("id")).first() == (400_000, 399_999 * 200_000)
+
+
 def test_stream_schemas():
     assert len(schemas.CIC_FEATURES) == len(set(schemas.CIC_FEATURES)) == 78
     assert len(schemas.UNSW_FEATURES) == len(set(schemas.UNSW_FEATURES)) == 39
