@@ -86,3 +86,15 @@ def test_stream_and_batch_detection_agree(spark):
     stream = {tuple(r) for r in entry.queries()["stream_detect"](spark, SF).collect()}
     batch = {tuple(r) for r in entry.queries()["batch_detect"](spark, SF).collect()}
     assert stream == batch and stream
+
+
+def test_duplicate_headers_are_written_by_many_tasks(spark, tmp_path):
+    """No task sorts or writes the whole table."""
+    copy = f"{tmp_path}/sf"
+    spark.read.parquet(f"{SF}/lineitem.parquet").repartition(4).write.parquet(f"{copy}/lineitem.parquet")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64m")
+    try:
+        df = entry.queries()["read_flow_csv_duplicate_headers"](spark, copy)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(df.inputFiles()) == 4 and df.count() == spark.read.parquet(f"{copy}/lineitem.parquet").count()
