@@ -19,7 +19,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that shares 0.8 or more of its five-word shingles."""
+    """The document with the smallest id of each group that shares 0.8 or more of its five-word shingles.
+
+    Groups are what SimHash links, with the looser pairs that MinHash adds, confirmed on the shingles.
+    """
     return similar.keep_first_similar(docs, words=5, similarity=0.8)
 
 

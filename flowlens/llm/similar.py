@@ -1,12 +1,13 @@
-"""Near copies by exact shingle overlap, found by MinHash bands.
+"""Near copies by SimHash, confirmed by exact shingle overlap.
 
-Two texts are alike if they share 0.8 or more of their different word shingles (Jaccard). SimHash
-fingerprints of such texts differ in three to some twenty of 64 bits, for which pigeonhole blocks become too
-short to select anything, so candidates come from MinHash: BANDS keys of ROWS minima each. Every pair is
-confirmed on the shingles themselves; the hashes decide only what is compared.
+Two texts are alike if they share 0.8 or more of their different word shingles (Jaccard). Candidates are
+what SimHash links: fingerprints that differ in at most BITS bits, found by op2's pigeonhole blocks. Texts at
+0.8 differ in three to some twenty of 64 bits, for which such blocks become too short to select anything, so
+MinHash adds the looser pairs: BANDS keys of ROWS minima each. Every pair of either is confirmed on the
+shingles themselves; the hashes decide only what is compared.
 
 Texts with equal shingles are merged first, and keys of one text are left out. Each key gives a forest of
-the texts whose minima leave a similarity of 0.8 possible; what these forests connect is a cluster. A cluster
+the texts whose minima leave a similarity of 0.8 possible; what these forests and SimHash's connect is a cluster. A cluster
 is cut into blocks of bounded size, and each two of its blocks meet in a cell, which compares its texts by
 their shingles and gives a forest of the links it finds: no step gives all pairs, however large a group is.
 """
@@ -21,7 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.llm.shared import components, materialize
+from flowlens.llm.simhash import fingerprint_edges, text_fingerprint
 
+#: Bits in which fingerprints of four-word shingles that SimHash links may differ.
+BITS = 4
 #: At a similarity of 0.8 no band agrees with a probability of (1 - 0.8 ** 4) ** 24 = 3e-6.
 BANDS, ROWS = 24, 4
 MINIMA = BANDS * ROWS
@@ -60,20 +64,22 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 def _sketch(words: int):
     def one(text: str | None):
+        fingerprint = int(np.uint64(text_fingerprint(text)).view(np.int64))
         hashes = np.sort(np.array([xxhash.xxh64_intdigest(s) for s in word_shingles(text, words)], np.uint64))
         if not len(hashes):
-            return b"", b"", []
+            return b"", b"", [], fingerprint
         least = minima(hashes)
         keys = [int.from_bytes(xxhash.xxh64_digest(least[i:i + ROWS].tobytes(), n), "big", signed=True)
                 for n, i in enumerate(range(0, MINIMA, ROWS))]
-        return xxhash.xxh3_128_digest(hashes.tobytes()), ((least * _MIX) >> np.uint64(56)).astype(np.uint8).tobytes(), keys
+        return xxhash.xxh3_128_digest(hashes.tobytes()), ((least * _MIX) >> np.uint64(56)).astype(np.uint8).tobytes(), keys, fingerprint
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, sign, keys = zip(*[one(t.as_py()) for t in batch.column(1)]) if len(batch) else ((), (), ())
+            same, sign, keys, prints = zip(*[one(t.as_py()) for t in batch.column(1)]) if len(batch) else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(same, pa.binary()), pa.array(sign, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "same", "sign", "keys"])
+                [batch.column(0), pa.array(same, pa.binary()), pa.array(sign, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
+                 pa.array(prints, pa.int64())],
+                names=["doc_id", "same", "sign", "keys", "fingerprint"])
     return run
 
 
@@ -190,27 +196,35 @@ def _pairs(find):
     return run
 
 
+def simhash_edges(distinct: DataFrame) -> DataFrame:
+    """(a, b): forests of what SimHash links among the texts of ``distinct(rep, fingerprint)``."""
+    prints = distinct.groupBy("fingerprint").agg(F.min("rep").alias("first"))
+    equal = distinct.join(prints, "fingerprint").where("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    return equal.union(fingerprint_edges(prints.select("fingerprint", F.col("first").alias("rep")), BITS))
+
+
 def similar_edges(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(a, b): ids of rows of ``docs`` that are alike, connecting all groups; rows without ``doc_id`` have none."""
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     marked = materialize(named.mapInArrow(
-        _sketch(words), "doc_id long, same binary, sign binary, keys array<long>"), "sketches")
-    least = F.min(F.struct("doc_id", "sign", "keys")).alias("m")
+        _sketch(words), "doc_id long, same binary, sign binary, keys array<long>, fingerprint long"), "sketches")
+    least = F.min(F.struct("doc_id", "sign", "keys", "fingerprint")).alias("m")
     distinct = materialize(marked.groupBy("same").agg(least).select(
-        "same", F.col("m.doc_id").alias("rep"), "m.sign", "m.keys"), "distinct")
+        "same", F.col("m.doc_id").alias("rep"), "m.sign", "m.keys", "m.fingerprint"), "distinct")
     equal = marked.select("same", "doc_id").join(distinct.select("same", "rep"), "same").where("doc_id != rep").select(
         F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     shared = materialize(distinct.select(F.explode("keys").alias("key"), "rep").repartition("key").sortWithinPartitions("key")
                          .mapInArrow(_shared, "key long, rep long"), "shared")
     hits = materialize(shared.join(distinct.select("rep", "sign"), "rep").select("key", "rep", "sign"), "hits")
-    texts = materialize(named.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-                        .dropDuplicates(["doc_id"]), "texts")
+    near = materialize(simhash_edges(distinct.where("sign != X''").select("rep", "fingerprint")), "near")
+    wanted_texts = shared.select(F.col("rep").alias("doc_id")).union(near.select("a")).union(near.select("b")).distinct()
+    texts = materialize(named.join(wanted_texts, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
     wanted = MINIMA * similarity
     enough = wanted - SLACK * (wanted * (1 - similarity)) ** 0.5
     possible = (hits.repartition("key").sortWithinPartitions("key", "rep")
-                .mapInArrow(_pairs(lambda rep, sign: forest(sign, rep, enough)), "a long, b long").distinct())
-    clusters = components(possible).withColumnRenamed("node", "rep")
+                .mapInArrow(_pairs(lambda rep, sign: forest(sign, rep, enough)), "a long, b long"))
+    clusters = components(near.union(possible).distinct()).withColumnRenamed("node", "rep")
     members = materialize(distinct.select("rep", "sign").join(clusters, "rep")
                           .join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep"), "members")
     blocks = members.groupBy("component").agg(F.greatest(

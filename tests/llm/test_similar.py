@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline as cp
 from flowlens.llm import similar, simhash
@@ -83,3 +84,22 @@ def test_a_family_just_under_the_threshold(spark, documents, monkeypatch):
     kept = {r["doc_id"] for r in similar.keep_first_similar(documents(*rows)).collect()}
     assert kept == first_of_groups(rows)
     assert len(edges) < 300 * 2 * 10  # a forest a cell
+
+
+def test_simhash_finds_candidates_without_any_band(spark, documents, monkeypatch):
+    """What SimHash links is confirmed on the shingles; a text that only repeats one line of another is not alike."""
+    one = similar._sketch
+
+    def no_bands(words):
+        def run(batches):
+            for batch in one(words)(batches):
+                yield batch.set_column(3, "keys", pa.array([[]] * len(batch), pa.list_(pa.int64())))
+        return run
+    monkeypatch.setattr(similar, "_sketch", no_bands)
+    rng = random.Random(3)
+    words = [f"w{n}" for n in range(600)]
+    rows = [(1, " ".join(words)), (2, edited(rng, words, 1)), (3, "same " * 3_000 + "a b c d e f"), (4, "same " * 3_000 + "g h i j k l")]
+    prints = [simhash.text_fingerprint(t) for _, t in rows]
+    assert (prints[0] ^ prints[1]).bit_count() <= similar.BITS and prints[2] == prints[3]
+    kept = similar.keep_first_similar(documents(*rows)).collect()
+    assert {r["doc_id"] for r in kept} == {1, 3, 4} == first_of_groups(rows)
